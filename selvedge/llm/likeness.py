@@ -15,7 +15,7 @@ stage works on pairs of records that have nothing rare in common:
    short texts every word of their exact prefix.
 4. In the join condition: length filter (sizes within the threshold),
    positional filter (ranks of the matching word in the rare-first order) and
-   suffix filter (Hamming distance of 128-bit parity maps of the word sets, a
+   suffix filter (Hamming distance of 256-bit parity maps of the word sets, a
    lower bound of their true difference). All are exact.
 5. Each remaining pair is verified once on its full word sets.
 
@@ -46,7 +46,8 @@ FEW_RARE = 7
 #: Texts of up to so many distinct words use the single words of their exact prefix.
 SHORT = 12
 
-SETS = "id bigint, side int, set_hash bigint, n int, b0 bigint, b1 bigint, grams array<bigint>, pos array<int>"
+MAPS = ["b0", "b1", "b2", "b3"]
+SETS = "id bigint, side int, set_hash bigint, n int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, grams array<bigint>, pos array<int>"
 
 
 def _row_sets(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
@@ -113,9 +114,8 @@ def _signatures(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, very_fr
         with np.errstate(over="ignore"):
             set_hash = per_row((u ^ (u >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93), np.add)
         bit = np.uint64(1) << (u & np.uint64(63))
-        half = (u >> np.uint64(6)) & np.uint64(1)
-        b0 = per_row(np.where(half == 0, bit, np.uint64(0)), np.bitwise_xor)
-        b1 = per_row(np.where(half == 1, bit, np.uint64(0)), np.bitwise_xor)
+        quarter = (u >> np.uint64(6)) & np.uint64(3)
+        maps = [per_row(np.where(quarter == k, bit, np.uint64(0)), np.bitwise_xor) for k in range(len(MAPS))]
 
         word, place = hashed[codes], rank[inverse]
         rare = ~common[codes]
@@ -139,10 +139,10 @@ def _signatures(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, very_fr
         off = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=count))]).astype(np.int32))
         yield pa.RecordBatch.from_arrays(
             [
-                b.column(0), b.column(1), pa.array(set_hash), pa.array(n.astype(np.int32)), pa.array(b0), pa.array(b1),
+                b.column(0), b.column(1), pa.array(set_hash), pa.array(n.astype(np.int32)), *map(pa.array, maps),
                 pa.ListArray.from_arrays(off, pa.array(gram)), pa.ListArray.from_arrays(off, pa.array(pos.astype(np.int32))),
             ],
-            names=["id", "side", "set_hash", "n", "b0", "b1", "grams", "pos"],
+            names=["id", "side", "set_hash", "n", *MAPS, "grams", "pos"],
         )
 
 
@@ -168,8 +168,8 @@ def likeness_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = materialize(rows.select("id", "side", "set_hash", "n").join(sets, ["set_hash", "n"]).select("id", "side", "set_id", "sides"))
     firsts = members.where("id = set_id").select("id", "sides")
     posted = rows.join(firsts, "id").select(
-        F.col("id").alias("set"), "b0", "b1", (F.col("n").cast("bigint") * 4 + F.col("sides")).alias("meta"), F.explode(F.arrays_zip("grams", "pos")).alias("g")
-    ).select(F.col("g.grams").alias("gram"), "set", "b0", "b1", (F.col("meta") * (1 << 24) + F.col("g.pos")).alias("meta"))
+        F.col("id").alias("set"), *MAPS, (F.col("n").cast("bigint") * 4 + F.col("sides")).alias("meta"), F.explode(F.arrays_zip("grams", "pos")).alias("g")
+    ).select(F.col("g.grams").alias("gram"), "set", *MAPS, (F.col("meta") * (1 << 24) + F.col("g.pos")).alias("meta"))
     a, b = posted.alias("a"), posted.alias("b")
     pos = lambda s: f"({s}.meta & {(1 << 24) - 1})"
     sides = lambda s: f"(shiftright({s}.meta, 24) & 3)"
@@ -183,7 +183,7 @@ def likeness_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
             f"(({sides('a')} & 1) * ({sides('b')} & 2) + ({sides('a')} & 2) * ({sides('b')} & 1)) > 0",
             f"least({size('a')}, {size('b')}) * {LIKE_DEN} >= greatest({size('a')}, {size('b')}) * {LIKE_NUM}",
             f"abs({pos('a')} - {pos('b')}) + abs(({size('a')} - {pos('a')}) - ({size('b')} - {pos('b')})) <= {apart}",
-            f"bit_count(a.b0 ^ b.b0) + bit_count(a.b1 ^ b.b1) <= {apart}",
+            " + ".join(f"bit_count(a.{m} ^ b.{m})" for m in MAPS) + f" <= {apart}",
         ]
     )
     pairs = materialize(a.join(b, F.expr(alike)).select(F.col("a.set").alias("a"), F.col("b.set").alias("b")).distinct())
