@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("formatting_copies", "spam_pages", "eval_leaks", "token_budget", "packing", "lookalikes", "broken_pairs", "near_duplicates", "split_overlaps",)
+MODULES = ("pii", "formatting_copies", "spam_pages", "eval_leaks", "token_budget", "packing", "lookalikes", "broken_pairs", "near_duplicates", "split_overlaps",)
 
 
 def queries() -> dict:
