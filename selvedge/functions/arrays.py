@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -10,19 +11,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, also where use refers to it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def repeated_ngrams(items: Column, n: int = 4) -> Column:
+    """struct(grams, repeated): the number of n-grams and of those that repeat an earlier one."""
+
+    def count(a: Column) -> Column:
+        starts = F.when(F.size(a) >= n, F.sequence(F.lit(1), F.size(a) - n + 1)).otherwise(F.array().cast("array<int>"))
+        # joined to strings, which array_distinct hashes; arrays it would compare pair by pair
+        grams = F.transform(starts, lambda i: F.array_join(F.slice(a, i, n), "\u0001", "\u0002"))
+        return let(grams, lambda g: F.struct(F.size(g).cast("bigint").alias("grams"), (F.size(g) - F.size(F.array_distinct(g))).cast("bigint").alias("repeated")))
+
+    return let(items.cast("array<string>"), count)
+
+
 def repeated_ngram_fraction(items: Column, n: int = 4) -> Column:
     """Share of the n-grams that repeat an earlier one; 0 for fewer than n items."""
-    starts = F.when(F.size(items) >= n, F.sequence(F.lit(1), F.size(items) - n + 1)).otherwise(F.array().cast("array<int>"))
-    grams = F.transform(starts, lambda i: F.slice(items, i, n))
-    return (F.size(grams) - F.size(F.array_distinct(grams))) / F.greatest(F.lit(1), F.size(grams))
+    return let(repeated_ngrams(items, n), lambda c: c["repeated"] / F.greatest(F.lit(1), c["grams"]))
 
 
 def first_difference(a: Column, b: Column) -> Column:
     """0-based place where two arrays first differ, the shorter length if one starts the other, null when equal."""
-    short = F.least(F.size(a), F.size(b))
-    same = F.zip_with(F.slice(a, 1, short), F.slice(b, 1, short), lambda x, y: x.eqNullSafe(y))
-    at = F.array_position(same, False)
-    return F.when(at > 0, at - 1).when(F.size(a) != F.size(b), short.cast("bigint"))
+
+    def compare(p: Column) -> Column:
+        short = F.least(F.size(p["a"]), F.size(p["b"]))
+        same = F.zip_with(F.slice(p["a"], 1, short), F.slice(p["b"], 1, short), lambda x, y: x.eqNullSafe(y))
+        return let(F.array_position(same, False), lambda at: F.when(at > 0, at - 1).when(F.size(p["a"]) != F.size(p["b"]), short.cast("bigint")))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), compare)
 
 
 def any_value(m: Column) -> Column:

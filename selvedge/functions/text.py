@@ -17,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from selvedge.functions.arrays import let
+
 NOT_WORD = r"[^\p{L}\p{N}_]+"
 #: Patterns whose counts must agree with published audits.
 EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
@@ -114,11 +116,11 @@ def plain_words(c: Column) -> Column:
 def has_repeated_phrase(words: Column, widths: tuple[int, ...] = (3, 4, 5, 6)) -> Column:
     """Whether a phrase of one of the widths is followed at once by itself."""
 
-    def repeats(n: int) -> Column:
-        starts = F.when(F.size(words) >= 2 * n, F.sequence(F.lit(1), F.size(words) - 2 * n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.exists(starts, lambda i: F.slice(words, i, n) == F.slice(words, i + n, n))
+    def repeats(w: Column, n: int) -> Column:
+        starts = F.when(F.size(w) >= 2 * n, F.sequence(F.lit(1), F.size(w) - 2 * n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.exists(starts, lambda i: F.slice(w, i, n) == F.slice(w, i + n, n))
 
-    return reduce(lambda a, b: a | b, map(repeats, widths))
+    return let(words, lambda w: reduce(lambda a, b: a | b, [repeats(w, n) for n in widths]))
 
 
 def malformed_reasons(c: Column) -> Column:

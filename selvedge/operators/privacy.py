@@ -8,6 +8,7 @@ places and dates in running text need a model; see the llm subpackage.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,18 +40,18 @@ def masked(text: Column, entities: dict[str, str] = ENTITIES) -> Column:
     return text
 
 
-def privacy_status(text: Column, entities: dict[str, str] = ENTITIES) -> Column:
-    """passed, or manual_review_required when the masked text still matches outside its own placeholders."""
-    bare = F.regexp_replace(masked(text, entities), "<(?:" + "|".join(entities) + ")>", " ")
-    left = sum(entity_counts(bare, entities).values(), F.lit(0))
-    return F.when(F.trim(or_empty(text)) == "", "empty").when(left > 0, "manual_review_required").otherwise("passed")
+def privacy_status(masked_text: Column, entities: dict[str, str] = ENTITIES) -> Column:
+    """passed, or manual_review_required when a masked text still matches outside its own placeholders; empty for blank."""
+    bare = F.regexp_replace(masked_text, "<(?:" + "|".join(entities) + ")>", " ")
+    left = reduce(lambda a, b: a | b, [bare.rlike(p) for p in entities.values()])
+    return F.when(F.trim(or_empty(masked_text)) == "", "empty").when(left, "manual_review_required").otherwise("passed")
 
 
 FINDING = "id bigint, field string, entity string, start int, end int, span string"
 
 
 def findings(rows: DataFrame, id_col: str, fields: list[str], entities: dict[str, str] = ENTITIES) -> DataFrame:
-    """One row per match: (id, field, entity, start, end, span), positions in characters."""
+    """One row per match: (id, field, entity, start, end, span), positions in characters; earlier entities come first where matches overlap."""
     import regex
 
     compiled = {k: regex.compile(p) for k, p in entities.items()}
@@ -60,8 +61,11 @@ def findings(rows: DataFrame, id_col: str, fields: list[str], entities: dict[str
             out = []
             ids, names, texts = (b.column(k).to_pylist() for k in range(3))
             for i, f, t in zip(ids, names, texts, strict=True):
+                taken: list[tuple[int, int]] = []
                 for k, p in compiled.items():
-                    out += [(i, f, k, m.start(), m.end(), m[0]) for m in p.finditer(t or "")]
+                    new = [m for m in p.finditer(t or "") if all(m.end() <= a or b <= m.start() for a, b in taken)]
+                    taken += [m.span() for m in new]
+                    out += [(i, f, k, m.start(), m.end(), m[0]) for m in new]
             cols = list(zip(*out, strict=True)) or [()] * 6
             types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["id", "field", "entity", "start", "end", "span"])

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selvedge.functions.arrays import first_difference, repeated_ngram_fraction
+from selvedge.functions.arrays import first_difference, repeated_ngrams
 from selvedge.functions.text import content_hash, email_count, malformed_reasons, norm_fast, or_empty, phone_count, plain_words, sha, strip
 from selvedge.operators.keyed import cross_group_overlap, spanning_keys
 from selvedge.operators.metrics import latest
-from selvedge.operators.privacy import ENTITIES, entity_counts, findings, mask_spans, masked, privacy_status, span_violations
+from selvedge.operators.privacy import ENTITIES, findings, mask_spans, masked, privacy_status, span_violations
 from selvedge.operators.splits import hash_split, isolate_groups
 from selvedge.operators.validation import drift, reason_counts, revision_diff, violations
 from selvedge.session import table
@@ -158,10 +158,8 @@ def dataset_digest(spark, sf_dir):
 
 def ngram_repetition(spark, sf_dir):
     """4-grams of responses and how many repeat an earlier one of the same response, per dataset."""
-    words = plain_words(F.col("response"))
-    total = F.greatest(F.size(words) - 3, F.lit(0))
-    repeated = F.round(repeated_ngram_fraction(words, 4) * F.greatest(F.lit(1), total)).cast("bigint")
-    return _sft(spark, sf_dir).select("dataset", total.cast("bigint").alias("t"), repeated.alias("r")).groupBy("dataset").agg(F.sum("t").alias("grams"), F.sum("r").alias("repeated"))
+    rows = _sft(spark, sf_dir).select("dataset", repeated_ngrams(plain_words(F.col("response")), 4).alias("c"))
+    return rows.groupBy("dataset").agg(F.sum("c.grams").alias("grams"), F.sum("c.repeated").alias("repeated"))
 
 
 def malformed_outputs(spark, sf_dir):
@@ -178,11 +176,11 @@ def phone_counts(spark, sf_dir):
 
 def identifier_audit(spark, sf_dir):
     """Direct identifiers by pattern per split, and the privacy status after masking."""
-    sft = _sft(spark, sf_dir)
     both = F.concat_ws("\n", or_empty("instruction"), or_empty("response"))
-    status = privacy_status(both)
-    number = {k: F.sum(c.cast("bigint")).alias(k.lower()) for k, c in entity_counts(both).items()}
-    return sft.groupBy("split", status.alias("status")).agg(F.count(F.lit(1)).alias("n_rows"), *number.values())
+    rows = _sft(spark, sf_dir).select("split", both.alias("both")).select("split", "both", masked(F.col("both")).alias("masked"))
+    # the placeholders say what was found, so the patterns run once
+    number = {k: F.sum(F.regexp_count("masked", F.lit(f"<{k}>")).cast("bigint")).alias(k.lower()) for k in ENTITIES}
+    return rows.groupBy("split", privacy_status(F.col("masked")).alias("status")).agg(F.count(F.lit(1)).alias("n_rows"), *number.values())
 
 
 def masked_records(spark, sf_dir):

@@ -29,7 +29,7 @@ def hourly_counts(source: DataFrame, event_time: str, watermark: str) -> DataFra
 def audit_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit table as a file stream, one file a batch."""
     schema = table(spark, sf_dir, "audit_log").schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/audit_log.parquet")
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/audit_log.parquet*")  # a pattern, since the table may be one file
     return rows.withColumns({c: F.col(c).cast("timestamp") for c in ("logged_at", "received_at")})
 
 
