@@ -39,7 +39,9 @@ from selvedge.session import materialize, table
 KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 COMMON = 0.0005
 COMMON_LEAST = 10
-MIN_SURNAMES = 3
+MIN_SURNAMES = 2
+#: A word in more than this share of the texts is no given name.
+NO_NAME = 0.005
 #: Passes over the training texts and step size of AdaGrad.
 EPOCHS, STEP = 4, 0.3
 
@@ -183,7 +185,7 @@ def address_segments(text: str) -> Iterator[Segment]:
 def _name(text: str, start: int, parts: list[str], end: int, know: Knowledge, case: str, title: bool, initial: bool, cue: bool) -> Segment:
     before, after = _around(text, start, end)
     low = [p.lower() for p in parts]
-    kinds = [("G" if w in know.given else "") + ("c" if know.common(w) else "o") for w in low]
+    kinds = ["G" if w in know.given else "c" if know.common(w) else "o" for w in low]
     shape = ",".join(map(_case, parts))
     feats = _shared(text, start, end, before)[:3]
     feats += [f"kinds={','.join(kinds)}", f"title={title}", f"initial={initial}", f"cue={cue}", f"t,kinds={title},{','.join(kinds)}", f"cue,kinds={cue},{','.join(kinds)}", f"shape={case}:{shape}", f"s,kinds={case}:{shape}:{','.join(kinds)}", f"n={len(parts)}", f"len={min(len(parts[-1]), 12)}"]
@@ -216,7 +218,7 @@ def name_segments(text: str, anchors: list[tuple[int, int, str]], know: Knowledg
                 yield _name(text, m.start(1), [m[1], text[start:end]], end, know, case, False, False, follows(m.start(1)))
         elif kind == "cue":
             m = TWO_WORDS.match(text, end)
-            if m and m.start(1) > end and not know.common(m[1].lower()) and not know.common(m[2].lower()):
+            if m and m.start(1) > end and m[1].lower() not in TITLES and f"{m[1].lower()}." not in TITLES and not know.common(m[1].lower()) and not know.common(m[2].lower()):
                 yield _name(text, m.start(1), [m[1], m[2]], m.end(), know, case, False, False, True)
 
 
@@ -397,7 +399,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count[w] = count.get(w, 0) + n
         for t in column.to_pylist():
             for m in _SURE_NAME.finditer(t):
-                if m[1][0].isupper() and m[2][0].isupper():
+                if _case(m[1]) == _case(m[2]) == "Aa":  # a surname in capitals may come first
                     key = (m[1].lower(), m[2].lower())
                     names[key] = names.get(key, 0) + 1
     h = hash64(pa.array(list(count), pa.large_string())).tolist()
@@ -412,11 +414,11 @@ def finder_for(texts: DataFrame) -> Finder:
     """A finder that knows the words and given names of texts (text)."""
     learned = materialize(texts.select("text").where("text is not null").mapInArrow(_learn, LEARNED).groupBy("name", "word", "hash").agg(F.sum("n").alias("n")))
     total = learned.where("not name and hash is null").agg(F.sum("n")).first()[0] or 0
-    common = learned.where(F.expr("not name and hash is not null") & (F.col("n") > max(COMMON_LEAST, COMMON * total))).select("hash").collect()
+    common = learned.where(F.expr("not name and hash is not null") & (F.col("n") > max(COMMON_LEAST, COMMON * total))).select("hash", "n").collect()
     surnames = learned.where("name").groupBy("word").agg(F.countDistinct("hash").alias("surnames")).where(F.col("surnames") >= MIN_SURNAMES).collect()
     hashes = frozenset(r[0] for r in common)
-    ordinary = {int(h) for h in hash64(pa.array([r.word for r in surnames], pa.large_string())).tolist()} & hashes
-    learned_names = {r.word for r, h in zip(surnames, hash64(pa.array([r.word for r in surnames], pa.large_string())).tolist(), strict=True) if len(r.word) > 2 and h not in ordinary}
+    ordinary = {r.hash for r in common if r.n > NO_NAME * total}
+    learned_names = {r.word for r, h in zip(surnames, hash64(pa.array([r.word for r in surnames], pa.large_string())).tolist(), strict=True) if len(r.word) > 2 and h not in ordinary and r.word not in TITLES}
     return Finder(set(GIVEN_NAMES) | learned_names, hashes)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import random
 
-TRAINING_TEXTS = 2000
+TRAINING_TEXTS = 3000
 SEED = 20260901
 
 #: Given names common in French and English; the corpus adds its own.
@@ -30,7 +30,7 @@ _STREETS_EN = ["Street", "St.", "Road", "Rd", "Avenue", "Lane", "Terrace", "Driv
 _STREETS_FR = ["rue", "avenue", "boulevard", "place", "quai", "impasse", "allée", "chemin"]
 
 CARRIERS = {
-    "NAME": ["My name is {}.", "I am {}, and I need help.", "The letter was signed by {}.", "I was seen by {} last week.", "I was seen by {} yesterday.", "{} thinks otherwise.", "Since then {} has been away.", "J'ai été reçue par {} hier.", "According to {}, all is well.", "Kind regards, {}.", "Patient: {}.", "Je m'appelle {}.", "Selon {}, tout va bien.",
+    "NAME": ["My name is {}.", "I am {}, and I need help.", "The letter was signed by {}.", "I was seen by {} last week.", "I was seen by {} yesterday.", "I met {} today.", "Then {} came in.", "{} thinks otherwise.", "Since then {} has been away.", "J'ai été reçue par {} hier.", "According to {}, all is well.", "Kind regards, {}.", "Patient: {}.", "Je m'appelle {}.", "Selon {}, tout va bien.",
              "Le courrier est signé {}.", "Cordialement, {}.", "Patient : {}.", "J'ai vu {} hier.", "Ask {} about it.", "{} called again this morning.", "J'ai été reçu par {} mardi."],
     "PHONE": ["Call me on {}.", "Tel: {}.", "My mobile is {} if needed.", "Phone {} after six.", "Number left with the desk: {}.", "You can reach me at {}.", "Rappelez-moi au {}.", "Mon portable est le {}.", "Téléphone : {}.", "Numéro laissé au secrétariat : {}.",
               "On peut me joindre au {} après 18 h.", "The patient can be reached at {}."],
@@ -48,6 +48,7 @@ DECOYS = [
     "Batch number {d9} is fine.", "La norme {d5}-{d2} s'applique.", "Le syndrome de {S} est exclu.", "ISBN {d3}-{d1}-{d4}-{d4}-{d1}.", "The temperature was {d2}.{d1} at {d2}:{d2}.", "Walking {d2} minutes helps, see page {d3}.", "Rue {S}, la pharmacie est fermée.", "{T} lies {d2} km away.",
     "A nurse may teach you how to do it.", "The nurse will visit tomorrow.", "Ask your doctor or pharmacist.", "The doctor would know.", "A doctor saw me at noon.", "Our professor spoke in {T}.", "Le docteur est absent.", "Mon docteur pense que oui.", "Madame, merci de patienter.", "Un monsieur attend dehors.",
     "Nurse visits are free.", "Miss one dose and wait.", "I am a {d2}-year-old nurse from {T}.", "The clinic told me in {T} that it is called rest.", "Both carers around me seem fine.", "The page at clinic.example.com lists it.", "Mail.example.com was down.", "See clinic.example.org at noon.",
+    "A nurse {t} you how.", "The nurse {t} twice.", "My doctor {t} it.", "Mon docteur {t} cela.", "The professor {t} slowly.", "{G} {t} it again.",
     "The {G} scale was used.", "Published {y}-{d2}-{d2}, volume {d3}, pages {d3}-{d3}.", "Serial {d4}-{d4}-{d4}.",
 ]
 
@@ -110,9 +111,13 @@ class Maker:
         return f"{local}{at}{r.choice(['mail', 'post', 'clinic-' + self.word(1, 2), self.word()])}{dot}example{dot}{r.choice(['com', 'org', 'net'])}"
 
     def value(self, kind: str) -> tuple[str, int]:
+        """(text, where the piece itself starts); some pieces are all in one case."""
         if kind == "NAME":
-            return self.name()
-        return {"PHONE": self.phone, "ID_NUMBER": self.number, "ADDRESS": self.address, "EMAIL": self.email}[kind](), 0
+            text, at = self.name()
+        else:
+            text, at = {"PHONE": self.phone, "ID_NUMBER": self.number, "ADDRESS": self.address, "EMAIL": self.email}[kind](), 0
+        case = self.r.random()
+        return (text.lower() if case < 0.12 else text.upper() if case < 0.18 and len(text.upper()) == len(text) else text), at
 
     def decoy(self) -> str:
         s = self.r.choice(DECOYS).replace("{S}", self.surname()).replace("{T}", self.word().capitalize()).replace("{t}", self.word()).replace("{y}", str(self.r.randint(1990, 2025))).replace("{G}", self.r.choice(GIVEN_NAMES).capitalize())
