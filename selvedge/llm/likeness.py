@@ -195,3 +195,9 @@ def likeness_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     either = F.size("wa") + F.size("wb") - shared
     links = pairs.join(left, "a").join(right, "b").where(shared * LIKE_DEN >= either * LIKE_NUM).select("a", "b")
     return members, links
+
+
+#: Of rows t(id, text): w (id, word list, key of the word set) and alike (a, b), the pairs of different sets by counting shared words.
+LIKE_SQL = r"""v AS (SELECT id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS l FROM t),
+w AS (SELECT id, l, array_to_string(l, ' ') AS k FROM v), s AS (SELECT k, any_value(l) AS l FROM w GROUP BY k), x AS (SELECT k, len(l) AS n, unnest(l) AS word FROM s),
+alike AS (SELECT a.k AS a, b.k AS b FROM x a JOIN x b ON a.word = b.word AND a.k <> b.k GROUP BY 1, 2, a.n, b.n HAVING count(*) * 100 >= 65 * (a.n + b.n - count(*)))"""
