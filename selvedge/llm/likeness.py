@@ -12,7 +12,9 @@ stage works on pairs of records that have nothing rare in common:
    they are the only corpus statistic that is broadcast.
 3. Sets are joined on the n-grams that their prefix words form in text order.
    Sets with few rare words also use longer n-grams over a wider prefix, and
-   short texts every word of their exact prefix.
+   short texts every word of their exact prefix. A class of near copies that
+   holds much of the table makes its own words frequent; for it every text also
+   uses the smallest hashes among its n-grams of all words.
 4. In the join condition: length filter (sizes within the threshold),
    positional filter (ranks of the matching word in the rare-first order) and
    suffix filter (Hamming distance of 256-bit parity maps of the word sets, a
@@ -26,6 +28,7 @@ n-gram; the README gives the recall measured against brute force.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from selvedge.functions.tokens import coded, flat, hash64, rolling_hash, rows_of, words
+from selvedge.operators.components import connected_components
 from selvedge.session import materialize
 
 LIKE_NUM, LIKE_DEN = 65, 100
@@ -43,6 +47,11 @@ RARE_LEAST = 20
 NGRAM, NGRAM_WIDE, NGRAM_ALL = 2, 3, 6
 #: Sets with up to so many rare words also use the wider prefix.
 FEW_RARE = 7
+#: So many n-grams of SKETCH_WORDS consecutive words, those with the smallest hashes, are used whatever their frequency;
+#: more in sets where at most one word in SPARSE is rare.
+SKETCH, SKETCH_SPARSE, SKETCH_WORDS, SPARSE = 4, 16, 5, 9
+#: N-grams in so many sets are linked through a leader first.
+CROWD = 64
 #: Texts of up to so many distinct words use the single words of their exact prefix.
 SHORT = 12
 
@@ -89,6 +98,19 @@ def _ngrams(hashes: np.ndarray, rows: np.ndarray, pos: np.ndarray, n: int, famil
     return gram ^ np.int64(family * 0x51ED270B7A2C9F3), row, first
 
 
+def _sketch(hashes: np.ndarray, rows: np.ndarray, pos: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The smallest n-gram hashes of each row, as many as its size."""
+    gram, row, first = _ngrams(hashes, rows, pos, SKETCH_WORDS, 5)
+    order = np.lexsort((gram, row))
+    gram, row, first = gram[order], row[order], first[order]
+    new = np.ones(len(gram), bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
+    gram, row, first = gram[new], row[new], first[new]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    low = place < size[row]
+    return gram[low], row[low], first[low]
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, very_frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in batches:
         count = b.num_rows
@@ -128,6 +150,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, very_fr
             _ngrams(word[rare], rows[rare], place[rare], NGRAM, 1),
             _ngrams(word[wide], rows[wide], place[wide], NGRAM_WIDE, 2),
             _ngrams(word[plain], rows[plain], place[plain], NGRAM_ALL, 3),
+            _sketch(word, rows, place, np.where(n_rare * SPARSE <= n, SKETCH_SPARSE, SKETCH)),
             (h[prefix] ^ np.int64(4 * 0x51ED270B7A2C9F3), set_row[prefix], rank[prefix]),
         ]
         gram, row, pos = (np.concatenate([p[k] for p in parts]) for k in range(3))
@@ -154,47 +177,97 @@ def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(off, pa.array(h))], names=["id", "words"])
 
 
-def likeness_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """texts (id, side, text) to (members (id, side, set_id), links (a, b) between set ids, a < b).
+@dataclass
+class WordSets:
+    """The distinct word sets of a table: its rows' membership and the postings of the sets' prefix n-grams."""
 
-    side is a bit mask; two sets are compared when one holds side 1 and the
-    other side 2, so a side of 3 everywhere compares all of them. Null is the
-    empty text; texts without words form one set that is like no other.
-    """
+    texts: DataFrame
+    members: DataFrame
+    postings: DataFrame
+
+
+def word_sets(texts: DataFrame) -> WordSets:
+    """texts (id, side, text) with equal word sets collapsed; the smallest id names a set."""
     frequent, very = frequent_words(texts)
-    signed = texts.select("id", "side", "text").mapInArrow(lambda it: _signatures(it, frequent, very), SETS)
-    rows = materialize(signed)
+    rows = materialize(texts.select("id", "side", "text").mapInArrow(lambda it: _signatures(it, frequent, very), SETS))
     sets = rows.groupBy("set_hash", "n").agg(F.min("id").alias("set_id"), F.bit_or("side").alias("sides"))
     members = materialize(rows.select("id", "side", "set_hash", "n").join(sets, ["set_hash", "n"]).select("id", "side", "set_id", "sides"))
     firsts = members.where("id = set_id").select("id", "sides")
-    posted = rows.join(firsts, "id").select(
-        F.col("id").alias("set"), *MAPS, (F.col("n").cast("bigint") * 4 + F.col("sides")).alias("meta"), F.explode(F.arrays_zip("grams", "pos")).alias("g")
-    ).select(F.col("g.grams").alias("gram"), "set", *MAPS, (F.col("meta") * (1 << 24) + F.col("g.pos")).alias("meta"))
-    a, b = posted.alias("a"), posted.alias("b")
+    meta = (F.col("n").cast("bigint") * 4 + F.col("sides")).alias("meta")
+    posted = rows.join(firsts, "id").select(F.col("id").alias("set"), *MAPS, meta, F.explode(F.arrays_zip("grams", "pos")).alias("g"))
+    postings = posted.select(F.col("g.grams").alias("gram"), "set", *MAPS, (F.col("meta") * (1 << 24) + F.col("g.pos")).alias("meta"))
+    return WordSets(texts, members, postings)
+
+
+def may_be_alike() -> str:
+    """The filters of two postings a and b as SQL: sides, length, position, suffix."""
     pos = lambda s: f"({s}.meta & {(1 << 24) - 1})"
     sides = lambda s: f"(shiftright({s}.meta, 24) & 3)"
     size = lambda s: f"shiftright({s}.meta, 26)"
     total = f"({size('a')} + {size('b')})"
     # the most words that may be in only one of two alike sets
     apart = f"({total} - 2 * ((({LIKE_NUM} * {total}) + {LIKE_NUM + LIKE_DEN - 1}) div {LIKE_NUM + LIKE_DEN}))"
-    alike = " and ".join(
+    return " and ".join(
         [
-            "a.gram = b.gram and a.set < b.set",
             f"(({sides('a')} & 1) * ({sides('b')} & 2) + ({sides('a')} & 2) * ({sides('b')} & 1)) > 0",
             f"least({size('a')}, {size('b')}) * {LIKE_DEN} >= greatest({size('a')}, {size('b')}) * {LIKE_NUM}",
             f"abs({pos('a')} - {pos('b')}) + abs(({size('a')} - {pos('a')}) - ({size('b')} - {pos('b')})) <= {apart}",
             " + ".join(f"bit_count(a.{m} ^ b.{m})" for m in MAPS) + f" <= {apart}",
         ]
     )
-    pairs = materialize(a.join(b, F.expr(alike)).select(F.col("a.set").alias("a"), F.col("b.set").alias("b")).distinct())
+
+
+def candidate_pairs(postings: DataFrame, condition: str = "true") -> DataFrame:
+    """Distinct (a, b), a < b, of sets that share a prefix n-gram and pass the filters and the condition."""
+    on = F.expr(f"a.gram = b.gram and a.set < b.set and {condition} and {may_be_alike()}")
+    return postings.alias("a").join(postings.alias("b"), on).select(F.col("a.set").alias("a"), F.col("b.set").alias("b")).distinct()
+
+
+def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are alike; each is verified once on its full word sets."""
+    pairs = materialize(pairs)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets_of = texts.select("id", "text").join(needed, "id", "left_semi").mapInArrow(_word_sets, "id bigint, words array<bigint>")
     left = sets_of.select(F.col("id").alias("a"), F.col("words").alias("wa"))
     right = sets_of.select(F.col("id").alias("b"), F.col("words").alias("wb"))
     shared = F.size(F.array_intersect("wa", "wb"))
     either = F.size("wa") + F.size("wb") - shared
-    links = pairs.join(left, "a").join(right, "b").where(shared * LIKE_DEN >= either * LIKE_NUM).select("a", "b")
-    return members, links
+    return pairs.join(left, "a").join(right, "b").where(shared * LIKE_DEN >= either * LIKE_NUM).select("a", "b")
+
+
+def likeness_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """texts (id, side, text) to (members (id, side, set_id, sides), links (a, b) between set ids, a < b).
+
+    side is a bit mask; two sets are compared when one holds side 1 and the
+    other side 2, so a side of 3 everywhere compares all of them. Null is the
+    empty text; texts without words form one set that is like no other.
+    """
+    sets = word_sets(texts)
+    return sets.members, verified(texts, candidate_pairs(sets.postings))
+
+
+def likeness_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """texts (id, text) to (members (id, side, set_id, sides), classes (set_id, class_id)) of the sets that have a link.
+
+    Classes need no more links than those that join them. N-grams in CROWD or
+    more sets are first linked to one leader each, which costs one candidate a
+    posting; the classes found so far then leave out the pairs inside them, so
+    a class of any size is never compared pair by pair, and every pair between
+    different classes still is.
+    """
+    texts = texts.select("id", F.lit(3).alias("side"), "text")
+    sets = word_sets(texts)
+    crowded = sets.postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= CROWD).select("gram")
+    crowd = sets.postings.join(crowded, "gram")
+    leader = crowd.groupBy("gram").agg(F.min(F.struct("set", *MAPS, "meta")).alias("l")).select("gram", "l.*")
+    on = F.expr(f"a.gram = b.gram and a.set < b.set and {may_be_alike()}")
+    stars = leader.alias("a").join(crowd.alias("b"), on).select(F.col("a.set").alias("a"), F.col("b.set").alias("b")).distinct()
+    first = materialize(verified(texts, stars))
+    known = materialize(connected_components(first).select(F.col("node").alias("set"), "component"))
+    labelled = sets.postings.join(known, "set", "left")
+    links = materialize(verified(texts, candidate_pairs(labelled, "(a.component is null or b.component is null or a.component <> b.component)")))
+    classes = connected_components(first.unionAll(links))
+    return sets.members, classes.select(F.col("node").alias("set_id"), F.col("component").alias("class_id"))
 
 
 #: Of rows t(id, text): w (id, word list, key of the word set) and alike (a, b), the pairs of different sets by counting shared words.

@@ -15,24 +15,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selvedge.llm.likeness import LIKE_SQL, likeness_links
-from selvedge.operators.components import connected_components
+from selvedge.llm.likeness import LIKE_SQL, likeness_classes
 from selvedge.session import materialize, table
 
 
 def near_duplicate_groups(texts: DataFrame) -> DataFrame:
-    """(id, group_id, n_links): every row of texts (id, text) that has a group; n_links counts the sets its set is linked to."""
-    members, links = likeness_links(texts.select("id", F.lit(3).alias("side"), "text"))
-    links = materialize(links)
-    component = connected_components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    grouped = component.join(degree, "node").select(F.col("node").alias("set_id"), "component", "n_links")
+    """(id, group_id): every row of texts (id, text) that has a group; the smallest id of a group's sets names it."""
+    members, classes = likeness_classes(texts)
     # sets without a link are groups only when they have more than one member
-    alone = members.groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"))
-    sets = alone.join(grouped, "set_id", "left").where("copies > 1 or component is not null")
-    return members.select("id", "set_id").join(
-        sets.select("set_id", F.coalesce("component", "set_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "set_id"
-    ).select("id", "group_id", "n_links")
+    copies = members.groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"))
+    sets = copies.join(classes, "set_id", "left").where("copies > 1 or class_id is not null").select("set_id", F.coalesce("class_id", "set_id").alias("group_id"))
+    return members.select("id", "set_id").join(sets, "set_id").select("id", "group_id")
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +38,7 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = materialize(p6_groups(spark, sf_dir).select("id", "group_id"))
+    grouped = materialize(p6_groups(spark, sf_dir))
     a = grouped.select("group_id", F.col("id").alias("id_a"))
     b = grouped.select("group_id", F.col("id").alias("id_b"))
     return a.join(b, "group_id").where("id_a < id_b").select("id_a", "id_b")

@@ -75,6 +75,27 @@ def test_many_copies_and_long_texts(spark):
     assert sorted(r["count"] for r in got) == [2, 500]
 
 
+def test_a_large_class_is_not_compared_pair_by_pair(spark, monkeypatch):
+    from selvedge.llm import likeness
+
+    r = random.Random(8)
+    base = r.choices([f"b{k}" for k in range(3000)], k=80)
+    texts = []
+    for _ in range(1500):
+        words = list(base)
+        for at in r.sample(range(80), 8):
+            words[at] = r.choice(VOCABULARY)
+        texts.append(" ".join(words))
+    texts += [" ".join(r.choices([f"c{k}" for k in range(5000)], k=60)) for _ in range(1500)]
+    seen = []
+    check = likeness.verified
+    monkeypatch.setattr(likeness, "verified", lambda t, p: (seen.append(p.count()), check(t, p))[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    got = near_duplicate_groups(df).groupBy("group_id").count().collect()
+    assert [x["count"] for x in got] == [1500]
+    assert sum(seen) < 60_000  # of 1.1 million pairs in the class
+
+
 def test_empty_tables(spark):
     assert near_duplicate_groups(spark.createDataFrame([], "id bigint, text string")).count() == 0
     assert cross_split_pairs(spark.createDataFrame([], "id bigint, split string, text string")).count() == 0
