@@ -49,14 +49,14 @@ NGRAM, NGRAM_WIDE, NGRAM_ALL = 2, 3, 6
 FEW_RARE = 7
 #: So many n-grams of SKETCH_WORDS consecutive words, those with the smallest hashes, are used whatever their frequency;
 #: more in sets where at most one word in SPARSE is rare.
-SKETCH, SKETCH_SPARSE, SKETCH_WORDS, SPARSE = 4, 16, 5, 9
-#: N-grams in so many sets are linked through a leader first.
-CROWD = 64
+SKETCH, SKETCH_SPARSE, SKETCH_WORDS, SPARSE = 3, 12, 5, 9
+#: Bits of the filter of wanted ids that verification broadcasts, 8 MB at most.
+FILTER_BITS = 1 << 26
 #: Texts of up to so many distinct words use the single words of their exact prefix.
 SHORT = 12
 
 MAPS = ["b0", "b1", "b2", "b3"]
-SETS = "id bigint, side int, set_hash bigint, n int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, grams array<bigint>, pos array<int>"
+SETS = "id bigint, side int, set_hash bigint, n int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, grams array<bigint>, pos array<int>, sketch array<bigint>"
 
 
 def _row_sets(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
@@ -98,17 +98,22 @@ def _ngrams(hashes: np.ndarray, rows: np.ndarray, pos: np.ndarray, n: int, famil
     return gram ^ np.int64(family * 0x51ED270B7A2C9F3), row, first
 
 
-def _sketch(hashes: np.ndarray, rows: np.ndarray, pos: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The smallest n-gram hashes of each row, as many as its size."""
-    gram, row, first = _ngrams(hashes, rows, pos, SKETCH_WORDS, 5)
+def _sketch(hashes: np.ndarray, rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of the smallest n-gram hashes of each row, as many as its size."""
+    gram, row = rolling_hash(hashes, rows, SKETCH_WORDS)
     order = np.lexsort((gram, row))
-    gram, row, first = gram[order], row[order], first[order]
+    gram, row = gram[order], row[order]
     new = np.ones(len(gram), bool)
     new[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
-    gram, row, first = gram[new], row[new], first[new]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    low = place < size[row]
-    return gram[low], row[low], first[low]
+    gram, row = gram[new], row[new]
+    low = np.arange(len(row)) - np.searchsorted(row, row) < size[row]
+    return gram[low], row[low]
+
+
+def _lists(values: np.ndarray, rows: np.ndarray, count: int) -> pa.Array:
+    """One list per row of values that are in row order."""
+    off = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=count))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(values))
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, very_frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -150,7 +155,6 @@ def _signatures(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, very_fr
             _ngrams(word[rare], rows[rare], place[rare], NGRAM, 1),
             _ngrams(word[wide], rows[wide], place[wide], NGRAM_WIDE, 2),
             _ngrams(word[plain], rows[plain], place[plain], NGRAM_ALL, 3),
-            _sketch(word, rows, place, np.where(n_rare * SPARSE <= n, SKETCH_SPARSE, SKETCH)),
             (h[prefix] ^ np.int64(4 * 0x51ED270B7A2C9F3), set_row[prefix], rank[prefix]),
         ]
         gram, row, pos = (np.concatenate([p[k] for p in parts]) for k in range(3))
@@ -159,31 +163,53 @@ def _signatures(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, very_fr
         new = np.ones(len(gram), bool)
         new[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
         gram, row, pos = gram[new], row[new], pos[new]
-        off = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=count))]).astype(np.int32))
+        sketch, sketch_row = _sketch(word, rows, np.where(n_rare * SPARSE <= n, SKETCH_SPARSE, SKETCH))
         yield pa.RecordBatch.from_arrays(
             [
                 b.column(0), b.column(1), pa.array(set_hash), pa.array(n.astype(np.int32)), *map(pa.array, maps),
-                pa.ListArray.from_arrays(off, pa.array(gram)), pa.ListArray.from_arrays(off, pa.array(pos.astype(np.int32))),
+                _lists(gram, row, count), _lists(pos.astype(np.int32), row, count), _lists(sketch, sketch_row, count),
             ],
-            names=["id", "side", "set_hash", "n", *MAPS, "grams", "pos"],
+            names=["id", "side", "set_hash", "n", *MAPS, "grams", "pos", "sketch"],
         )
 
 
-def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_sets(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        slot = _slots(np.asarray(b.column(0)).astype(np.int64))
+        b = b.filter(pa.array((wanted[slot >> 3] >> (slot & 7)) & 1 == 1))
         set_row, set_code, _, _, _, distinct = _row_sets(b.column(1))
-        h = hash64(distinct)[set_code]
-        off = pa.array(np.concatenate([[0], np.cumsum(np.bincount(set_row, minlength=b.num_rows))]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(off, pa.array(h))], names=["id", "words"])
+        yield pa.RecordBatch.from_arrays([b.column(0), _lists(hash64(distinct)[set_code], set_row, b.num_rows)], names=["id", "words"])
+
+
+def _slots(ids: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (FILTER_BITS.bit_length() - 1))).astype(np.int64)
+
+
+def wanted_filter(pairs: DataFrame) -> np.ndarray:
+    """A bit filter of the ids in pairs, FILTER_BITS bits whatever their number; unwanted ids may pass, wanted ones always do."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slots = np.unique(_slots(np.concatenate([np.asarray(c).astype(np.int64) for c in b.columns])))
+            yield pa.RecordBatch.from_arrays([pa.array(slots)], names=["slot"])
+
+    slots = pairs.select("a", "b").mapInArrow(fill, "slot bigint")
+    # a bitmap of the built-in aggregate has 32,768 bits
+    parts = slots.groupBy(F.expr("slot div 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.expr("slot % 32768")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts.toLocalIterator():
+        out[r.bucket * 4096 : (r.bucket + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
 
 
 @dataclass
 class WordSets:
-    """The distinct word sets of a table: its rows' membership and the postings of the sets' prefix n-grams."""
+    """The distinct word sets of a table: its rows' membership, and one row with maps and n-grams per set."""
 
     texts: DataFrame
     members: DataFrame
-    postings: DataFrame
+    sets: DataFrame
 
 
 def word_sets(texts: DataFrame) -> WordSets:
@@ -193,41 +219,53 @@ def word_sets(texts: DataFrame) -> WordSets:
     sets = rows.groupBy("set_hash", "n").agg(F.min("id").alias("set_id"), F.bit_or("side").alias("sides"))
     members = materialize(rows.select("id", "side", "set_hash", "n").join(sets, ["set_hash", "n"]).select("id", "side", "set_id", "sides"))
     firsts = members.where("id = set_id").select("id", "sides")
-    meta = (F.col("n").cast("bigint") * 4 + F.col("sides")).alias("meta")
-    posted = rows.join(firsts, "id").select(F.col("id").alias("set"), *MAPS, meta, F.explode(F.arrays_zip("grams", "pos")).alias("g"))
-    postings = posted.select(F.col("g.grams").alias("gram"), "set", *MAPS, (F.col("meta") * (1 << 24) + F.col("g.pos")).alias("meta"))
-    return WordSets(texts, members, postings)
+    meta = (F.col("n").cast("bigint") * 4 + F.col("sides")) * (1 << 24)
+    return WordSets(texts, members, rows.join(firsts, "id").select(F.col("id").alias("set"), *MAPS, meta.alias("meta"), "grams", "pos", "sketch"))
 
 
-def may_be_alike() -> str:
-    """The filters of two postings a and b as SQL: sides, length, position, suffix."""
+def prefix_postings(sets: DataFrame, *more: str) -> DataFrame:
+    """One row per set and prefix n-gram, with the rank of the n-gram's first word in meta."""
+    posted = sets.select("set", *MAPS, *more, "meta", F.explode(F.arrays_zip("grams", "pos")).alias("g"))
+    return posted.select(F.col("g.grams").alias("gram"), "set", *MAPS, *more, (F.col("meta") + F.col("g.pos")).alias("meta"))
+
+
+def sketch_postings(sets: DataFrame, maps: list[str], *more: str) -> DataFrame:
+    """One row per set and sketch n-gram."""
+    return sets.select("set", *maps, *more, "meta", F.explode("sketch").alias("gram")).select("gram", "set", *maps, *more, "meta")
+
+
+def may_be_alike(maps: list[str], ranked: bool = True) -> str:
+    """The filters of two postings a and b as SQL: sides, length, position where ranks are known, suffix."""
     pos = lambda s: f"({s}.meta & {(1 << 24) - 1})"
     sides = lambda s: f"(shiftright({s}.meta, 24) & 3)"
     size = lambda s: f"shiftright({s}.meta, 26)"
     total = f"({size('a')} + {size('b')})"
     # the most words that may be in only one of two alike sets
     apart = f"({total} - 2 * ((({LIKE_NUM} * {total}) + {LIKE_NUM + LIKE_DEN - 1}) div {LIKE_NUM + LIKE_DEN}))"
-    return " and ".join(
-        [
-            f"(({sides('a')} & 1) * ({sides('b')} & 2) + ({sides('a')} & 2) * ({sides('b')} & 1)) > 0",
-            f"least({size('a')}, {size('b')}) * {LIKE_DEN} >= greatest({size('a')}, {size('b')}) * {LIKE_NUM}",
-            f"abs({pos('a')} - {pos('b')}) + abs(({size('a')} - {pos('a')}) - ({size('b')} - {pos('b')})) <= {apart}",
-            " + ".join(f"bit_count(a.{m} ^ b.{m})" for m in MAPS) + f" <= {apart}",
-        ]
-    )
+    checks = [
+        f"(({sides('a')} & 1) * ({sides('b')} & 2) + ({sides('a')} & 2) * ({sides('b')} & 1)) > 0",
+        f"least({size('a')}, {size('b')}) * {LIKE_DEN} >= greatest({size('a')}, {size('b')}) * {LIKE_NUM}",
+        " + ".join(f"bit_count(a.{m} ^ b.{m})" for m in maps) + f" <= {apart}",
+    ]
+    if ranked:
+        checks.insert(2, f"abs({pos('a')} - {pos('b')}) + abs(({size('a')} - {pos('a')}) - ({size('b')} - {pos('b')})) <= {apart}")
+    return " and ".join(checks)
 
 
-def candidate_pairs(postings: DataFrame, condition: str = "true") -> DataFrame:
-    """Distinct (a, b), a < b, of sets that share a prefix n-gram and pass the filters and the condition."""
-    on = F.expr(f"a.gram = b.gram and a.set < b.set and {condition} and {may_be_alike()}")
-    return postings.alias("a").join(postings.alias("b"), on).select(F.col("a.set").alias("a"), F.col("b.set").alias("b")).distinct()
+def candidate_pairs(postings: DataFrame, ranked: bool = True, condition: str = "true") -> DataFrame:
+    """(a, b), a < b, of sets that share an n-gram and pass the filters and the condition; pairs may repeat."""
+    on = F.expr(f"a.gram = b.gram and a.set < b.set and {condition} and {may_be_alike(MAPS, ranked)}")
+    return postings.alias("a").join(postings.alias("b"), on).select(F.col("a.set").alias("a"), F.col("b.set").alias("b"))
 
 
 def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are alike; each is verified once on its full word sets."""
-    pairs = materialize(pairs)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets_of = texts.select("id", "text").join(needed, "id", "left_semi").mapInArrow(_word_sets, "id bigint, words array<bigint>")
+    """The pairs (a, b) whose texts are alike; each is verified once on its full word sets.
+
+    Only texts whose id passes a filter of bounded size are tokenised and shuffled.
+    """
+    pairs = materialize(pairs.distinct())
+    wanted = wanted_filter(pairs)
+    sets_of = materialize(texts.select("id", "text").mapInArrow(lambda it: _word_sets(it, wanted), "id bigint, words array<bigint>"))
     left = sets_of.select(F.col("id").alias("a"), F.col("words").alias("wa"))
     right = sets_of.select(F.col("id").alias("b"), F.col("words").alias("wb"))
     shared = F.size(F.array_intersect("wa", "wb"))
@@ -242,32 +280,34 @@ def likeness_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     other side 2, so a side of 3 everywhere compares all of them. Null is the
     empty text; texts without words form one set that is like no other.
     """
-    sets = word_sets(texts)
-    return sets.members, verified(texts, candidate_pairs(sets.postings))
+    found = word_sets(texts)
+    pairs = candidate_pairs(prefix_postings(found.sets)).unionAll(candidate_pairs(sketch_postings(found.sets, MAPS), False))
+    return found.members, verified(texts, pairs)
 
 
 def likeness_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """texts (id, text) to (members (id, side, set_id, sides), classes (set_id, class_id)) of the sets that have a link.
 
-    Classes need no more links than those that join them. N-grams in CROWD or
-    more sets are first linked to one leader each, which costs one candidate a
-    posting; the classes found so far then leave out the pairs inside them, so
-    a class of any size is never compared pair by pair, and every pair between
-    different classes still is.
+    Classes need no more links than those that join them. First every set is
+    compared with the leader (the smallest set) of each of its sketch n-grams,
+    one candidate a posting; then the prefix join leaves out the pairs inside
+    the classes found so far. A class of any size is never compared pair by
+    pair, and every pair between different classes still is.
     """
     texts = texts.select("id", F.lit(3).alias("side"), "text")
-    sets = word_sets(texts)
-    crowded = sets.postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= CROWD).select("gram")
-    crowd = sets.postings.join(crowded, "gram")
-    leader = crowd.groupBy("gram").agg(F.min(F.struct("set", *MAPS, "meta")).alias("l")).select("gram", "l.*")
-    on = F.expr(f"a.gram = b.gram and a.set < b.set and {may_be_alike()}")
-    stars = leader.alias("a").join(crowd.alias("b"), on).select(F.col("a.set").alias("a"), F.col("b.set").alias("b")).distinct()
+    found = word_sets(texts)
+    maps = MAPS[:2]  # linear in the postings, so half of the map is filter enough
+    sketch = sketch_postings(found.sets, maps)
+    leader = sketch.groupBy("gram").agg(F.min(F.struct("set", *maps, "meta")).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "l.*")
+    on = F.expr(f"a.gram = b.gram and a.set < b.set and {may_be_alike(maps, False)}")
+    stars = leader.alias("a").join(sketch.alias("b"), on).select(F.col("a.set").alias("a"), F.col("b.set").alias("b"))
     first = materialize(verified(texts, stars))
     known = materialize(connected_components(first).select(F.col("node").alias("set"), "component"))
-    labelled = sets.postings.join(known, "set", "left")
-    links = materialize(verified(texts, candidate_pairs(labelled, "(a.component is null or b.component is null or a.component <> b.component)")))
+    labelled = found.sets.join(known, "set", "left")
+    apart = "(a.component is null or b.component is null or a.component <> b.component)"
+    links = materialize(verified(texts, candidate_pairs(prefix_postings(labelled, "component"), condition=apart)))
     classes = connected_components(first.unionAll(links))
-    return sets.members, classes.select(F.col("node").alias("set_id"), F.col("component").alias("class_id"))
+    return found.members, classes.select(F.col("node").alias("set_id"), F.col("component").alias("class_id"))
 
 
 #: Of rows t(id, text): w (id, word list, key of the word set) and alike (a, b), the pairs of different sets by counting shared words.
