@@ -49,7 +49,7 @@ NGRAM, NGRAM_WIDE, NGRAM_ALL = 2, 3, 6
 FEW_RARE = 7
 #: So many n-grams of SKETCH_WORDS consecutive words, those with the smallest hashes, are used whatever their frequency;
 #: more in sets where at most one word in SPARSE is rare.
-SKETCH, SKETCH_SPARSE, SKETCH_WORDS, SPARSE = 3, 12, 5, 9
+SKETCH, SKETCH_SPARSE, SKETCH_WORDS, SPARSE, OFTEN = 3, 12, 5, 9, 4
 #: Bits of the filter of wanted ids that verification broadcasts, 8 MB at most.
 FILTER_BITS = 1 << 26
 #: Texts of up to so many distinct words use the single words of their exact prefix.
@@ -101,7 +101,11 @@ def _ngrams(hashes: np.ndarray, rows: np.ndarray, pos: np.ndarray, n: int, famil
 def _sketch(hashes: np.ndarray, rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of the smallest n-gram hashes of each row, as many as its size."""
     gram, row = rolling_hash(hashes, rows, SKETCH_WORDS)
-    order = np.lexsort((gram, row))
+    # hashes are uniform: the smallest few of a row's n lie below OFTEN times their share of the range, so only those are sorted
+    share = OFTEN * size / np.maximum(np.bincount(row, minlength=len(size)), 1)
+    low = (gram.view(np.uint64) >> np.uint64(11)) < np.minimum(share, 1.0)[row] * float(1 << 53)
+    gram, row = gram[low], row[low]
+    order = np.lexsort((gram.view(np.uint64), row))
     gram, row = gram[order], row[order]
     new = np.ones(len(gram), bool)
     new[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
