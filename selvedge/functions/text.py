@@ -85,6 +85,17 @@ def digest_int(digest: Column, offset: int = 0) -> Column:
     return F.conv(F.substring(digest, offset + 1, 8), 16, 10).cast("bigint")
 
 
+def pick_by_digest(key: Column, values: list[str], offset: int = 0) -> Column:
+    """One of the values by the digest of a key; other offsets give other picks of the same key."""
+    return F.element_at(F.array(*map(F.lit, values)), (digest_int(sha(key), offset) % len(values) + 1).cast("int"))
+
+
+def emails_with_suffix(c: Column, suffixes: list[str]) -> Column:
+    """The addresses of mail in a text whose last domain label is in the list."""
+    found = F.regexp_extract_all(or_empty(c), F.lit(EMAIL), F.lit(0))
+    return F.filter(found, lambda m: F.lower(F.substring_index(m, ".", -1)).isin(suffixes))
+
+
 def canonical_json(fields: dict[str, Column]) -> Column:
     """JSON with fields in name order and nulls kept."""
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})

@@ -96,3 +96,15 @@ def mask_spans(texts: DataFrame, found: DataFrame, placeholder: str) -> DataFram
     cut = F.expr(f"aggregate(spans, text, (t, s) -> concat(substring(t, 1, s.start), '{placeholder}', substring(t, s.end + 1)))")
     joined = texts.join(spans, ["id", "field"], "left")
     return joined.select("id", "field", F.coalesce(cut, F.col("text")).alias("text"), F.coalesce(F.size("spans"), F.lit(0)).alias("masked"))
+
+
+def record_decisions(records: DataFrame, found: DataFrame, id_col: str, direct: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(private, public): findings with their text, and one text-free row per record with its status and counts.
+
+    A record with a direct identifier is direct, one with other findings only is
+    contextual, one without any is clear.
+    """
+    counts = found.groupBy("id").agg(F.count(F.lit(1)).alias("findings"), F.max(F.col("entity").isin(direct).cast("int")).alias("is_direct"))
+    status = F.when(F.col("is_direct") == 1, "direct").when(F.col("findings") > 0, "contextual").otherwise("clear")
+    ids = records.select(F.col(id_col).cast("bigint").alias("id")).distinct()
+    return found, ids.join(counts, "id", "left").select("id", status.alias("status"), F.coalesce("findings", F.lit(0)).alias("findings"))

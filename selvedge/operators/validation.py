@@ -70,3 +70,14 @@ def revision_diff(old: DataFrame, new: DataFrame, key: str, content: str) -> Dat
     b = new.select(F.col(key), F.col(content).alias("__new"), F.lit(True).alias("__b"))
     change = F.when(F.col("__b").isNull(), "removed").when(F.col("__a").isNull(), "added").when(F.col("__old").eqNullSafe(F.col("__new")), "retained").otherwise("changed")
     return a.join(b, key, "full_outer").select(key, change.alias("change"))
+
+
+def quota_violations(rows: DataFrame, groups: list[str], expected: int, values: dict[str, list[str]] | None = None) -> DataFrame:
+    """(groups, n): combinations that do not have exactly the expected number of rows; with values also combinations without any row."""
+    counts = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
+    if values:
+        every = rows.sparkSession.range(1).select()
+        for g in groups:
+            every = every.withColumn(g, F.explode(F.array(*map(F.lit, values[g]))))
+        counts = every.join(counts, groups, "full_outer").withColumn("n", F.coalesce("n", F.lit(0)))
+    return counts.where(F.col("n") != expected)

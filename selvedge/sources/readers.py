@@ -126,3 +126,12 @@ def read_reports(spark: SparkSession, reports: list[tuple[str, str]], schema: st
         rows = spark.read.schema(schema).json(path, multiLine=True).withColumn("variant", F.lit(variant))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def index_sources(sources: dict[str, DataFrame]) -> DataFrame:
+    """Several sources (locator, question, answer) as one table keyed by source and locator; a locator found twice in a source stays one row, the first by text."""
+    out = None
+    for name, rows in sources.items():
+        one = rows.groupBy("locator").agg(F.min(F.struct("question", "answer")).alias("r")).select(F.lit(name).alias("source"), "locator", "r.*")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -108,3 +108,11 @@ def test_rolling_hash_stays_within_rows():
     h, rows = rolling_hash(np.array([1, 2, 3, 1, 2, 3], np.int64), rows_of(np.array([0, 3, 6])), 2)
     assert rows.tolist() == [0, 0, 1, 1] and h[0] == h[2] and h[1] == h[3]
     assert len(rolling_hash(np.zeros(0, np.int64), np.zeros(0, np.int64), 3)[0]) == 0
+
+
+def test_picks_and_suffixes(spark):
+    df = spark.createDataFrame([(k,) for k in range(200)], "k bigint")
+    got = df.select(text.pick_by_digest(F.col("k").cast("string"), ["a", "b", "c"]).alias("x"), text.pick_by_digest(F.col("k").cast("string"), ["a", "b", "c"], 8).alias("y")).collect()
+    assert {r.x for r in got} == {"a", "b", "c"} and any(r.x != r.y for r in got)
+    assert got[7].x == "abc"[int(hashlib.sha256(b"7").hexdigest()[:8], 16) % 3]
+    assert one(spark, text.emails_with_suffix(F.col("t"), ["org"]), "t string", "a@b.org, c@d.local") == ["a@b.org"]

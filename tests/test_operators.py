@@ -254,3 +254,14 @@ def test_blinded_review(spark):
     flagged = spark.createDataFrame([(ids[0], ["bad"], "why")], "review_id string, flags array<string>, rationale string")
     assert {(r.review_id, r.reason) for r in review.decision_violations(queue, clear, flagged, ["bad"]).collect()} == {(ids[1], "not_reviewed")}
     assert sum(r.flagged for r in review.flag_counts(key, flagged, ["bad"]).collect()) == 1
+
+
+def test_quotas_and_decisions(spark):
+    df = spark.createDataFrame([("fr", "x"), ("fr", "x"), ("en", "x"), ("en", "x"), ("en", "y")], "lang string, cat string")
+    assert {(r.lang, r.cat, r.n) for r in validation.quota_violations(df, ["lang", "cat"], 2).collect()} == {("en", "y", 1)}
+    every = validation.quota_violations(df, ["lang", "cat"], 2, {"lang": ["fr", "en"], "cat": ["x", "y"]})
+    assert {(r.lang, r.cat, r.n) for r in every.collect()} == {("en", "y", 1), ("fr", "y", 0)}
+    texts = spark.createDataFrame([(1, "a@b.example.org"), (2, "My name is Ann Lee."), (3, "none"), (4, None)], "id bigint, t string")
+    private, public = privacy.record_decisions(texts, privacy.findings(texts, "id", ["t"]), "id", ["EMAIL_ADDRESS"])
+    assert {(r.id, r.status, r.findings) for r in public.collect()} == {(1, "direct", 1), (2, "contextual", 1), (3, "clear", 0), (4, "clear", 0)}
+    assert "span" in private.columns and "span" not in public.columns

@@ -106,3 +106,9 @@ def test_stream_appends_once_and_goes_on(spark, tmp_path):
     assert run() == [1, 2, 3]
     counts = hourly_counts(spark.read.parquet(str(tmp_path / "out")), "logged_at", "1 day").collect()
     assert [r.n_rows for r in counts] == [3]
+
+
+def test_sources_are_indexed(spark):
+    a = spark.createDataFrame([("1", "q", "x"), ("1", "q", "a"), ("2", "q", "b")], "locator string, question string, answer string")
+    got = readers.index_sources({"m": a, "n": a.where("locator = '2'")}).collect()
+    assert {(r.source, r.locator, r.answer) for r in got} == {("m", "1", "a"), ("m", "2", "b"), ("n", "2", "b")}
