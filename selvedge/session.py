@@ -43,6 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Tables written by materialize() in this process and not discarded yet.
+_made: list[str] = []
+
+
 def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
@@ -55,18 +59,29 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by materialize()."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    """Delete the files of a table made by materialize(), once nothing reads it any more."""
     for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        name = os.path.basename(folder.rstrip("/"))
-        if name.startswith("selvedge-"):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        if os.path.basename(folder.rstrip("/")).startswith("selvedge-"):
+            _delete(df.sparkSession, folder)
+            _made[:] = [m for m in _made if os.path.basename(m) != os.path.basename(folder)]
+
+
+def discard_all(spark: SparkSession) -> int:
+    """Delete every table that materialize() wrote in this process; for the end of a job, when its results are written."""
+    gone = len(_made)
+    while _made:
+        _delete(spark, _made.pop())
+    return gone
 
 
 class ContractViolation(ValueError):

@@ -49,6 +49,17 @@ def test_group_facts_with_hot_and_null_keys(spark):
     discard(df)
 
 
+def test_tables_are_materialised_and_discarded(spark):
+    import os
+
+    from selvedge.session import _made, discard_all
+
+    df = materialize(spark.range(5))
+    path = _made[-1]
+    assert df.count() == 5 and os.path.isdir(path)
+    assert discard_all(spark) >= 1 and not os.path.isdir(path) and not _made
+
+
 def test_overlap_and_spanning_keys(spark):
     df = spark.createDataFrame([("train", "x"), ("test", "x"), ("dev", "x"), ("dev", "y"), ("train", "y"), ("test", ""), ("train", "")], "g string, k string")
     assert {(r.left_group, r.right_group, r.shared) for r in cross_group_overlap(df, "g", "k").collect()} == {("dev", "test", 1), ("dev", "train", 2), ("test", "train", 1)}
