@@ -233,12 +233,12 @@ def prefix_postings(sets: DataFrame, *more: str) -> DataFrame:
     return posted.select(F.col("g.grams").alias("gram"), "set", *MAPS, *more, (F.col("meta") + F.col("g.pos")).alias("meta"))
 
 
-def sketch_postings(sets: DataFrame, maps: list[str], *more: str) -> DataFrame:
+def sketch_postings(sets: DataFrame) -> DataFrame:
     """One row per set and sketch n-gram."""
-    return sets.select("set", *maps, *more, "meta", F.explode("sketch").alias("gram")).select("gram", "set", *maps, *more, "meta")
+    return sets.select(F.explode("sketch").alias("gram"), "set", *MAPS, "meta")
 
 
-def may_be_alike(maps: list[str], ranked: bool = True) -> str:
+def may_be_alike(ranked: bool = True) -> str:
     """The filters of two postings a and b as SQL: sides, length, position where ranks are known, suffix."""
     pos = lambda s: f"({s}.meta & {(1 << 24) - 1})"
     sides = lambda s: f"(shiftright({s}.meta, 24) & 3)"
@@ -249,7 +249,7 @@ def may_be_alike(maps: list[str], ranked: bool = True) -> str:
     checks = [
         f"(({sides('a')} & 1) * ({sides('b')} & 2) + ({sides('a')} & 2) * ({sides('b')} & 1)) > 0",
         f"least({size('a')}, {size('b')}) * {LIKE_DEN} >= greatest({size('a')}, {size('b')}) * {LIKE_NUM}",
-        " + ".join(f"bit_count(a.{m} ^ b.{m})" for m in maps) + f" <= {apart}",
+        " + ".join(f"bit_count(a.{m} ^ b.{m})" for m in MAPS) + f" <= {apart}",
     ]
     if ranked:
         checks.insert(2, f"abs({pos('a')} - {pos('b')}) + abs(({size('a')} - {pos('a')}) - ({size('b')} - {pos('b')})) <= {apart}")
@@ -258,7 +258,7 @@ def may_be_alike(maps: list[str], ranked: bool = True) -> str:
 
 def candidate_pairs(postings: DataFrame, ranked: bool = True, condition: str = "true") -> DataFrame:
     """(a, b), a < b, of sets that share an n-gram and pass the filters and the condition; pairs may repeat."""
-    on = F.expr(f"a.gram = b.gram and a.set < b.set and {condition} and {may_be_alike(MAPS, ranked)}")
+    on = F.expr(f"a.gram = b.gram and a.set < b.set and {condition} and {may_be_alike(ranked)}")
     return postings.alias("a").join(postings.alias("b"), on).select(F.col("a.set").alias("a"), F.col("b.set").alias("b"))
 
 
@@ -285,7 +285,7 @@ def likeness_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     empty text; texts without words form one set that is like no other.
     """
     found = word_sets(texts)
-    pairs = candidate_pairs(prefix_postings(found.sets)).unionAll(candidate_pairs(sketch_postings(found.sets, MAPS), False))
+    pairs = candidate_pairs(prefix_postings(found.sets)).unionAll(candidate_pairs(sketch_postings(found.sets), False))
     return found.members, verified(texts, pairs)
 
 
@@ -300,10 +300,9 @@ def likeness_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     texts = texts.select("id", F.lit(3).alias("side"), "text")
     found = word_sets(texts)
-    maps = MAPS[:2]  # linear in the postings, so half of the map is filter enough
-    sketch = sketch_postings(found.sets, maps)
-    leader = sketch.groupBy("gram").agg(F.min(F.struct("set", *maps, "meta")).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "l.*")
-    on = F.expr(f"a.gram = b.gram and a.set < b.set and {may_be_alike(maps, False)}")
+    sketch = sketch_postings(found.sets)
+    leader = sketch.groupBy("gram").agg(F.min(F.struct("set", *MAPS, "meta")).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "l.*")
+    on = F.expr(f"a.gram = b.gram and a.set < b.set and {may_be_alike(False)}")
     stars = leader.alias("a").join(sketch.alias("b"), on).select(F.col("a.set").alias("a"), F.col("b.set").alias("b"))
     first = materialize(verified(texts, stars))
     known = materialize(connected_components(first).select(F.col("node").alias("set"), "component"))
