@@ -6,29 +6,30 @@ stage works on pairs of records that have nothing rare in common:
 
 1. Rows with the same word set collapse into one set; only sets are joined, and
    a text delivered a million times is one row of the join.
-2. Words are ordered rare-first. The rare-first prefix of a set is what is left
-   without the words found in more than RARE of all texts. There are at most
-   (words per text / RARE) such frequent words however large the corpus is, so
-   they are the only corpus statistic that is broadcast.
-3. Sets are joined on the n-grams that their prefix words form in text order.
-   Sets with few rare words also use longer n-grams over a wider prefix, and
-   short texts every word of their exact prefix. A class of near copies that
-   holds much of the table makes its own words frequent; for it every text also
-   uses the smallest hashes among its n-grams of all words.
-4. In the join condition: length filter (sizes within the threshold),
-   positional filter (ranks of the matching word in the rare-first order) and
-   suffix filter (Hamming distance of 256-bit parity maps of the word sets, a
-   lower bound of their true difference). All are exact.
+2. Words are ordered rare-first: words found in at most RARE of the texts by
+   hash, then the others by their count. There are at most (words per text /
+   RARE) such frequent words however large the corpus is, so their counts are
+   the only corpus statistic that is broadcast.
+3. Sets are joined on the single words of their exact prefixes: two alike sets
+   of n words share one of the first n - ceil(0.65 n) + 1 of either, whatever
+   their lengths, the order of their words and where they were edited.
+4. Pairs of a posting list pass the length filter (sizes within the threshold),
+   the positional filter (ranks of the matching word in the rare-first order) and
+   the suffix filter (Hamming distance of 256-bit parity maps of the word sets, a
+   lower bound of their true difference). All are exact. The lists are compared
+   in tiles of arrays, some nanoseconds a pair.
 5. Each remaining pair is verified once on its full word sets.
 
-Steps 1, 2, 4 and 5 lose nothing. Step 3 finds the pairs that share a prefix
-n-gram; the README gives the recall measured against brute force.
+No step loses a pair. A word in m sets costs up to m * m / 2 comparisons of
+maps, so the time grows with the square of the table where frequent words are in
+the prefixes; the README gives the measured figures.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,20 +41,17 @@ from selvedge.operators.components import connected_components
 from selvedge.session import materialize
 
 LIKE_NUM, LIKE_DEN = 65, 100
-#: Words in more than this share of the texts are left out of the prefix; the wider prefix is for sets with few rare words.
-RARE, RARE_WIDE = 0.015, 0.04
+#: Words in more than this share of the texts are ordered by their count, behind all others.
+RARE = 0.015
 #: In small tables words in up to so many texts are rare.
 RARE_LEAST = 20
-NGRAM, NGRAM_WIDE, NGRAM_ALL = 2, 3, 6
-#: Sets with up to so many rare words also use the wider prefix.
-FEW_RARE = 7
 #: So many n-grams of SKETCH_WORDS consecutive words, those with the smallest hashes, are used whatever their frequency;
 #: more in sets where at most one word in SPARSE is rare.
 SKETCH, SKETCH_SPARSE, SKETCH_WORDS, SPARSE, OFTEN = 3, 12, 5, 9, 4
 #: Bits of the filter of wanted ids that verification broadcasts, 8 MB at most.
 FILTER_BITS = 1 << 26
-#: Texts of up to so many distinct words use the single words of their exact prefix.
-SHORT = 12
+#: Rows and columns of a tile of a posting list; rows with up to FEW partners are expanded to pairs instead.
+TILE_ROWS, TILE_COLUMNS, FEW = 128, 2048, 64
 
 MAPS = ["b0", "b1", "b2", "b3"]
 SETS = "id bigint, side int, set_hash bigint, n int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, grams array<bigint>, pos array<int>, sketch array<bigint>"
@@ -82,20 +80,12 @@ def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def frequent_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words in more than RARE, and in more than RARE_WIDE, of the texts."""
+    """Hashes of the words in more than RARE of the texts, sorted, and the number of texts with each."""
     counts = texts.select("text").mapInArrow(_document_frequency, "word bigint, total boolean, n bigint").groupBy("word", "total").agg(F.sum("n").alias("n"))
     counts = materialize(counts)
     n = (counts.where("total").agg(F.sum("n")).first()[0]) or 0
-    least, wide = max(RARE * n, RARE_LEAST), max(RARE_WIDE * n, RARE_LEAST)
-    found = counts.where(~F.col("total") & (F.col("n") > least)).collect()  # at most words per text / RARE
-    return np.array(sorted(r.word for r in found), np.int64), np.array(sorted(r.word for r in found if r.n > wide), np.int64)
-
-
-def _ngrams(hashes: np.ndarray, rows: np.ndarray, pos: np.ndarray, n: int, family: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    gram, row = rolling_hash(hashes, rows, n)
-    m = max(0, len(hashes) - n + 1)
-    first = pos[:m][rows[:m] == rows[n - 1 :]] if m else pos[:0]
-    return gram ^ np.int64(family * 0x51ED270B7A2C9F3), row, first
+    found = sorted(counts.where(~F.col("total") & (F.col("n") > max(RARE * n, RARE_LEAST))).select("word", "n").collect())  # at most words per text / RARE
+    return np.array([r.word for r in found], np.int64), np.array([r.n for r in found], np.int64)
 
 
 def _sketch(hashes: np.ndarray, rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,16 +110,17 @@ def _lists(values: np.ndarray, rows: np.ndarray, count: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off), pa.array(values))
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, very_frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, texts_with: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in batches:
         count = b.num_rows
-        set_row, set_code, inverse, rows, codes, distinct = _row_sets(b.column(2))
+        set_row, set_code, _, rows, codes, distinct = _row_sets(b.column(2))
         hashed = hash64(distinct)
-        common, very = np.isin(hashed, frequent), np.isin(hashed, very_frequent)
+        common, weight = np.isin(hashed, frequent), np.zeros(len(hashed), np.int64)
+        weight[common] = texts_with[np.searchsorted(frequent, hashed[common])]
         h = hashed[set_code]
         u = h.view(np.uint64)
         n = np.bincount(set_row, minlength=count)
-        order = np.lexsort((h, common[set_code], set_row))  # rare-first rank of each distinct word in its row
+        order = np.lexsort((h, weight[set_code], set_row))  # rare-first rank of each distinct word in its row
         start = np.concatenate([[0], np.cumsum(n)])
         rank = np.empty(len(h), np.int64)
         rank[order] = np.arange(len(h)) - start[set_row[order]]
@@ -148,26 +139,10 @@ def _signatures(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, very_fr
         quarter = (u >> np.uint64(6)) & np.uint64(3)
         maps = [per_row(np.where(quarter == k, bit, np.uint64(0)), np.bitwise_xor) for k in range(len(MAPS))]
 
-        word, place = hashed[codes], rank[inverse]
-        rare = ~common[codes]
         n_rare = np.bincount(set_row[~common[set_code]], minlength=count)
-        n_wide = np.bincount(set_row[~very[set_code]], minlength=count)
-        wide = ~very[codes] & (n_rare <= FEW_RARE)[rows]
-        plain = ((n_wide < NGRAM_WIDE) & (n > SHORT))[rows]
-        prefix = (rank <= n[set_row] - -(-LIKE_NUM * n[set_row] // LIKE_DEN)) & (n[set_row] <= SHORT)
-        parts = [
-            _ngrams(word[rare], rows[rare], place[rare], NGRAM, 1),
-            _ngrams(word[wide], rows[wide], place[wide], NGRAM_WIDE, 2),
-            _ngrams(word[plain], rows[plain], place[plain], NGRAM_ALL, 3),
-            (h[prefix] ^ np.int64(4 * 0x51ED270B7A2C9F3), set_row[prefix], rank[prefix]),
-        ]
-        gram, row, pos = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        order = np.lexsort((pos, gram, row))
-        gram, row, pos = gram[order], row[order], pos[order]
-        new = np.ones(len(gram), bool)
-        new[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
-        gram, row, pos = gram[new], row[new], pos[new]
-        sketch, sketch_row = _sketch(word, rows, np.where(n_rare * SPARSE <= n, SKETCH_SPARSE, SKETCH))
+        prefix = rank <= n[set_row] - -(-LIKE_NUM * n[set_row] // LIKE_DEN)
+        gram, row, pos = h[prefix], set_row[prefix], rank[prefix]
+        sketch, sketch_row = _sketch(hashed[codes], rows, np.where(n_rare * SPARSE <= n, SKETCH_SPARSE, SKETCH))
         yield pa.RecordBatch.from_arrays(
             [
                 b.column(0), b.column(1), pa.array(set_hash), pa.array(n.astype(np.int32)), *map(pa.array, maps),
@@ -218,8 +193,8 @@ class WordSets:
 
 def word_sets(texts: DataFrame) -> WordSets:
     """texts (id, side, text) with equal word sets collapsed; the smallest id names a set."""
-    frequent, very = frequent_words(texts)
-    rows = materialize(texts.select("id", "side", "text").mapInArrow(lambda it: _signatures(it, frequent, very), SETS))
+    frequent, texts_with = frequent_words(texts)
+    rows = materialize(texts.select("id", "side", "text").mapInArrow(lambda it: _signatures(it, frequent, texts_with), SETS))
     sets = rows.groupBy("set_hash", "n").agg(F.min("id").alias("set_id"), F.bit_or("side").alias("sides"))
     members = materialize(rows.select("id", "side", "set_hash", "n").join(sets, ["set_hash", "n"]).select("id", "side", "set_id", "sides"))
     firsts = members.where("id = set_id").select("id", "sides")
@@ -227,20 +202,13 @@ def word_sets(texts: DataFrame) -> WordSets:
     return WordSets(texts, members, rows.join(firsts, "id").select(F.col("id").alias("set"), *MAPS, meta.alias("meta"), "grams", "pos", "sketch"))
 
 
-def prefix_postings(sets: DataFrame, *more: str) -> DataFrame:
-    """One row per set and prefix n-gram, with the rank of the n-gram's first word in meta."""
-    posted = sets.select("set", *MAPS, *more, "meta", F.explode(F.arrays_zip("grams", "pos")).alias("g"))
-    return posted.select(F.col("g.grams").alias("gram"), "set", *MAPS, *more, (F.col("meta") + F.col("g.pos")).alias("meta"))
-
-
 def sketch_postings(sets: DataFrame) -> DataFrame:
     """One row per set and sketch n-gram."""
     return sets.select(F.explode("sketch").alias("gram"), "set", *MAPS, "meta")
 
 
-def may_be_alike(ranked: bool = True) -> str:
-    """The filters of two postings a and b as SQL: sides, length, position where ranks are known, suffix."""
-    pos = lambda s: f"({s}.meta & {(1 << 24) - 1})"
+def may_be_alike() -> str:
+    """The filters of two postings a and b as SQL: sides, length, suffix."""
     sides = lambda s: f"(shiftright({s}.meta, 24) & 3)"
     size = lambda s: f"shiftright({s}.meta, 26)"
     total = f"({size('a')} + {size('b')})"
@@ -251,15 +219,87 @@ def may_be_alike(ranked: bool = True) -> str:
         f"least({size('a')}, {size('b')}) * {LIKE_DEN} >= greatest({size('a')}, {size('b')}) * {LIKE_NUM}",
         " + ".join(f"bit_count(a.{m} ^ b.{m})" for m in MAPS) + f" <= {apart}",
     ]
-    if ranked:
-        checks.insert(2, f"abs({pos('a')} - {pos('b')}) + abs(({size('a')} - {pos('a')}) - ({size('b')} - {pos('b')})) <= {apart}")
     return " and ".join(checks)
 
 
-def candidate_pairs(postings: DataFrame, ranked: bool = True, condition: str = "true") -> DataFrame:
-    """(a, b), a < b, of sets that share an n-gram and pass the filters and the condition; pairs may repeat."""
-    on = F.expr(f"a.gram = b.gram and a.set < b.set and {condition} and {may_be_alike(ranked)}")
-    return postings.alias("a").join(postings.alias("b"), on).select(F.col("a.set").alias("a"), F.col("b.set").alias("b"))
+def _close(near: np.ndarray, maps: np.ndarray, n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) of rows that share a word pass the length, positional and suffix filters."""
+    total = n[i] + n[j]
+    apart = total - 2 * -(-LIKE_NUM * total // (LIKE_NUM + LIKE_DEN))
+    off = np.abs(pos[i] - pos[j]) + np.abs((n[i] - pos[i]) - (n[j] - pos[j]))
+    bits = sum(np.bitwise_count(m[i] ^ m[j]).astype(np.int64) for m in maps)
+    return near & (np.abs(n[i] - n[j]) <= apart) & (off <= apart) & (bits <= apart)
+
+
+def _list_pairs(gram: np.ndarray, sets: np.ndarray, label: np.ndarray, maps: np.ndarray, meta: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets (smaller, larger) within whole posting lists that pass the filters; pairs on one side or with one label are none."""
+    side = np.array([0, 0, 2, 1])[(meta >> 24) & 3]  # side 1 only, both, side 2 only
+    label = np.where(side == 1, label, 0)
+    order = np.lexsort((label, side, gram))
+    gram, sets, label, side, maps, meta = gram[order], sets[order], label[order], side[order], maps[:, order], meta[order]
+    n, pos = meta >> 26, meta & ((1 << 24) - 1)
+    rows = len(gram)
+    new_list = np.append(np.flatnonzero(np.append(True, gram[1:] != gram[:-1])), rows)
+    changed = np.append(True, (gram[1:] != gram[:-1]) | (side[1:] != side[:-1]) | (label[1:] != label[:-1]))
+    new_run = np.append(np.flatnonzero(changed), rows)
+    end = np.repeat(new_list[1:], np.diff(new_list))
+    start = np.repeat(new_run[1:], np.diff(new_run))  # the first partner of a row is the first row of the next run
+    partners = end - start
+    # the limit of a pair is at most the sum of both of these; sums of at most 255
+    half = np.minimum(-(-(LIKE_DEN - LIKE_NUM) * n // (LIKE_DEN + LIKE_NUM)), 127).astype(np.uint8)
+
+    def named(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = _close(sets[i] != sets[j], maps, n, pos, i, j)
+        a, b = sets[i[keep]], sets[j[keep]]
+        return np.minimum(a, b), np.maximum(a, b)
+
+    few = np.flatnonzero((partners > 0) & (partners <= FEW))
+    for at in range(0, len(few), 1 << 14):
+        i = few[at : at + (1 << 14)]
+        many = partners[i]
+        j = np.repeat(start[i] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        yield named(np.repeat(i, many), j)
+    for first, last in zip(new_list[:-1], new_list[1:], strict=True):
+        large = first + int(np.count_nonzero(partners[first:last] > FEW))  # partners fall along a list
+        for top in range(first, large, TILE_ROWS):
+            low = min(top + TILE_ROWS, large)
+            for left in range(start[top], last, TILE_COLUMNS):
+                right = min(left + TILE_COLUMNS, last)
+                bits = np.zeros((low - top, right - left), np.uint8)  # 256 becomes 0, which passes here
+                for m in maps:
+                    bits += np.bitwise_count(m[top:low, None] ^ m[None, left:right])
+                i, j = np.nonzero(bits <= half[top:low, None] + half[None, left:right])
+                i, j = i + top, j + left
+                later = j >= start[i]
+                if later.any():
+                    yield named(i[later], j[later])
+
+
+def _prefix_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of postings sorted by gram; a list that goes on in the next batch is held."""
+    held: list[list[np.ndarray]] = []
+    for b in chain(batches, [None]):
+        done: list[list[np.ndarray]] = []
+        if b is None:
+            done = held
+        elif b.num_rows:
+            columns = [np.asarray(c) for c in b.columns]
+            gram = columns[0]
+            cut = int(np.searchsorted(gram, gram[-1]))  # where the last list begins
+            if cut or held and held[-1][0][-1] != gram[-1]:
+                done, held = [*held, [c[:cut] for c in columns]], []
+            held.append([c[cut:] for c in columns])
+        if done:
+            gram, sets, label, meta, *maps = (np.concatenate(c) for c in zip(*done, strict=True))
+            for a, b2 in _list_pairs(gram, sets, label, np.stack([m.view(np.uint64) for m in maps]), meta):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b2)], names=["a", "b"])
+
+
+def candidate_pairs(sets: DataFrame, label: str = "set") -> DataFrame:
+    """(a, b), a < b, of all sets that share a word of their exact prefixes and pass the filters, unless they have one label; pairs may repeat."""
+    posted = sets.select("set", F.expr(label).alias("label"), *MAPS, "meta", F.explode(F.arrays_zip("grams", "pos")).alias("g"))
+    posted = posted.select(F.col("g.grams").alias("gram"), "set", "label", (F.col("meta") + F.col("g.pos")).alias("meta"), *MAPS)
+    return posted.repartition("gram").sortWithinPartitions("gram").mapInArrow(_prefix_pairs, "a bigint, b bigint")
 
 
 def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -285,8 +325,7 @@ def likeness_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     empty text; texts without words form one set that is like no other.
     """
     found = word_sets(texts)
-    pairs = candidate_pairs(prefix_postings(found.sets)).unionAll(candidate_pairs(sketch_postings(found.sets), False))
-    return found.members, verified(texts, pairs)
+    return found.members, verified(texts, candidate_pairs(found.sets))
 
 
 def likeness_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -294,21 +333,20 @@ def likeness_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Classes need no more links than those that join them. First every set is
     compared with the leader (the smallest set) of each of its sketch n-grams,
-    one candidate a posting; then the prefix join leaves out the pairs inside
-    the classes found so far. A class of any size is never compared pair by
+    one candidate a posting; then the exact prefix join leaves out the pairs
+    inside the classes found so far. A class of any size is never compared pair by
     pair, and every pair between different classes still is.
     """
     texts = texts.select("id", F.lit(3).alias("side"), "text")
     found = word_sets(texts)
     sketch = sketch_postings(found.sets)
     leader = sketch.groupBy("gram").agg(F.min(F.struct("set", *MAPS, "meta")).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "l.*")
-    on = F.expr(f"a.gram = b.gram and a.set < b.set and {may_be_alike(False)}")
+    on = F.expr(f"a.gram = b.gram and a.set < b.set and {may_be_alike()}")
     stars = leader.alias("a").join(sketch.alias("b"), on).select(F.col("a.set").alias("a"), F.col("b.set").alias("b"))
     first = materialize(verified(texts, stars))
     known = materialize(connected_components(first).select(F.col("node").alias("set"), "component"))
     labelled = found.sets.join(known, "set", "left")
-    apart = "(a.component is null or b.component is null or a.component <> b.component)"
-    links = materialize(verified(texts, candidate_pairs(prefix_postings(labelled, "component"), condition=apart)))
+    links = materialize(verified(texts, candidate_pairs(labelled, "coalesce(component, set)")))
     classes = connected_components(first.unionAll(links))
     return found.members, classes.select(F.col("node").alias("set_id"), F.col("component").alias("class_id"))
 

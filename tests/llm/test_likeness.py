@@ -99,3 +99,18 @@ def test_a_large_class_is_not_compared_pair_by_pair(spark, monkeypatch):
 def test_empty_tables(spark):
     assert near_duplicate_groups(spark.createDataFrame([], "id bigint, text string")).count() == 0
     assert cross_split_pairs(spark.createDataFrame([], "id bigint, split string, text string")).count() == 0
+
+
+def test_a_hot_class_of_reordered_copies_stays_one_group(spark):
+    r = random.Random(11)
+    base = [f"h{k}" for k in range(40)]
+    texts = []
+    for k in range(60):  # a third of the rows, likeness 0.67 of any two
+        words = [*base[:36], *(f"e{k}x{j}" for j in range(4))] if k % 2 else [*base[4:], *(f"e{k}x{j}" for j in range(4))]
+        r.shuffle(words)
+        texts.append(" ".join(words))
+    texts += [" ".join(r.choices([f"c{k}" for k in range(3000)], k=40)) for _ in range(120)]
+    sets = [bag(t) for t in texts]
+    assert sum(like(a, b) for a in sets[:60] for b in sets[:60]) > 60 * 20
+    got = near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"))
+    assert sorted(x.id for x in got.collect()) == list(range(60))
