@@ -114,3 +114,16 @@ def test_a_hot_class_of_reordered_copies_stays_one_group(spark):
     assert sum(like(a, b) for a in sets[:60] for b in sets[:60]) > 60 * 20
     got = near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"))
     assert sorted(x.id for x in got.collect()) == list(range(60))
+
+
+def test_pairs_of_unlike_lengths_and_orders(spark):
+    r = random.Random(12)
+    common = [f"k{k}" for k in range(12)]
+    longer = [w for k in range(12) for w in ([common[k], f"new{k}"] if k % 3 == 2 else [common[k]])]
+    base = [f"l{k}" for k in range(50)]
+    moved = [*base[:45], "other"]
+    r.shuffle(moved)
+    rows = [(1, "train", " ".join(common)), (2, "test", " ".join(longer)), (3, "train", " ".join(base)), (4, "dev", " ".join(moved))]
+    rows += [(10 + k, "train", " ".join([*r.sample(common, 6), *r.sample(base, 20), *(f"f{k}x{j}" for j in range(30))])) for k in range(100)]
+    got = {(x.train_id, x.held_out_id) for x in cross_split_pairs(spark.createDataFrame(rows, "id bigint, split string, text string")).collect()}
+    assert got == {(1, 2), (3, 4)}
