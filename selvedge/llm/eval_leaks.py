@@ -2,7 +2,9 @@
 
 Method: word n-grams of the items are counted over all documents; the rarest
 n-gram of every RUN-word window of an item becomes a seed, so no run of RUN
-words can miss one. Documents are probed with the seeds, and around each seed a
+words can miss one. Edited copies may break any of these, so for them every
+n-gram that a document holds is a seed; a copy without SEED_WORDS intact words
+in a row is not found. Documents are probed with the seeds, and around each seed a
 Smith-Waterman alignment of the item against the document's words gives the
 score of a copied, edited or paraphrased passage and its longest verbatim run.
 
@@ -84,16 +86,26 @@ class ItemIndex:
     def item(self, k: int) -> np.ndarray:
         return self.words[self.off[k] : self.off[k + 1]]
 
-    def seeds(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """(seed hashes, item of each), sorted by hash: the rarest n-gram of every window."""
+    def seeds(self, counts: dict[int, int], edited: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(seed hashes, item of each), sorted by hash.
+
+        For verbatim runs the rarest n-gram of every window; a window with an
+        n-gram that is in no document is in none itself. For edited copies
+        every n-gram that is in a document.
+        """
         out: set[tuple[int, int]] = set()
         df = np.array([counts.get(int(g), 0) for g in self.gram], dtype=np.int64)
         first = np.searchsorted(self.gram_item, np.arange(len(self.ids) + 1))
         width = RUN - SEED_WORDS + 1
         for k in range(len(self.ids)):
             grams, n = self.gram[first[k] : first[k + 1]], df[first[k] : first[k + 1]]
+            if edited:
+                out.update((int(g), k) for g in grams[n > 0])
+                continue
             for at in range(max(1, len(grams) - width + 1) if len(grams) else 0):
-                out.add((int(grams[at + int(np.argmin(n[at : at + width]))]), k))
+                rarest = at + int(np.argmin(n[at : at + width]))
+                if n[rarest]:
+                    out.add((int(grams[rarest]), k))
         seeds = np.array(sorted(out), dtype=np.int64).reshape(-1, 2)
         return seeds[:, 0], seeds[:, 1]
 
@@ -172,8 +184,8 @@ def _aligned(batches: Iterator[pa.RecordBatch], index: ItemIndex, seed: np.ndarr
         )
 
 
-def leak_alignments(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, score, matched, longest_run) of every document and item that share a seed."""
+def leak_alignments(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", edited: bool = True) -> DataFrame:
+    """(doc_id, item_id, score, matched, longest_run) of every document and item that share a seed; without edited, of all verbatim runs at least."""
     texts = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).where("text is not null")
     listed = items.select("item_id", "text").where("item_id is not null and text is not null").orderBy("item_id")
     parts = []
@@ -181,7 +193,7 @@ def leak_alignments(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
         index = ItemIndex(block)
         counted = texts.select("text").mapInArrow(lambda it, g=index.distinct: _gram_counts(it, g), "gram bigint, n bigint")
         counts = {r.gram: r.n for r in counted.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-        seed, owner = index.seeds(counts)
+        seed, owner = index.seeds(counts, edited)
         parts.append(texts.mapInArrow(lambda it, i=index, s=seed, o=owner: _aligned(it, i, s, o), ALIGNED))
     if not parts:
         return docs.sparkSession.createDataFrame([], ALIGNED)
@@ -189,7 +201,7 @@ def leak_alignments(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = leak_alignments(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    found = leak_alignments(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), edited=False)
     return found.where(F.col("longest_run") >= RUN).select("doc_id", "item_id")
 
 

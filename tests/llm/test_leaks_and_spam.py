@@ -29,6 +29,12 @@ def test_verbatim_edited_and_short_passages(spark):
     assert not {k for k in got if k[1] == 8} and not {k for k in got if k[0] in (4, 5, 6)}
 
 
+def test_an_edited_copy_is_found_without_a_verbatim_one(spark):
+    edited = " ".join("changed" if k in (6, 13, 20) else w for k, w in enumerate(WORDS))
+    got = found(spark, ["Before it. " + edited + " After it.", "nothing of the kind"])
+    assert set(got) == {(0, 7)} and got[0, 7][0] >= EDITED_SCORE and got[0, 7][1] < RUN
+
+
 def test_no_items_or_documents(spark):
     assert found(spark, ["a"], items=((1, None), (2, ""))) == {}
     assert found(spark, [], items=((1, ITEM),)) == {}
