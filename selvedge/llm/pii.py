@@ -59,7 +59,10 @@ NOT_AFTER_NAME = "hospital road street score scale sign syndrome disease test cl
 NOT_BEFORE_NAME = "rue avenue boulevard place quai impasse allée chemin route syndrome maladie score échelle signe test hôpital clinique disease in at near à de la le the".split()
 
 _LOCAL = r"(?<![\w.+-])\w[\w.+-]*"
-_AT = r"(?:[^\S\n]?@[^\S\n]?|[^\S\n]?[\[({<][^\S\n]?(?:at|arobase|chez)[^\S\n]?[\])}>][^\S\n]?|[^\S\n](?:at|arobase)[^\S\n])"
+_BRACKETED, _BARE = r"(?:at|arobase|chez)", r"(?:at|arobase)"
+_AT = rf"(?:[^\S\n]?@[^\S\n]?|[^\S\n]?[\[({{<][^\S\n]?{_BRACKETED}[^\S\n]?[\])}}>][^\S\n]?|[^\S\n]{_BARE}[^\S\n])"
+#: Found in every text that _AT is found in: its words with the characters that may stand next to them.
+MAY_BE_EMAIL = re.compile(rf"@|[\s\[({{<](?:{_BRACKETED}|{_BARE})[\s\])}}>]", re.I)
 _DOT = r"(?:\.|[^\S\n]?[\[({<][^\S\n]?(?:dot|point)[^\S\n]?[\])}>][^\S\n]?|[^\S\n](?:dot|point)[^\S\n])"
 EMAIL = re.compile(rf"({_LOCAL})({_AT})((?:\w[\w-]*({_DOT}))+[^\W\d_]{{2,}})(?![\w-])", re.I)
 RUN = re.compile(r"(?<![\w@])(?:\+[^\S\n]?)?\(?\d(?:(?:[^\S\n]|[.\-/]|[^\S\n]?\(|\)[^\S\n]?)?\d){4,}")
@@ -231,7 +234,7 @@ def segments(text: str, know: Knowledge) -> list[Segment]:
     found = list(name_segments(text, anchors, know)) if any(k != "street" for _, _, k in anchors) else []
     if any(k == "street" for _, _, k in anchors):
         found += address_segments(text)
-    if "@" in text or " at " in lower or "arobase" in lower or "at]" in lower or "at)" in lower:
+    if MAY_BE_EMAIL.search(text):
         found += email_segments(text)
     found += number_segments(text)
     return sorted(found, key=lambda s: (s[0], s[1], s[2]))

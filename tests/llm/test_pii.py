@@ -49,6 +49,12 @@ def test_no_cases(finder, text):
     assert finder(text) == []
 
 
+@pytest.mark.parametrize("address", ["jean.x<at>mail.fr", "jean.x{at}mail.fr", "jean.x(chez)mail.fr", "jean.x [chez] mail.fr", "jean.x{chez}mail.fr", "jean.x <chez> mail.fr"])
+def test_every_spelling_of_the_at_sign_is_looked_for(finder, address):
+    text = f"Write to {address} please."
+    assert finder(text) == [(9, 9 + len(address), "EMAIL")]
+
+
 def test_positions_survive_odd_characters(finder):
     text = "é​​x． My name is Cl​ara Zorbelin."
     plain, at = plain_with_positions(text)
