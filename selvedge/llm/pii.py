@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -44,6 +45,8 @@ MIN_SURNAMES = 2
 NO_NAME = 0.005
 #: Passes over the training texts and step size of AdaGrad.
 EPOCHS, STEP = 4, 0.3
+#: Characters between two segments of a block at most.
+LINKED = 24
 
 #: Word classes for the features, in lower case.
 TITLES = "dr dr. mr mr. mrs mrs. ms ms. miss prof prof. pr pr. nurse doctor professor m. mme mlle madame mademoiselle monsieur docteur professeur sir".split()
@@ -66,6 +69,9 @@ MAY_BE_EMAIL = re.compile(rf"@|[\s\[({{<](?:{_BRACKETED}|{_BARE})[\s\])}}>]", re
 _DOT = r"(?:\.|[^\S\n]?[\[({<][^\S\n]?(?:dot|point)[^\S\n]?[\])}>][^\S\n]?|[^\S\n](?:dot|point)[^\S\n])"
 EMAIL = re.compile(rf"({_LOCAL})({_AT})((?:\w[\w-]*({_DOT}))+[^\W\d_]{{2,}})(?![\w-])", re.I)
 RUN = re.compile(r"(?<![\w@])(?:\+[^\S\n]?)?\(?\d(?:(?:[^\S\n]|[.\-/]|[^\S\n]?\(|\)[^\S\n]?)?\d){4,}")
+#: Digits of a number; runs of up to ONE_NUMBER digits, as many as a phone or social security number may have, hold one.
+LEAST_DIGITS, ONE_NUMBER, MOST_DIGITS = 5, 15, 20
+_DIGITS = re.compile(r"\d+")
 LETTERED = re.compile(r"(?<![\w@])[A-Z]{1,3}-?\d[\d/-]{3,}\d[A-Z]{0,2}(?!\w)", re.I)
 _TOWN = r"[^\W\d_][\w'’-]*(?:[^\S\n][^\W\d_][\w'’-]*)?"
 _TAIL = rf"(?:\s*,?\s*\d{{4,5}}[^\S\n]+{_TOWN}|[^\S\n]*[,\n]\s*{_TOWN}(?:[^\S\n]+(?:\d{{4,6}}|[A-Z]{{1,2}}\d\w?[^\S\n]?\d[A-Z]{{2}}))?)?"
@@ -144,15 +150,30 @@ def _shared(text: str, start: int, end: int, before: list[str]) -> list[str]:
     return out + [f"p1={before[0] if before else '-'}"]
 
 
+def _parts(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The run itself, or where it has more digits than one number, all spans of LEAST_DIGITS to MOST_DIGITS digits between its separators."""
+    groups = [m.span() for m in _DIGITS.finditer(text, start, end)]
+    if sum(b - a for a, b in groups) <= ONE_NUMBER:
+        yield start, end
+        return
+    for i, (a, _) in enumerate(groups):
+        begin = start if i == 0 else a - (text[a - 1] == "(")
+        digits = 0
+        for j in range(i, len(groups)):
+            digits += groups[j][1] - groups[j][0]
+            if digits > MOST_DIGITS:
+                break
+            if digits >= LEAST_DIGITS:
+                yield begin, end if j == len(groups) - 1 else groups[j][1]
+
+
 def number_segments(text: str) -> Iterator[Segment]:
-    spans = {m.span() for m in RUN.finditer(text)} | {m.span() for m in LETTERED.finditer(text)}
+    spans = {s for m in RUN.finditer(text) for s in _parts(text, *m.span())} | {s for m in LETTERED.finditer(text) for s in _parts(text, *m.span()) if s[0] == m.start()}
     for start, end in spans:
         start += text[start] == "(" and ")" not in text[start:end]
         value = text[start:end]
         before, after = _around(text, start, end)
         digits = sum(c.isdigit() for c in value)
-        if digits > 20:
-            continue
         groups = "-".join(str(len(g)) for g in re.findall(r"\d+", value))
         feats = _shared(text, start, end, before)
         feats += [f"n={digits}", f"g={groups}", f"first={value[0] if not value[0].isalpha() else 'A'}", f"letters={value[0].isalpha()}"]
@@ -253,24 +274,26 @@ class SemiMarkovCrf:
     @staticmethod
     def link(text: str, a: Segment, b: Segment) -> str | None:
         """The feature of two neighbouring segments, None where they are no block."""
-        return f"block|{a[2]}|{b[2]}" if b[0] - a[1] <= 24 and _BLOCK.match(text[a[1] : b[0]]) else None
+        return f"block|{a[2]}|{b[2]}" if b[0] - a[1] <= LINKED and _BLOCK.match(text[a[1] : b[0]]) else None
 
     def best(self, text: str, segs: list[Segment]) -> list[Segment]:
         """The segmentation with the highest score."""
         order = sorted(range(len(segs)), key=lambda k: (segs[k][1], segs[k][0]))
+        ends = [segs[k][1] for k in order]
         total: list[float] = []
         back: list[int | None] = []
+        led: list[tuple[float, int | None]] = [(0.0, None)]  # the best of the first segments, by their number
         for n, k in enumerate(order):
-            top, frm = 0.0, None
-            for j in range(n):
-                a = segs[order[j]]
-                if a[1] <= segs[k][0]:
-                    f = self.link(text, a, segs[k])
-                    v = total[j] + (self.w.get(f, 0.0) if f else 0.0)
-                    if v > top:
-                        top, frm = v, j
+            far, near = bisect_left(ends, segs[k][0] - LINKED), bisect_right(ends, segs[k][0])
+            top, frm = led[far]  # too far away for a link
+            for j in range(far, near):
+                f = self.link(text, segs[order[j]], segs[k])
+                v = total[j] + (self.w.get(f, 0.0) if f else 0.0)
+                if v > top:
+                    top, frm = v, j
             total.append(top + self.score(segs[k]))
             back.append(frm)
+            led.append((total[n], n) if total[n] > led[n][0] else led[n])
         if not total or max(total) <= 0:
             return []
         n: int | None = max(range(len(total)), key=total.__getitem__)

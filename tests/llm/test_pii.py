@@ -49,6 +49,25 @@ def test_no_cases(finder, text):
     assert finder(text) == []
 
 
+@pytest.mark.parametrize(
+    "text, pieces",
+    [
+        ("Call me on 0612345678/0698765432.", [("0612345678", "PHONE"), ("0698765432", "PHONE")]),
+        ("My social security number is 185057800608436/0612345678.", [("185057800608436", "ID_NUMBER"), ("0612345678", "PHONE")]),
+        ("Tel: 01 23 45 67 89/06 12 34 56 78.", [("01 23 45 67 89", "PHONE"), ("06 12 34 56 78", "PHONE")]),
+        ("Tel: 01 23 45 67 89.", [("01 23 45 67 89", "PHONE")]),
+    ],
+)
+def test_joined_numbers_are_told_apart(finder, text, pieces):
+    assert [(text[a:b], k) for a, b, k in finder(text)] == pieces
+
+
+def test_long_digit_runs_take_time_in_proportion(finder):
+    text = "Values 12 345 678 " + "90 123 " * 3000
+    finder(text)
+    assert len(segments(text, finder.prepared()[0])) < 20 * 2 * 6003
+
+
 @pytest.mark.parametrize("address", ["jean.x<at>mail.fr", "jean.x{at}mail.fr", "jean.x(chez)mail.fr", "jean.x [chez] mail.fr", "jean.x{chez}mail.fr", "jean.x <chez> mail.fr"])
 def test_every_spelling_of_the_at_sign_is_looked_for(finder, address):
     text = f"Write to {address} please."
