@@ -175,13 +175,31 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def opening_clusters(openings: DataFrame) -> DataFrame:
-    """openings (id, opening) to (id, cluster): MinHash bands, each opening verified against the first of its band."""
-    banded = openings.mapInArrow(_bands, "id bigint, band bigint, words array<bigint>")
+    """openings (id, opening) to (id, cluster) of every opening: alike openings that share a MinHash band are in one cluster.
+
+    First each opening is verified against the first of its band; then, in
+    bands that hold more than one of the clusters so found, every pair of
+    openings of different clusters is.
+    """
+    banded = materialize(openings.mapInArrow(_bands, "id bigint, band bigint, words array<bigint>"))
+
+    def alike(a: str, b: str):
+        shared = F.size(F.array_intersect(a, b))
+        return shared >= OPENING_LIKENESS * (F.size(a) + F.size(b) - shared)
+
+    def clusters(links: DataFrame) -> DataFrame:
+        return connected_components(links, "id", "other").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+
     first = banded.groupBy("band").agg(F.min(F.struct("id", "words")).alias("first"))
-    shared = F.size(F.array_intersect("words", "first.words"))
-    alike = shared >= OPENING_LIKENESS * (F.size("words") + F.size("first.words") - shared)
-    links = banded.join(first, "band").where(alike).select("id", F.col("first.id").alias("other"))
-    return connected_components(links.distinct(), "id", "other").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    links = banded.join(first, "band").where(alike("words", "first.words")).select("id", F.col("first.id").alias("other"))
+    links = materialize(links.unionAll(banded.select("id", F.col("id").alias("other"))).distinct())
+    placed = banded.join(materialize(clusters(links)), "id")
+    mixed = placed.groupBy("band").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low <> high").select("band")
+    rest = materialize(placed.join(mixed, "band"))
+    a = rest.select("band", "id", "words", "cluster")
+    b = rest.select("band", F.col("id").alias("other"), F.col("words").alias("others"), F.col("cluster").alias("apart"))
+    more = a.join(b, "band").where((F.col("id") < F.col("other")) & (F.col("cluster") != F.col("apart")) & alike("words", "others")).select("id", "other")
+    return clusters(links.unionAll(more.distinct()))
 
 
 def defective_pairs(pairs: DataFrame) -> DataFrame:

@@ -40,5 +40,38 @@ def test_refusals_are_templates_across_prompts(spark):
     assert sorted(got) == [(k, "refusal") for k in range(12)] + [(200, "empty")] * 2
 
 
+def test_openings_are_compared_within_whole_bands(spark):
+    import random
+
+    import pyarrow as pa
+
+    from selvedge.llm.broken_pairs import _bands, opening_clusters
+
+    r = random.Random(4)
+    share = lambda a, b: len(a & b) / len(a | b)
+    sets = []
+    for _ in range(4000):  # crowded bands: sets that share a good part but less than half of their words, and one edit of each
+        one = frozenset(r.sample([f"w{k}" for k in range(16)], 6))
+        if all(share(one, o) < 0.5 for o in sets):
+            sets += [one, one - {min(one)} | {f"x{len(sets)}"}]
+    ids = list(range(len(sets)))
+    r.shuffle(ids)
+    texts = {k: " ".join(sorted(s)) for k, s in zip(ids, sets, strict=True)}
+    batch = pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), pa.array(list(texts.values()))], names=["id", "opening"])
+    bands = {}
+    for out in _bands(iter([batch])):
+        for k, band in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+            bands.setdefault(band, set()).add(k)
+    group = {k: k for k in texts}
+    for inside in bands.values():
+        for a in inside:
+            for b in inside:
+                if group[a] != group[b] and share(set(texts[a].split()), set(texts[b].split())) >= 0.5:
+                    low, high = sorted((group[a], group[b]))
+                    group = {k: low if v == high else v for k, v in group.items()}
+    got = opening_clusters(spark.createDataFrame(list(texts.items()), "id bigint, opening string"))
+    assert {x.id: x.cluster for x in got.collect()} == group
+
+
 def test_empty_table(spark):
     assert defective_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
