@@ -137,7 +137,7 @@ def inspect(question: str | None, answer: str | None) -> tuple[str | None, str |
         return "copied_question", None, [], []
     sentences = [s for s in map(plain_words, _SENTENCE.split(folded)) if s]
     declines = [bool(DECLINING.search(s)) for s in sentences]
-    opening = next((clause for s in _SENTENCE.split(folded)[:3] for clause in map(plain_words, _CLAUSE.split(s)) if DECLINING.search(clause)), None)
+    opening = next((clause for s in _SENTENCE.split(folded) for clause in map(plain_words, _CLAUSE.split(s)) if DECLINING.search(clause)), None)
     spoken = language(words)
     defect = "wrong_language" if spoken and (language(asked) or spoken) != spoken else "truncated" if is_truncated(folded, words) else None
     hashes = [xxhash.xxh3_64_intdigest(s) - (1 << 63) for s in sentences]

@@ -73,5 +73,13 @@ def test_openings_are_compared_within_whole_bands(spark):
     assert {x.id: x.cluster for x in got.collect()} == group
 
 
+def test_a_refusal_after_several_lead_ins(spark):
+    lead = "Hello.\nThank you for your question.\nI understand.\n"
+    rows = [("t", k, "response", f"What is number {k}?", lead + "I can't help with that request.") for k in range(12)]
+    rows += [("t", 100 + k, "response", f"How about {k}?", f"Keep wound {k} dry. Call the clinic on day {k}. It heals within {k} weeks. I cannot see the skin from here.") for k in range(12)]
+    got = [(r.row_index, r.defect) for r in defective_pairs(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(got) == [(k, "refusal") for k in range(12)]
+
+
 def test_empty_table(spark):
     assert defective_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
