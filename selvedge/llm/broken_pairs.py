@@ -33,6 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from selvedge.functions.tokens import coded, flat, rows_of
+from selvedge.functions.tokens import words as split_words
 from selvedge.llm.lookalikes import LOOKALIKES
 from selvedge.operators.components import connected_components
 from selvedge.session import materialize, table
@@ -77,7 +79,16 @@ _CLAUSE = re.compile(r"[,;:]")
 _ENDED = re.compile(r"[.!?…。！？।][\s\"'»”’)\]}*_]*$")
 _ITEM = re.compile(r"^\s*(?:[-*•–·▪◦]|\(?\d{1,3}[.)]|\(?[a-z][.)])\s+\S")
 
-SCHEMA = "tbl string, row_index bigint, field string, defect string, prompt bigint, opening string, sentences array<bigint>, answers array<boolean>"
+_UNFINISHED = re.compile(r"[,:(\[{&+]$|\w-$")
+#: Words that no list item or short answer ends with.
+DANGLING = frozenset(
+    "the a an and or of with from your their its my our le la les l un une des du de d et ou au aux pour dans sur que qui votre vos son sa ses leur der die das den dem ein eine einen einem einer und oder von für ihr ihre "
+    "el los las una y o del con por para su sus".split()
+)
+#: Endings by which a longer word is another form of a whole one.
+INFLECTIONS = "s|e|es|x|d|ed|n|en|er|r|ing|ly|ment|al|t|nt|ent"
+
+SCHEMA = "tbl string, row_index bigint, field string, defect string, prompt bigint, opening string, sentences array<bigint>, answers array<boolean>, tail string"
 
 
 def fold(text: str) -> str:
@@ -115,47 +126,76 @@ def is_copy(question: list[str], answer: list[str]) -> bool:
     return new <= 0.2 * len(answer) and (covered >= 0.5 or new == 0 and " ".join(answer) in " ".join(question))
 
 
-def is_truncated(folded: str, words: list[str]) -> bool:
-    """Whether the text stops without an end; complete lists and short answers have one."""
+def is_truncated(folded: str, words: list[str]) -> bool | None:
+    """Whether the text stops without an end; None for a list or short answer whose last word decides (see cut_words)."""
     text = folded.rstrip()
     if _ENDED.search(text):
         return False
     lines = [x for x in text.split("\n") if x.strip()]
-    if len(lines) > 1 and _ITEM.match(lines[-1]) and (len(lines) == 2 or _ITEM.match(lines[-2])):
-        return False
-    return len(words) > SHORT_ANSWER
-
-
-def inspect(question: str | None, answer: str | None) -> tuple[str | None, str | None, list[int], list[bool]]:
-    """(defect of the pair itself, declining clause of the opening, sentence hashes, whether each sentence may answer)."""
+    in_list = len(lines) > 1 and _ITEM.match(lines[-1]) and (len(lines) == 2 or _ITEM.match(lines[-2]))
+    if not in_list and len(words) > SHORT_ANSWER:
+        return True
+    others = [x for x in lines[:-1] if _ITEM.match(x)] if in_list else []
+    if others and all(map(_ENDED.search, others)):
+        return True
+    if len(words) > 1 and (words[-1] in DANGLING or _UNFINISHED.search(text)):
+        return True
+    return None if len(words) > 1 and text[-1].isalpha() else False
+
+
+def inspect(question: str | None, answer: str | None) -> tuple[str | None, str | None, list[int], list[bool], str | None]:
+    """(defect of the pair itself, declining clause of the opening, sentence hashes, whether each sentence may answer, last word if it decides)."""
     folded = fold(answer or "")
     words = _WORD.findall(folded)
     if not words or "".join(words) in STAND_INS:
-        return "empty", None, [], []
+        return "empty", None, [], [], None
     asked = _WORD.findall(fold(question or ""))
     if is_copy(asked, words):
-        return "copied_question", None, [], []
+        return "copied_question", None, [], [], None
     sentences = [s for s in map(plain_words, _SENTENCE.split(folded)) if s]
     declines = [bool(DECLINING.search(s)) for s in sentences]
     opening = next((clause for s in _SENTENCE.split(folded) for clause in map(plain_words, _CLAUSE.split(s)) if DECLINING.search(clause)), None)
     spoken = language(words)
-    defect = "wrong_language" if spoken and (language(asked) or spoken) != spoken else "truncated" if is_truncated(folded, words) else None
+    cut = is_truncated(folded, words)
+    defect = "wrong_language" if spoken and (language(asked) or spoken) != spoken else "truncated" if cut else None
     hashes = [xxhash.xxh3_64_intdigest(s) - (1 << 63) for s in sentences]
-    return defect, opening, hashes, [not d for d in declines]
+    return defect, opening, hashes, [not d for d in declines], words[-1] if defect is None and cut is None else None
 
 
 def _inspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         questions = b.column(3).to_pylist()
         found = [inspect(q, a) for q, a in zip(questions, b.column(4).to_pylist(), strict=True)]
-        defect, opening, sentences, answers = zip(*found, strict=True) if found else ((), (), (), ())
+        defect, opening, sentences, answers, tail = zip(*found, strict=True) if found else ((), (), (), (), ())
         prompt = [xxhash.xxh3_64_intdigest(q or "") - (1 << 63) for q in questions]
         yield pa.RecordBatch.from_arrays(
-            [*b.columns[:3], pa.array(defect, pa.string()), pa.array(prompt, pa.int64()), pa.array(opening, pa.string()), pa.array(sentences, pa.list_(pa.int64())), pa.array(answers, pa.list_(pa.bool_()))],
-            names=["tbl", "row_index", "field", "defect", "prompt", "opening", "sentences", "answers"],
+            [*b.columns[:3], pa.array(defect, pa.string()), pa.array(prompt, pa.int64()), pa.array(opening, pa.string()), pa.array(sentences, pa.list_(pa.int64())), pa.array(answers, pa.list_(pa.bool_())), pa.array(tail, pa.string())],
+            names=["tbl", "row_index", "field", "defect", "prompt", "opening", "sentences", "answers", "tail"],
         )
 
 
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    count: dict[str, int] = {}
+    for b in batches:
+        for column in b.columns:
+            values, off = split_words(flat(column))
+            codes, distinct = coded(values)
+            width = max(1, len(distinct))
+            code = np.unique(rows_of(off) * width + codes) % width
+            for w, n in zip(distinct.to_pylist(), np.bincount(code, minlength=len(distinct)).tolist(), strict=True):
+                count[w] = count.get(w, 0) + n
+    yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
+
+
+def cut_words(pairs: DataFrame, seen: DataFrame) -> DataFrame:
+    """(tail): last words found in no text but as a last word that decides, and that begin a longer word which is not just another form."""
+    found = materialize(pairs.select("question", "answer").mapInArrow(_vocabulary, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    tails = seen.where("tail is not null").groupBy("tail").agg(F.count(F.lit(1)).alias("last"))
+    unknown = tails.join(found, F.col("tail") == F.col("word"), "left").where("n is null or n <= last").select("tail")
+    begun = found.select("word", F.explode(F.expr("transform(sequence(1, greatest(1, length(word) - 1)), k -> left(word, k))")).alias("tail"))
+    return begun.join(unknown, "tail").where(f"length(word) > length(tail) and not substring(word, length(tail) + 1) rlike '^({INFLECTIONS})$'").select("tail").distinct()
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rng = np.random.default_rng(7)
     a = rng.integers(1, 1 << 62, BANDS * ROWS_PER_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -218,7 +258,9 @@ def defective_pairs(pairs: DataFrame) -> DataFrame:
     answered = answering.join(stock, "sentence", "left_anti").select(*key).distinct()
     refusals = declining.join(templates, "id", "left_semi").join(answered, key, "left_anti").select(*key, F.lit(True).alias("refused")).distinct()
     kind = F.when(F.col("refused"), "refusal").otherwise(F.col("defect"))
-    rows = seen.select(*key, "defect", F.col("opening").isNotNull().alias("may_refuse"))
+    cut = cut_words(pairs, seen).withColumn("cut", F.lit("truncated"))
+    judging = seen.where("tail is not null").select(*key, "tail", "opening").join(cut, "tail", "left").select(*key, F.col("cut").alias("defect"), "opening")
+    rows = seen.where("tail is null").select(*key, "defect", "opening").unionAll(judging).select(*key, "defect", F.col("opening").isNotNull().alias("may_refuse"))
     plain = rows.where("not may_refuse and defect is not null").select(*key, "defect")
     judged = rows.where("may_refuse").join(refusals, key, "left").select(*key, kind.alias("defect")).where("defect is not null")
     return plain.unionByName(judged)

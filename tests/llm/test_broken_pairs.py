@@ -73,6 +73,17 @@ def test_openings_are_compared_within_whole_bands(spark):
     assert {x.id: x.cluster for x in got.collect()} == group
 
 
+def test_lists_and_short_answers_that_break_off(spark):
+    whole = "Keep the wound dry and call the clinic within one minute."
+    answers = [
+        (whole, None), ("Do this:\n- drink water\n- call the cli", "truncated"), ("Do this:\n- drink water\n- call the clinic", None), ("Do this:\n- drink water\n- call the", "truncated"),
+        ("Do this:\n- Drink water.\n- Rest.\n- Call", "truncated"), ("Call the cli", "truncated"), ("Within the", "truncated"), ("Call the clinic", None), ("Drink quinzole", None), ("- chew\n- wait some minutes", None),
+    ]
+    rows = [("t", k, "response", f"What is number {k}?", a) for k, (a, _) in enumerate(answers)]
+    got = {(r.row_index, r.defect) for r in defective_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(k, d) for k, (_, d) in enumerate(answers) if d}
+
+
 def test_a_refusal_after_several_lead_ins(spark):
     lead = "Hello.\nThank you for your question.\nI understand.\n"
     rows = [("t", k, "response", f"What is number {k}?", lead + "I can't help with that request.") for k in range(12)]
