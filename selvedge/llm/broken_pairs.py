@@ -33,8 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selvedge.functions.tokens import coded, flat, rows_of
-from selvedge.functions.tokens import words as split_words
+from selvedge.llm.tokens import coded, distinct_sorted, flat, rows_of
+from selvedge.llm.tokens import words as split_words
 from selvedge.llm.lookalikes import LOOKALIKES
 from selvedge.operators.components import connected_components
 from selvedge.session import materialize, table
@@ -181,7 +181,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, off = split_words(flat(column))
             codes, distinct = coded(values)
             width = max(1, len(distinct))
-            code = np.unique(rows_of(off) * width + codes) % width
+            code = distinct_sorted(rows_of(off) * width + codes) % width
             for w, n in zip(distinct.to_pylist(), np.bincount(code, minlength=len(distinct)).tolist(), strict=True):
                 count[w] = count.get(w, 0) + n
     yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selvedge.functions.tokens import coded, flat, hash64, rolling_hash, rows_of
+from selvedge.llm.tokens import coded, flat, hash64, rolling_hash, rows_of
 from selvedge.session import table
 
 RUN = 13

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selvedge.functions.tokens import flat
+from selvedge.llm.tokens import flat
 from selvedge.session import table
 
 #: Letters of other alphabets and special letter forms that look like a Latin letter.

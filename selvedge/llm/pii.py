@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selvedge.functions.tokens import coded, flat, hash64, rows_of, words
+from selvedge.llm.tokens import coded, distinct_sorted, flat, hash64, rows_of, words
 from selvedge.llm.lookalikes import LOOKALIKES, is_invisible
 from selvedge.llm.pii_training import BLOCKS, CARRIERS, DECOYS, GIVEN_NAMES, training_texts
 from selvedge.session import materialize, table
@@ -420,7 +420,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, distinct = coded(values)
         import numpy as np
 
-        pairs = np.unique(rows_of(off) * max(1, len(distinct)) + codes) % max(1, len(distinct))
+        pairs = distinct_sorted(rows_of(off) * max(1, len(distinct)) + codes) % max(1, len(distinct))
         for w, n in zip(distinct.to_pylist(), np.bincount(pairs, minlength=len(distinct)).tolist(), strict=True):
             count[w] = count.get(w, 0) + n
         for t in column.to_pylist():

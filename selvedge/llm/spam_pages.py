@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from selvedge.functions.tokens import flat
+from selvedge.llm.tokens import flat
 from selvedge.session import table
 
 #: More than this share of a page's characters must be in non-sentence shapes.

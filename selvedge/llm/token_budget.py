@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selvedge.functions.tokens import NOT_WORD, coded, flat
+from selvedge.llm.tokens import NOT_WORD, coded, flat
 from selvedge.session import table
 
 CHUNK_CHARS = 1 << 18
