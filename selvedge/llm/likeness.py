@@ -10,19 +10,24 @@ stage works on pairs of records that have nothing rare in common:
    hash, then the others by their count. There are at most (words per text /
    RARE) such frequent words however large the corpus is, so their counts are
    the only corpus statistic that is broadcast.
-3. Sets are joined on the single words of their exact prefixes: two alike sets
-   of n words share one of the first n - ceil(0.65 n) + 1 of either, whatever
-   their lengths, the order of their words and where they were edited.
-4. Pairs of a posting list pass the length filter (sizes within the threshold),
-   the positional filter (ranks of the matching word in the rare-first order) and
-   the suffix filter (Hamming distance of 256-bit parity maps of the word sets, a
-   lower bound of their true difference). All are exact. The lists are compared
-   in tiles of arrays, some nanoseconds a pair.
+3. Sets are joined on the single words of their exact prefixes. Of two alike
+   sets the shorter, of n words, holds a shared word in its first
+   n - ceil(1.3 n / 1.65) + 1 and the longer, of m words, in its first
+   m - ceil(0.65 m) + 1, whatever the order of their words and where they were
+   edited. The first is the index prefix, the second the probe prefix.
+4. Pairs of a posting list pass the length filter (a window of the list, which is
+   sorted by length), the positional filter (ranks of the matching word in the
+   rare-first order) and the suffix filter (Hamming distance of parity maps of the
+   word sets, folded to 128 bits and then in full, a lower bound of their true
+   difference). All are exact. The lists are compared in tiles of arrays, about
+   two nanoseconds a pair.
 5. Each remaining pair is verified once on its full word sets.
 
 No step loses a pair. A word in m sets costs up to m * m / 2 comparisons of
 maps, so the time grows with the square of the table where frequent words are in
-the prefixes; the README gives the measured figures.
+the prefixes; the README gives the measured figures. The list of a word in more
+than LIST_TEXTS texts is cut into blocks, and each two blocks are compared by
+another task.
 """
 
 from __future__ import annotations
@@ -36,47 +41,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from selvedge.functions.tokens import coded, flat, hash64, rolling_hash, rows_of, words
+from selvedge.llm.tokens import coded, distinct_sorted, flat, hash64, rows_of, words
 from selvedge.operators.components import connected_components
 from selvedge.session import materialize
 
 LIKE_NUM, LIKE_DEN = 65, 100
 #: Words in more than this share of the texts are ordered by their count, behind all others.
-RARE = 0.015
+RARE = 0.001
 #: In small tables words in up to so many texts are rare.
 RARE_LEAST = 20
-#: So many n-grams of SKETCH_WORDS consecutive words, those with the smallest hashes, are used whatever their frequency;
-#: more in sets where at most one word in SPARSE is rare.
-SKETCH, SKETCH_SPARSE, SKETCH_WORDS, SPARSE, OFTEN = 3, 12, 5, 9, 4
+#: A text has BANDS leader keys, each of the words that come first under BAND_WORDS hashes; a key is used when CROWD sets have it.
+BANDS, BAND_WORDS, CROWD = 8, 3, 32
+#: A task compares posting lists of about so many texts; longer ones are cut into up to MOST_BLOCKS blocks.
+LIST_TEXTS, MOST_BLOCKS = 100_000, 64
+#: Distinct words that a task counts before it hands the counts on.
+COUNTED_WORDS = 1_000_000
 #: Bits of the filter of wanted ids that verification broadcasts, 8 MB at most.
 FILTER_BITS = 1 << 26
 #: Rows and columns of a tile of a posting list; rows with up to FEW partners are expanded to pairs instead.
-TILE_ROWS, TILE_COLUMNS, FEW = 128, 2048, 64
+TILE_ROWS, TILE_COLUMNS, FEW = 64, 2048, 64
+#: Pairs that the later filters take at once.
+FLUSH = 1 << 18
 
 MAPS = ["b0", "b1", "b2", "b3"]
-SETS = "id bigint, side int, set_hash bigint, n int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, grams array<bigint>, pos array<int>, sketch array<bigint>"
+SETS = "id bigint, side int, hash_a bigint, hash_b bigint, n int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, grams array<bigint>, pos array<int>, bands array<bigint>"
+_MIX = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
-def _row_sets(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """(rows and codes of the distinct words of each row, where each word occurrence is in them, occurrence rows, occurrence codes, words)."""
+def _row_sets(column, rank=None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(rows, codes of the distinct words of each row, words); codes are those of the words, or their ranks where rank gives them."""
     values, off = words(flat(column))
     codes, distinct = coded(values)
-    rows = rows_of(off)
+    if rank is not None:
+        codes = rank(distinct)[codes]
     width = max(1, len(distinct))
-    key, inverse = np.unique(rows * width + codes, return_inverse=True)
-    return key // width, key % width, inverse, rows, codes, distinct
+    key = distinct_sorted(rows_of(off) * width + codes)
+    return key // width, key % width, distinct
 
 
 def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count: dict[str, int] = {}
     texts = 0
+
+    def counted(total: int) -> pa.RecordBatch:
+        h = hash64(pa.array(list(count), pa.large_string()))
+        out = [pa.array(np.append(h, 0)), pa.array([False] * len(h) + [True]), pa.array([*count.values(), total], pa.int64())]
+        return pa.RecordBatch.from_arrays(out, names=["word", "total", "n"])
+
     for b in batches:
-        _, code, _, _, _, distinct = _row_sets(b.column(0))
+        _, code, distinct = _row_sets(b.column(0))
         texts += b.num_rows
         for w, n in zip(distinct.to_pylist(), np.bincount(code, minlength=len(distinct)).tolist(), strict=True):
             count[w] = count.get(w, 0) + n
-    h = hash64(pa.array(list(count), pa.large_string()))
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(h, 0)), pa.array([False] * len(h) + [True]), pa.array([*count.values(), texts], pa.int64())], names=["word", "total", "n"])
+        if len(count) > COUNTED_WORDS:
+            yield counted(0)
+            count.clear()
+    yield counted(texts)
 
 
 def frequent_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -88,20 +108,10 @@ def frequent_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r.word for r in found], np.int64), np.array([r.n for r in found], np.int64)
 
 
-def _sketch(hashes: np.ndarray, rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of the smallest n-gram hashes of each row, as many as its size."""
-    gram, row = rolling_hash(hashes, rows, SKETCH_WORDS)
-    # hashes are uniform: the smallest few of a row's n lie below OFTEN times their share of the range, so only those are sorted
-    share = OFTEN * size / np.maximum(np.bincount(row, minlength=len(size)), 1)
-    low = (gram.view(np.uint64) >> np.uint64(11)) < np.minimum(share, 1.0)[row] * float(1 << 53)
-    gram, row = gram[low], row[low]
-    order = np.lexsort((gram.view(np.uint64), row))
-    gram, row = gram[order], row[order]
-    new = np.ones(len(gram), bool)
-    new[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
-    gram, row = gram[new], row[new]
-    low = np.arange(len(row)) - np.searchsorted(row, row) < size[row]
-    return gram[low], row[low]
+def _mixed(u: np.ndarray, k: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        v = (u ^ (u >> np.uint64(31))) * _MIX[k % 3] + np.uint64(k) * _MIX[(k + 1) % 3]
+        return (v ^ (v >> np.uint64(29))) * _MIX[(k + 1) % 3]
 
 
 def _lists(values: np.ndarray, rows: np.ndarray, count: int) -> pa.Array:
@@ -110,45 +120,74 @@ def _lists(values: np.ndarray, rows: np.ndarray, count: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off), pa.array(values))
 
 
+def _cells(ids: np.ndarray, gram: np.ndarray, row: np.ndarray, pos: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings of words with several blocks, once for each pair of blocks that holds the row's own."""
+    many = np.flatnonzero(blocks > 1)
+    if not len(many):
+        return gram, row, pos
+    times = np.where(blocks > 1, blocks, 1)
+    at = np.repeat(np.arange(len(gram)), times)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+    gram, row, pos, blocks = gram[at], row[at], pos[at], blocks[at]
+    own = (_mixed(ids.view(np.uint64), 5)[row] % blocks.view(np.uint64)).astype(np.int64)
+    cell = np.minimum(own, other) * MOST_BLOCKS + np.maximum(own, other) + 1
+    return np.where(blocks > 1, _mixed((gram ^ (cell << 40)).view(np.uint64), 7).view(np.int64), gram), row, pos
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, texts_with: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in batches:
         count = b.num_rows
-        set_row, set_code, _, rows, codes, distinct = _row_sets(b.column(2))
-        hashed = hash64(distinct)
-        common, weight = np.isin(hashed, frequent), np.zeros(len(hashed), np.int64)
-        weight[common] = texts_with[np.searchsorted(frequent, hashed[common])]
-        h = hashed[set_code]
+        by_rank: list[np.ndarray] = []
+
+        def rare_first(distinct: pa.Array, by_rank=by_rank) -> np.ndarray:
+            hashed = hash64(distinct)
+            weight, common = np.zeros(len(hashed), np.int64), np.isin(hashed, frequent)
+            weight[common] = texts_with[np.searchsorted(frequent, hashed[common])]
+            order = np.lexsort((hashed, weight))
+            by_rank.extend((hashed[order], weight[order]))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            return rank
+
+        row, word, _ = _row_sets(b.column(2), rare_first)
+        hashed, weight = by_rank
+        h = hashed[word]
         u = h.view(np.uint64)
-        n = np.bincount(set_row, minlength=count)
-        order = np.lexsort((h, weight[set_code], set_row))  # rare-first rank of each distinct word in its row
+        n = np.bincount(row, minlength=count)
         start = np.concatenate([[0], np.cumsum(n)])
-        rank = np.empty(len(h), np.int64)
-        rank[order] = np.arange(len(h)) - start[set_row[order]]
         filled = np.flatnonzero(n)
         at = start[filled]
 
-        def per_row(values: np.ndarray, op) -> np.ndarray:
+        def per_row(values: np.ndarray, op, filled=filled, at=at, count=count) -> np.ndarray:
             out = np.zeros(count, np.uint64)
             if len(filled):
                 out[filled] = op.reduceat(values, at)
-            return out.view(np.int64)
+            return out
 
-        with np.errstate(over="ignore"):
-            set_hash = per_row((u ^ (u >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93), np.add)
+        hash_a, hash_b = (per_row(_mixed(u, k), np.add).view(np.int64) for k in (0, 1))
         bit = np.uint64(1) << (u & np.uint64(63))
         quarter = (u >> np.uint64(6)) & np.uint64(3)
-        maps = [per_row(np.where(quarter == k, bit, np.uint64(0)), np.bitwise_xor) for k in range(len(MAPS))]
-
-        n_rare = np.bincount(set_row[~common[set_code]], minlength=count)
-        prefix = rank <= n[set_row] - -(-LIKE_NUM * n[set_row] // LIKE_DEN)
-        gram, row, pos = h[prefix], set_row[prefix], rank[prefix]
-        sketch, sketch_row = _sketch(hashed[codes], rows, np.where(n_rare * SPARSE <= n, SKETCH_SPARSE, SKETCH))
+        maps = [per_row(np.where(quarter == k, bit, np.uint64(0)), np.bitwise_xor).view(np.int64) for k in range(len(MAPS))]
+
+        rank = np.arange(len(h)) - start[row]
+        prefix = rank <= n[row] - -(-LIKE_NUM * n[row] // LIKE_DEN)
+        blocks = np.minimum(-(-weight // LIST_TEXTS), MOST_BLOCKS)[word[prefix]]
+        ids = np.asarray(b.column(0)).astype(np.int64)
+        gram, gram_row, pos = _cells(ids, h[prefix], row[prefix], rank[prefix], blocks)
+        distinct_hashes = hashed.view(np.uint64)
+        bands = []
+        for k in range(BANDS):
+            band = np.full(count, np.uint64(k), np.uint64)
+            for j in range(BAND_WORDS):
+                band = _mixed(band ^ per_row(_mixed(distinct_hashes, 11 + k * BAND_WORDS + j)[word], np.minimum), 9)
+            bands.append(band.view(np.int64))
+        leaders = np.stack(bands, 1).reshape(-1) if count else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
             [
-                b.column(0), b.column(1), pa.array(set_hash), pa.array(n.astype(np.int32)), *map(pa.array, maps),
-                _lists(gram, row, count), _lists(pos.astype(np.int32), row, count), _lists(sketch, sketch_row, count),
+                b.column(0), b.column(1), pa.array(hash_a), pa.array(hash_b), pa.array(n.astype(np.int32)), *map(pa.array, maps),
+                _lists(gram, gram_row, count), _lists(pos.astype(np.int32), gram_row, count), _lists(leaders, np.repeat(np.arange(count), BANDS), count),
             ],
-            names=["id", "side", "set_hash", "n", *MAPS, "grams", "pos", "sketch"],
+            names=["id", "side", "hash_a", "hash_b", "n", *MAPS, "grams", "pos", "bands"],
         )
 
 
@@ -156,7 +195,7 @@ def _word_sets(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterato
     for b in batches:
         slot = _slots(np.asarray(b.column(0)).astype(np.int64))
         b = b.filter(pa.array((wanted[slot >> 3] >> (slot & 7)) & 1 == 1))
-        set_row, set_code, _, _, _, distinct = _row_sets(b.column(1))
+        set_row, set_code, distinct = _row_sets(b.column(1))
         yield pa.RecordBatch.from_arrays([b.column(0), _lists(hash64(distinct)[set_code], set_row, b.num_rows)], names=["id", "words"])
 
 
@@ -170,7 +209,7 @@ def wanted_filter(pairs: DataFrame) -> np.ndarray:
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            slots = np.unique(_slots(np.concatenate([np.asarray(c).astype(np.int64) for c in b.columns])))
+            slots = distinct_sorted(_slots(np.concatenate([np.asarray(c).astype(np.int64) for c in b.columns])))
             yield pa.RecordBatch.from_arrays([pa.array(slots)], names=["slot"])
 
     slots = pairs.select("a", "b").mapInArrow(fill, "slot bigint")
@@ -184,7 +223,7 @@ def wanted_filter(pairs: DataFrame) -> np.ndarray:
 
 @dataclass
 class WordSets:
-    """The distinct word sets of a table: its rows' membership, and one row with maps and n-grams per set."""
+    """The distinct word sets of a table: its rows' membership, and one row with maps, prefix words and leader keys per set."""
 
     texts: DataFrame
     members: DataFrame
@@ -195,84 +234,126 @@ def word_sets(texts: DataFrame) -> WordSets:
     """texts (id, side, text) with equal word sets collapsed; the smallest id names a set."""
     frequent, texts_with = frequent_words(texts)
     rows = materialize(texts.select("id", "side", "text").mapInArrow(lambda it: _signatures(it, frequent, texts_with), SETS))
-    sets = rows.groupBy("set_hash", "n").agg(F.min("id").alias("set_id"), F.bit_or("side").alias("sides"))
-    members = materialize(rows.select("id", "side", "set_hash", "n").join(sets, ["set_hash", "n"]).select("id", "side", "set_id", "sides"))
+    key = ["hash_a", "hash_b", "n"]
+    sets = rows.groupBy(*key).agg(F.min("id").alias("set_id"), F.bit_or("side").alias("sides"))
+    members = materialize(rows.select("id", "side", *key).join(sets, key).select("id", "side", "set_id", "sides"))
     firsts = members.where("id = set_id").select("id", "sides")
     meta = (F.col("n").cast("bigint") * 4 + F.col("sides")) * (1 << 24)
-    return WordSets(texts, members, rows.join(firsts, "id").select(F.col("id").alias("set"), *MAPS, meta.alias("meta"), "grams", "pos", "sketch"))
-
-
-def sketch_postings(sets: DataFrame) -> DataFrame:
-    """One row per set and sketch n-gram."""
-    return sets.select(F.explode("sketch").alias("gram"), "set", *MAPS, "meta")
+    return WordSets(texts, members, rows.join(firsts, "id").select(F.col("id").alias("set"), *MAPS, meta.alias("meta"), "grams", "pos", "bands"))
 
 
 def may_be_alike() -> str:
-    """The filters of two postings a and b as SQL: sides, length, suffix."""
-    sides = lambda s: f"(shiftright({s}.meta, 24) & 3)"
+    """The length and suffix filters of two sets a and b as SQL."""
     size = lambda s: f"shiftright({s}.meta, 26)"
     total = f"({size('a')} + {size('b')})"
     # the most words that may be in only one of two alike sets
     apart = f"({total} - 2 * ((({LIKE_NUM} * {total}) + {LIKE_NUM + LIKE_DEN - 1}) div {LIKE_NUM + LIKE_DEN}))"
     checks = [
-        f"(({sides('a')} & 1) * ({sides('b')} & 2) + ({sides('a')} & 2) * ({sides('b')} & 1)) > 0",
         f"least({size('a')}, {size('b')}) * {LIKE_DEN} >= greatest({size('a')}, {size('b')}) * {LIKE_NUM}",
         " + ".join(f"bit_count(a.{m} ^ b.{m})" for m in MAPS) + f" <= {apart}",
     ]
     return " and ".join(checks)
 
 
-def _close(near: np.ndarray, maps: np.ndarray, n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which of the pairs (i, j) of rows that share a word pass the length, positional and suffix filters."""
-    total = n[i] + n[j]
-    apart = total - 2 * -(-LIKE_NUM * total // (LIKE_NUM + LIKE_DEN))
-    off = np.abs(pos[i] - pos[j]) + np.abs((n[i] - pos[i]) - (n[j] - pos[j]))
-    bits = sum(np.bitwise_count(m[i] ^ m[j]).astype(np.int64) for m in maps)
-    return near & (np.abs(n[i] - n[j]) <= apart) & (off <= apart) & (bits <= apart)
-
-
-def _list_pairs(gram: np.ndarray, sets: np.ndarray, label: np.ndarray, maps: np.ndarray, meta: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of sets (smaller, larger) within whole posting lists that pass the filters; pairs on one side or with one label are none."""
-    side = np.array([0, 0, 2, 1])[(meta >> 24) & 3]  # side 1 only, both, side 2 only
-    label = np.where(side == 1, label, 0)
-    order = np.lexsort((label, side, gram))
-    gram, sets, label, side, maps, meta = gram[order], sets[order], label[order], side[order], maps[:, order], meta[order]
-    n, pos = meta >> 26, meta & ((1 << 24) - 1)
-    rows = len(gram)
-    new_list = np.append(np.flatnonzero(np.append(True, gram[1:] != gram[:-1])), rows)
-    changed = np.append(True, (gram[1:] != gram[:-1]) | (side[1:] != side[:-1]) | (label[1:] != label[:-1]))
-    new_run = np.append(np.flatnonzero(changed), rows)
-    end = np.repeat(new_list[1:], np.diff(new_list))
-    start = np.repeat(new_run[1:], np.diff(new_run))  # the first partner of a row is the first row of the next run
-    partners = end - start
-    # the limit of a pair is at most the sum of both of these; sums of at most 255
-    half = np.minimum(-(-(LIKE_DEN - LIKE_NUM) * n // (LIKE_DEN + LIKE_NUM)), 127).astype(np.uint8)
-
-    def named(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keep = _close(sets[i] != sets[j], maps, n, pos, i, j)
-        a, b = sets[i[keep]], sets[j[keep]]
+class _Postings:
+    """Posting lists as arrays, each list sorted by group and length, and the comparison of parts of them.
+
+    A group is a part of a list whose rows are not compared with each other: one
+    side of a bipartite join, or the sets of one label. Only groups that fill
+    more than a sixteenth of a long list are kept apart; the rows of all others
+    are one part, and equal labels are sorted out pair by pair.
+    """
+
+    def __init__(self, gram: np.ndarray, sets: np.ndarray, label: np.ndarray, meta: np.ndarray, maps: np.ndarray):
+        side = (meta >> 24) & 3
+        label = np.where(side == 3, label, -side)  # ids and labels are not negative, so a one-sided set has a group of its own side
+        order = np.lexsort((label, gram))
+        g, lab = gram[order], label[order]
+        new_list = np.append(True, g[1:] != g[:-1])
+        new_group = new_list | np.append(True, lab[1:] != lab[:-1])
+        list_rows = np.diff(np.append(np.flatnonzero(new_list), len(g)))[np.cumsum(new_list) - 1]
+        group_rows = np.diff(np.append(np.flatnonzero(new_group), len(g)))[np.cumsum(new_group) - 1]
+        part = np.empty(len(g), np.int64)
+        part[order] = np.where(group_rows > np.maximum(FEW, list_rows // 16), np.cumsum(new_group), 0)
+        n = meta >> 26
+        order = np.lexsort((n, part, gram))
+        self.sets, self.label, self.maps, self.n, self.pos = sets[order], label[order], maps[:, order], n[order], (meta & ((1 << 24) - 1))[order]
+        gram, part = gram[order], part[order]
+        new_list = np.append(True, gram[1:] != gram[:-1])
+        new_part = new_list | np.append(True, part[1:] != part[:-1])
+        self.section = np.cumsum(new_part) - 1
+        self.bounds = np.append(np.flatnonzero(new_part), len(gram))
+        self.pool = part[self.bounds[:-1]] == 0
+        self.list_of = (np.cumsum(new_list) - 1)[self.bounds[:-1]]
+        self.index = self.pos <= self.n - -(-2 * LIKE_NUM * self.n // (LIKE_NUM + LIKE_DEN))
+        self.folded = self.maps[0] ^ self.maps[1], self.maps[2] ^ self.maps[3]
+        # the limit of a pair is at most the sum of both of these; sums of at most 254
+        self.half = np.minimum(-(-(LIKE_DEN - LIKE_NUM) * self.n // (LIKE_DEN + LIKE_NUM)), 127).astype(np.uint8)
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of sets (smaller, larger) that pass all filters."""
+        held, size = [], 0
+        for part in self._near():
+            held.append(part)
+            size += len(part[0])
+            if size >= FLUSH:
+                yield self._close(*map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+        if held:
+            yield self._close(*map(np.concatenate, zip(*held, strict=True)))
+
+    def _near(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        width = int(self.n.max()) + 2 if len(self.n) else 1
+        key = self.section * width + self.n
+        longest = np.minimum(self.n * LIKE_DEN // LIKE_NUM, width - 1)
+        own = np.flatnonzero(self.index & self.pool[self.section])
+        yield from self._windows(own, own + 1, np.searchsorted(key, self.section[own] * width + longest[own], side="right"))
+        sections = np.searchsorted(self.list_of, np.arange(self.list_of[-1] + 2)) if len(self.list_of) else np.zeros(1, np.int64)
+        for at in np.flatnonzero(np.diff(sections) > 1):
+            for a in range(sections[at], sections[at + 1]):
+                i = np.flatnonzero(self.index[self.bounds[a] : self.bounds[a + 1]]) + self.bounds[a]
+                for b in range(sections[at], sections[at + 1]):
+                    if a != b:  # of two sets of one length the one in the earlier part is the shorter
+                        first = np.searchsorted(key, b * width + self.n[i], side="left" if a < b else "right")
+                        yield from self._windows(i, first, np.searchsorted(key, b * width + longest[i], side="right"))
+
+    def _close(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, pos = self.n, self.pos
+        total = n[i] + n[j]
+        apart = total - 2 * -(-LIKE_NUM * total // (LIKE_NUM + LIKE_DEN))
+        off = np.abs(pos[i] - pos[j]) + np.abs((n[i] - pos[i]) - (n[j] - pos[j]))
+        keep = (off <= apart) & (self.label[i] != self.label[j])
+        i, j, apart = i[keep], j[keep], apart[keep]
+        keep = sum(np.bitwise_count(m[i] ^ m[j]).astype(np.int64) for m in self.maps) <= apart
+        a, b = self.sets[i[keep]], self.sets[j[keep]]
         return np.minimum(a, b), np.maximum(a, b)
 
-    few = np.flatnonzero((partners > 0) & (partners <= FEW))
-    for at in range(0, len(few), 1 << 14):
-        i = few[at : at + (1 << 14)]
-        many = partners[i]
-        j = np.repeat(start[i] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        yield named(np.repeat(i, many), j)
-    for first, last in zip(new_list[:-1], new_list[1:], strict=True):
-        large = first + int(np.count_nonzero(partners[first:last] > FEW))  # partners fall along a list
-        for top in range(first, large, TILE_ROWS):
-            low = min(top + TILE_ROWS, large)
-            for left in range(start[top], last, TILE_COLUMNS):
-                right = min(left + TILE_COLUMNS, last)
-                bits = np.zeros((low - top, right - left), np.uint8)  # 256 becomes 0, which passes here
-                for m in maps:
-                    bits += np.bitwise_count(m[top:low, None] ^ m[None, left:right])
-                i, j = np.nonzero(bits <= half[top:low, None] + half[None, left:right])
-                i, j = i + top, j + left
-                later = j >= start[i]
-                if later.any():
-                    yield named(i[later], j[later])
+    def _windows(self, rows: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of each row with the rows from first to last; long windows without those that the folded maps rule out."""
+        many = last - first
+        few = np.flatnonzero((many > 0) & (many <= FEW))
+        for at in range(0, len(few), 1 << 14):
+            k = few[at : at + (1 << 14)]
+            j = np.repeat(first[k] - np.cumsum(many[k]) + many[k], many[k]) + np.arange(many[k].sum())
+            yield np.repeat(rows[k], many[k]), j
+        large = np.flatnonzero(many > FEW)
+        cuts = np.flatnonzero(np.diff(self.section[rows[large]])) + 1 if len(large) else []
+        f0, f1 = self.folded
+        for part in np.split(large, cuts):
+            for top in range(0, len(part), TILE_ROWS):
+                k = part[top : top + TILE_ROWS]
+                i, low, high = rows[k], first[k], last[k]
+                begin, end = int(low.min()), int(high.max())
+                g0, g1, half = f0[i, None], f1[i, None], self.half[i, None]
+                for left in range(begin, end, TILE_COLUMNS):
+                    right = min(left + TILE_COLUMNS, end)
+                    bits = np.bitwise_count(g0 ^ f0[left:right])
+                    bits += np.bitwise_count(g1 ^ f1[left:right])
+                    near = np.flatnonzero(bits <= half + self.half[left:right])
+                    r, j = np.divmod(near, right - left)
+                    j += left
+                    inside = (j >= low[r]) & (j < high[r])
+                    yield i[r[inside]], j[inside]
 
 
 def _prefix_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,8 +372,9 @@ def _prefix_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             held.append([c[cut:] for c in columns])
         if done:
             gram, sets, label, meta, *maps = (np.concatenate(c) for c in zip(*done, strict=True))
-            for a, b2 in _list_pairs(gram, sets, label, np.stack([m.view(np.uint64) for m in maps]), meta):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b2)], names=["a", "b"])
+            for a, b2 in _Postings(gram, sets, label, meta, np.stack([m.view(np.uint64) for m in maps])).pairs():
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b2)], names=["a", "b"])
 
 
 def candidate_pairs(sets: DataFrame, label: str = "set") -> DataFrame:
@@ -328,26 +410,35 @@ def likeness_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.members, verified(texts, candidate_pairs(found.sets))
 
 
+def leader_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b) of every set b with the leader a, the smallest set, of each of its keys that a crowd of sets has, where the two may be alike."""
+    keyed = sets.select(F.explode("bands").alias("band"), "set")
+    leader = keyed.groupBy("band").agg(F.min("set").alias("leader"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= CROWD)
+    stars = keyed.join(leader, "band").where("set > leader").select(F.col("leader").alias("a"), F.col("set").alias("b")).distinct()
+    maps = sets.select("set", *MAPS, "meta")
+    left = stars.join(maps.alias("a"), F.col("a") == F.col("a.set")).select(F.struct("a.*").alias("a"), "b")
+    return left.join(maps.alias("b"), F.col("b") == F.col("b.set")).select("a", F.struct("b.*").alias("b")).where(may_be_alike()).select(F.col("a.set").alias("a"), F.col("b.set").alias("b"))
+
+
 def likeness_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """texts (id, text) to (members (id, side, set_id, sides), classes (set_id, class_id)) of the sets that have a link.
 
-    Classes need no more links than those that join them. First every set is
-    compared with the leader (the smallest set) of each of its sketch n-grams,
-    one candidate a posting; then the exact prefix join leaves out the pairs
-    inside the classes found so far. A class of any size is never compared pair by
-    pair, and every pair between different classes still is.
+    Classes need no more links than those that join them. First every set that
+    has a leader key in common with a crowd is compared with the crowd's leader;
+    then the exact prefix join leaves out the pairs inside the classes found so
+    far. A large class is never compared pair by pair, and every pair between
+    different classes still is.
     """
     texts = texts.select("id", F.lit(3).alias("side"), "text")
     found = word_sets(texts)
-    sketch = sketch_postings(found.sets)
-    leader = sketch.groupBy("gram").agg(F.min(F.struct("set", *MAPS, "meta")).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "l.*")
-    on = F.expr(f"a.gram = b.gram and a.set < b.set and {may_be_alike()}")
-    stars = leader.alias("a").join(sketch.alias("b"), on).select(F.col("a.set").alias("a"), F.col("b.set").alias("b"))
-    first = materialize(verified(texts, stars))
-    known = materialize(connected_components(first).select(F.col("node").alias("set"), "component"))
-    labelled = found.sets.join(known, "set", "left")
-    links = materialize(verified(texts, candidate_pairs(labelled, "coalesce(component, set)")))
-    classes = connected_components(first.unionAll(links))
+    stars = materialize(leader_pairs(found.sets))
+    sets, label = found.sets, "set"
+    if stars.take(1):
+        stars = materialize(verified(texts, stars))
+        known = materialize(connected_components(stars).select(F.col("node").alias("set"), "component"))
+        sets, label = sets.join(known, "set", "left"), "coalesce(component, set)"
+    links = materialize(verified(texts, candidate_pairs(sets, label)))
+    classes = connected_components(stars.unionAll(links))
     return found.members, classes.select(F.col("node").alias("set_id"), F.col("component").alias("class_id"))
 
 
