@@ -8,7 +8,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from selvedge.functions import arrays, text
-from selvedge.functions.tokens import flat, rolling_hash, rows_of, words
 
 
 def one(spark, expr, schema, *values):
@@ -92,23 +91,6 @@ def test_first_json_object():
     assert arrays.first_json_object("{ open") is None and arrays.first_json_object(None) is None
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="aÉß 1_,.-\n中", max_size=30), max_size=5))
-def test_words_of_a_batch(texts):
-    import pyarrow as pa
-
-    values, off = words(flat(pa.array(texts, pa.string())))
-    got = [values.to_pylist()[a:b] for a, b in zip(off, off[1:], strict=False)]
-    assert got == [re.findall(r"[^\W_]+", t.lower()) for t in texts]
-
-
-def test_rolling_hash_stays_within_rows():
-    import numpy as np
-
-    h, rows = rolling_hash(np.array([1, 2, 3, 1, 2, 3], np.int64), rows_of(np.array([0, 3, 6])), 2)
-    assert rows.tolist() == [0, 0, 1, 1] and h[0] == h[2] and h[1] == h[3]
-    assert len(rolling_hash(np.zeros(0, np.int64), np.zeros(0, np.int64), 3)[0]) == 0
-
 
 def test_picks_and_suffixes(spark):
     df = spark.createDataFrame([(k,) for k in range(200)], "k bigint")
