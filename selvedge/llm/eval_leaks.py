@@ -13,6 +13,11 @@ counts of item n-grams (bounded by the items) travel. Items are handled in
 blocks of at most BLOCK_CHARS characters, so what a task holds is bounded
 however many items there are.
 
+A window around seeds is aligned only where its words allow the wanted score: no
+alignment scores more than the best stretch of the window in which a word of the
+item counts MATCH and any other costs a gap. Windows of like sizes are aligned
+together, a whole stack of dynamic-programming rows at once.
+
 Words are runs of letters and digits without case or accents. Defined results:
 null or empty texts and items never match; items shorter than RUN words have a
 single window, and so no verbatim run of RUN words; a repeated document or item
@@ -30,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selvedge.llm.tokens import coded, flat, hash64, rolling_hash, rows_of
+from selvedge.llm.tokens import coded, distinct_sorted, flat, hash64, rolling_hash, rows_of
 from selvedge.session import table
 
 RUN = 13
@@ -39,11 +44,15 @@ BLOCK_CHARS = 8_000_000
 MATCH, MISMATCH, GAP = 2, -1, 1
 #: A passage counts as an edited copy from this alignment score on: RUN words matched, less a few edits.
 EDITED_SCORE = 20
+#: Cells of the dynamic-programming rows that are worked on at once.
+STACK = 1 << 15
 
 ALIGNED = "doc_id bigint, item_id bigint, score int, matched int, longest_run int"
 
 
 def plain_word(w: str) -> str:
+    if w.isascii():
+        return w.lower()
     return "".join(ch for ch in unicodedata.normalize("NFKD", w) if not unicodedata.combining(ch)).casefold()
 
 
@@ -81,10 +90,18 @@ class ItemIndex:
         self.words, self.off = word_hashes(flat(pa.array([t for _, t in items], pa.string())))
         rows = rows_of(self.off)
         self.gram, self.gram_item = rolling_hash(self.words, rows, SEED_WORDS)
-        self.distinct = np.unique(self.gram)
-
-    def item(self, k: int) -> np.ndarray:
-        return self.words[self.off[k] : self.off[k + 1]]
+        self.distinct = distinct_sorted(self.gram)
+        self.vocabulary = distinct_sorted(self.words)
+        self.codes = np.searchsorted(self.vocabulary, self.words)
+        #: item * len(vocabulary) + code of every word of every item
+        self.held = distinct_sorted(rows * len(self.vocabulary) + self.codes)
+
+    def coded(self, words: np.ndarray) -> np.ndarray:
+        """Codes of words in the vocabulary, -1 for words of no item."""
+        hit, place = _locate(self.vocabulary, words)
+        out = np.full(len(words), -1, np.int64)
+        out[hit] = place
+        return out
 
     def seeds(self, counts: dict[int, int], edited: bool) -> tuple[np.ndarray, np.ndarray]:
         """(seed hashes, item of each), sorted by hash.
@@ -124,77 +141,152 @@ def _document_grams(column) -> tuple[np.ndarray, np.ndarray]:
     return rolling_hash(words, rows_of(off), SEED_WORDS)
 
 
+def _slots(values: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+
 def _locate(sorted_keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions in values that occur in sorted_keys, first place of each there)."""
+    """(positions in values that occur in sorted_keys, first place of each there); a table of 20-bit hashes spares most searches."""
     if not len(sorted_keys) or not len(values):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place = np.searchsorted(sorted_keys, values)
-    hit = np.flatnonzero(sorted_keys[np.minimum(place, len(sorted_keys) - 1)] == values)
-    return hit, place[hit]
+    table = np.zeros(1 << 20, bool)
+    table[_slots(sorted_keys)] = True
+    maybe = np.flatnonzero(table[_slots(values)])
+    place = np.searchsorted(sorted_keys, values[maybe])
+    hit = sorted_keys[np.minimum(place, len(sorted_keys) - 1)] == values[maybe]
+    return maybe[hit], place[hit]
+
+
+def align_stack(item: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """(Smith-Waterman score, item words that are in the text, longest verbatim run) of each row of coded items and texts, filled up with -2 and -1."""
+    step = (GAP * np.arange(1, text.shape[1] + 1)).astype(np.int32)
+    above = np.zeros((len(text), text.shape[1] + 1), np.int32)
+    run = np.zeros_like(above)
+    out = np.zeros((len(text), 3), np.int64)
+    for w in item.T:
+        same = text == w[:, None]
+        run[:, 1:] = np.where(same, run[:, :-1] + 1, 0)
+        row = np.maximum(above[:, :-1] + np.where(same, np.int32(MATCH), np.int32(MISMATCH)), above[:, 1:] - np.int32(GAP))
+        np.maximum(row, 0, out=row)
+        row += step
+        np.maximum.accumulate(row, axis=1, out=row)
+        row -= step
+        above[:, 1:] = row
+        out[:, 0] = np.maximum(out[:, 0], row.max(1))
+        out[:, 1] += same.any(1)
+        out[:, 2] = np.maximum(out[:, 2], run.max(1))
+    return out
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """(Smith-Waterman score, matched words of the best path at most, longest verbatim run) of two word sequences."""
-    step = GAP * np.arange(1, len(text) + 1)
-    above = np.zeros(len(text) + 1, np.int64)
-    run = np.zeros(len(text) + 1, np.int64)
-    best = longest = 0
-    for w in item:
-        same = text == w
-        run[1:] = np.where(same, run[:-1] + 1, 0)
-        row = np.maximum(np.maximum(above[:-1] + np.where(same, MATCH, MISMATCH), above[1:] - GAP), 0)
-        row = np.maximum.accumulate(row + step) - step
-        above[1:] = row
-        best, longest = max(best, int(row.max())), max(longest, int(run.max()))
-    return best, int(np.isin(item, text).sum()), longest
-
-
-def _aligned(batches: Iterator[pa.RecordBatch], index: ItemIndex, seed: np.ndarray, owner: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """align_stack() of one sequence of word hashes each."""
+    _, codes = np.unique(np.concatenate([item, text]), return_inverse=True)
+    score, matched, run = align_stack(codes[None, : len(item)].astype(np.int32), codes[None, len(item) :].astype(np.int32))[0]
+    return int(score), int(matched), int(run)
+
+
+class Windows:
+    """Stretches lo to hi of coded document words, each around seeds of one item."""
+
+    def __init__(self, index: ItemIndex, words: np.ndarray, row: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+        self.index, self.words, self.row, self.item, self.lo, self.hi = index, words, row, item, lo, hi
+
+    def take(self, keep: np.ndarray) -> Windows:
+        return Windows(self.index, self.words, self.row[keep], self.item[keep], self.lo[keep], self.hi[keep])
+
+    def bounds(self) -> np.ndarray:
+        """No alignment of a window with its item scores more than this."""
+        size = self.hi - self.lo
+        of = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.lo, size)
+        code = self.words[at]
+        gain = np.full(len(of), -min(GAP, -MISMATCH), np.int64)
+        known = np.flatnonzero(code >= 0)
+        hit, _ = _locate(self.index.held, self.item[of[known]] * len(self.index.vocabulary) + code[known])
+        gain[known[hit]] = MATCH
+        # every window's sums lie below those of the window before, so one running minimum serves all
+        total = np.cumsum(gain) - of * (int(size.max(initial=0)) + 1) * 2 * MATCH
+        before = np.minimum.accumulate(total - gain)
+        out = np.zeros(len(size), np.int64)
+        if len(of):
+            out = np.maximum.reduceat(total - before, np.cumsum(size) - size)
+        return out
+
+    def align(self) -> np.ndarray:
+        """Rows (score, matched words of the item at most, longest verbatim run) of the windows."""
+        first, last = self.index.off[self.item], self.index.off[self.item + 1]
+        length, size = last - first, self.hi - self.lo
+        out = np.zeros((len(size), 3), np.int64)
+        order = np.lexsort((size, length))
+        cells = 0
+        begin = 0
+        for n in range(1, len(order) + 1):
+            cells = max(cells, int(size[order[n - 1]]))
+            if n < len(order) and cells * (n - begin) < STACK:
+                continue
+            k = order[begin:n]
+            out[k] = self._stack(first[k], length[k], self.lo[k], size[k])
+            begin, cells = n, 0
+        return out
+
+    def _stack(self, first: np.ndarray, length: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+        width, place = np.arange(int(size.max())), np.arange(int(length.max()))
+        text = np.where(width < size[:, None], self.words[np.minimum(lo[:, None] + width, len(self.words) - 1)], -1)
+        item = np.where(place < length[:, None], self.index.codes[np.minimum(first[:, None] + place, len(self.index.codes) - 1)], -2)
+        return align_stack(item.astype(np.int32), text.astype(np.int32))
+
+
+def seed_windows(index: ItemIndex, words: np.ndarray, off: np.ndarray, seed: np.ndarray, owner: np.ndarray) -> Windows:
+    """Around each seed of an item in a document as many words as the item has to both sides; windows that touch are one."""
+    rows = rows_of(off)
+    m = max(0, len(words) - SEED_WORDS + 1)
+    start = np.flatnonzero(rows[:m] == rows[SEED_WORDS - 1 :]) if m else np.zeros(0, np.int64)
+    grams, _ = rolling_hash(words, rows, SEED_WORDS)
+    hit, place = _locate(seed, grams)
+    owners = np.searchsorted(seed, grams[hit], side="right") - place
+    at = np.repeat(start[hit], owners)
+    item = owner[np.repeat(place - np.cumsum(owners) + owners, owners) + np.arange(len(at))] if len(at) else np.zeros(0, np.int64)
+    order = np.lexsort((at, item, rows[at]))
+    at, item = at[order], item[order]
+    row, length = rows[at], index.off[item + 1] - index.off[item]
+    new = np.ones(len(at), bool)
+    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (at[1:] - length[1:] > at[:-1] + SEED_WORDS + length[1:])
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(at))[: len(begin)] - 1
+    lo = np.maximum(at[begin] - length[begin], off[row[begin]])
+    hi = np.minimum(at[end] + SEED_WORDS + length[end], off[row[begin] + 1])
+    return Windows(index, index.coded(words), row[begin], item[begin], lo, hi)
+
+
+def _aligned(batches: Iterator[pa.RecordBatch], index: ItemIndex, seed: np.ndarray, owner: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         words, off = word_hashes(flat(b.column(1)))
-        rows = rows_of(off)
-        m = max(0, len(words) - SEED_WORDS + 1)
-        same = rows[:m] == rows[SEED_WORDS - 1 :] if m else np.zeros(0, bool)
-        start = np.flatnonzero(same)
-        grams, _ = rolling_hash(words, rows, SEED_WORDS)
-        hit, place = _locate(seed, grams)
-        found: dict[tuple[int, int], list[int]] = {}
-        for h, p in zip(hit, place, strict=True):
-            at = int(start[h])
-            while p < len(seed) and seed[p] == grams[h]:
-                found.setdefault((int(rows[at]), int(owner[p])), []).append(at)
-                p += 1
-        out = []
-        for (r, k), places in found.items():
-            item = index.item(k)
-            best = (0, 0, 0)
-            lo = hi = -1
-            for at in [*places, None]:
-                if at is not None and lo >= 0 and at - len(item) <= hi:
-                    hi = max(hi, at + SEED_WORDS + len(item))
-                    continue
-                if lo >= 0:
-                    best = max(best, align(item, words[max(off[r], lo) : min(off[r + 1], hi)]))
-                if at is not None:
-                    lo, hi = max(0, at - len(item)), at + SEED_WORDS + len(item)
-            out.append((b.column(0)[r].as_py(), int(index.ids[k]), *best))
-        cols = list(zip(*out, strict=True)) or [()] * 5
+        found = seed_windows(index, words, off, seed, owner)
+        found = found.take(found.bounds() >= least)
+        key = found.row * len(index.ids) + found.item  # in order, so the windows of a document and item are together
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        scores = np.maximum.reduceat(found.align(), first, axis=0) if len(first) else np.zeros((0, 3), np.int64)
+        good = scores[:, 0] >= least
+        first, scores = first[good], scores[good].astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 2 + [pa.int32()] * 3, strict=True)], names=["doc_id", "item_id", "score", "matched", "longest_run"]
+            [b.column(0).take(pa.array(found.row[first])), pa.array(index.ids[found.item[first]]), *(pa.array(scores[:, k]) for k in range(3))],
+            names=["doc_id", "item_id", "score", "matched", "longest_run"],
         )
 
 
 def leak_alignments(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", edited: bool = True) -> DataFrame:
-    """(doc_id, item_id, score, matched, longest_run) of every document and item that share a seed; without edited, of all verbatim runs at least."""
+    """(doc_id, item_id, score, matched, longest_run) of every document and item that share a seed and align with EDITED_SCORE or more; without edited, of all verbatim runs of RUN words at least."""
     texts = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).where("text is not null")
     listed = items.select("item_id", "text").where("item_id is not null and text is not null").orderBy("item_id")
+    least = EDITED_SCORE if edited else RUN * MATCH
     parts = []
     for block in item_blocks([(r.item_id, r.text) for r in listed.toLocalIterator()]):
         index = ItemIndex(block)
         counted = texts.select("text").mapInArrow(lambda it, g=index.distinct: _gram_counts(it, g), "gram bigint, n bigint")
         counts = {r.gram: r.n for r in counted.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
         seed, owner = index.seeds(counts, edited)
-        parts.append(texts.mapInArrow(lambda it, i=index, s=seed, o=owner: _aligned(it, i, s, o), ALIGNED))
+        parts.append(texts.mapInArrow(lambda it, i=index, s=seed, o=owner: _aligned(it, i, s, o, least), ALIGNED))
     if not parts:
         return docs.sparkSession.createDataFrame([], ALIGNED)
     return reduce(DataFrame.unionAll, parts)
@@ -207,8 +299,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_edited_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verbatim and edited passages with their alignment score."""
-    found = leak_alignments(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
-    return found.where(F.col("score") >= EDITED_SCORE)
+    return leak_alignments(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
 QUERIES = {"p9_found": p9_found, "p9_edited_copies": p9_edited_copies}
