@@ -1,12 +1,15 @@
 """Problem 4: one consistent form for text that only looks the same.
 
-Method: the code points and letter-plus-accent strings of all texts are counted.
+Method: the code points and letter-plus-accent pairs of all texts are counted.
 Union-find joins every string with its looks: full-width and presentation forms,
 joined letters, accents written apart, spaces and invisible characters through
 their Unicode decompositions, and letters of other alphabets through a table of
-look-alikes; classes are transitive. The most frequent stable member of a class
-(one that normalisation leaves alone) represents it. A multi-pattern automaton
-then rewrites each text greedily, longest match first.
+look-alikes and the Unicode names of small capitals; classes are transitive. The
+most frequent stable member of a class (one that normalisation leaves alone)
+represents it. A multi-pattern automaton then rewrites each text greedily,
+longest match first; a letter with several accents is composed before, whatever
+their number. Only texts with a character that some rule begins with, or with an
+accent apart, are rewritten; both are read off the rules themselves.
 
 Look-alike letters are only rewritten inside a Latin word: a run of letters
 with an ordinary Latin letter in it, or one made of nothing but look-alikes in
@@ -14,19 +17,22 @@ a text that has such mixed words. Whole foreign words, Greek symbols and units,
 superscripts, fractions and typographic marks stay.
 
 Counting is one aggregate of at most as many rows as there are code points and
-accented letters; rewriting is a scan without a shuffle. Defined results: null
-stays null and is never reported; empty texts stay; repeated rows give repeated
-rows; other columns are not read.
+pairs of a letter and an accent; rewriting is a scan without a shuffle. Defined
+results: null stays null and is never reported; empty texts stay; a Latin letter
+with an accent apart that no character combines with it is reported and stays;
+repeated rows give repeated rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,12 +48,14 @@ LOOKALIKES = {
     "P": "РΡ", "Q": "Ԛ", "S": "ЅՏ", "T": "ТΤ", "U": "Ս", "V": "Ѵ", "W": "Ԝ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ",
 }
 #: Decompositions that are another look of the same character; superscripts, fractions, circles and squares are not.
-SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>")
-#: Texts without any of these need no rewriting; only a fast way past, every other text goes through the automaton.
-ORDINARY = r"[^\u0000-\u009f¡-¬®-İĴ-ňŊ-ž‐-‟•…‰-›€™]"
+SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>")
 
 COUNTS = "part string, n bigint"
-_ACCENTED = regex.compile(r"\p{L}\p{M}+")
+_ACCENTED = regex.compile(r"(\p{L}\p{M})\p{M}*")
+_ACCENTS = regex.compile(r"[\p{Latin}\p{Greek}\p{Cyrillic}]\p{M}{2,}")
+_SMALL_CAPITAL = re.compile(r"LATIN LETTER SMALL CAPITAL ([A-Z])$")
+#: A Latin letter with an accent of its own; those that a character holds with its letter are rewritten before they are looked for.
+APART = r"\p{Latin}\p{Mn}"
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 
 
@@ -70,6 +78,16 @@ def other_look(part: str) -> str | None:
     return plain if plain != part and (kind in SAME_LOOK or joined) else None
 
 
+def posed_letter(ch: str) -> str | None:
+    """The Latin letter that a small capital or a compatibility form of one letter poses as inside a word."""
+    found = _SMALL_CAPITAL.match(unicodedata.name(ch, ""))
+    if found:
+        return found[1].lower()
+    plain = unicodedata.normalize("NFKC", ch)
+    single = unicodedata.decomposition(ch).startswith("<compat>") and len(plain) == 1 and plain.isascii() and plain.isalpha()
+    return plain if single else None
+
+
 class Classes:
     """Union-find over strings."""
 
@@ -101,9 +119,10 @@ def rewrite_rules(counts: dict[str, int]) -> tuple[dict[str, str], dict[str, str
         if plain is not None:
             same.union(part, plain)
             look.union(part, plain)
-    for latin, others in LOOKALIKES.items():
-        for o in others:
-            look.union(o, latin)
+    posing = {o: latin for latin, others in LOOKALIKES.items() for o in others}
+    posing |= {p: posed_letter(p) for p in counts if len(p) == 1 and posed_letter(p)}
+    for o, latin in posing.items():
+        look.union(o, latin)
     stable = lambda s: unicodedata.is_normalized("NFKC", s) and (s in ("", " ") or other_look(s) is None)
 
     def representatives(classes: Classes) -> dict[str, str]:
@@ -114,7 +133,7 @@ def rewrite_rules(counts: dict[str, int]) -> tuple[dict[str, str], dict[str, str
             out |= {m: rep for m in members if rep is not None and m != rep}
         return out
 
-    letters = {o for others in LOOKALIKES.values() for o in others} | set(LOOKALIKES)
+    letters = set(posing) | set(LOOKALIKES)
     in_words = {m: r for m, r in representatives(look).items() if m in letters and r.isascii()}
     return {m: r for m, r in representatives(same).items() if m}, {m: r for m, r in in_words.items() if not m.isascii()}
 
@@ -133,11 +152,16 @@ class Rewriter:
             self.automaton.make_automaton()
         self.letters = str.maketrans(in_words)
         self.posing = frozenset(in_words)
+        begins = sorted({s for s in everywhere if len(s) == 1} | self.posing)  # longer ones have an accent
+        #: Found in every text that may be rewritten or reported.
+        listed = "".join(rf"\x{{{ord(ch):x}}}" for ch in begins)
+        self.may_change = rf"\p{{M}}|[{listed}]" if begins else r"\p{M}"
 
     def ordinary(self, ch: str) -> bool:
         return ch.isalpha() and ch not in self.posing and unicodedata.name(ch, "").startswith("LATIN ")
 
     def __call__(self, text: str) -> str:
+        text = _ACCENTS.sub(lambda m: unicodedata.normalize("NFC", m[0]), text)
         if self.some:
             out, at = [], 0
             for end, (n, r) in self.automaton.iter_long(text):
@@ -173,7 +197,7 @@ def _part_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 accented |= marks[c]
             if accented:
                 for m in _ACCENTED.finditer(text):
-                    strings[m[0]] = strings.get(m[0], 0) + 1
+                    strings[m[1]] = strings.get(m[1], 0) + 1
     parts = {chr(c): n for c, n in points.items() if not 0xD800 <= c < 0xE000} | strings
     yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.string()), pa.array(list(parts.values()), pa.int64())], names=["part", "n"])
 
@@ -181,8 +205,7 @@ def _part_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def rewriter_for(texts: DataFrame) -> Rewriter:
     """The rewriter that the counts over all columns of texts give."""
     counted = texts.mapInArrow(_part_counts, COUNTS).groupBy("part").agg(F.sum("n").alias("n"))
-    kept = counted.where(F.length("part") <= 8).collect()  # letters with up to seven accents
-    return Rewriter(*rewrite_rules({r.part: r.n for r in kept}))
+    return Rewriter(*rewrite_rules({r.part: r.n for r in counted.collect()}))
 
 
 FIELDS = [("sft_records", "instruction"), ("sft_records", "response"), ("preference_triples", "prompt")]
@@ -199,25 +222,27 @@ def _rewriter(spark: SparkSession, sf_dir: str) -> Rewriter:
 
 
 def consistent_texts(df: DataFrame, tbl: str, id_col: str, fields: list[str], rewriter: Rewriter, changed_only: bool) -> DataFrame:
-    """(tbl, row_index, field, text, changed): one row per text in its consistent form."""
+    """(tbl, row_index, field, text, changed, found): one row per text in its consistent form, whether that is another one, and whether it held odd characters."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields]))
     rows = df.select(F.lit(tbl).alias("tbl"), F.col(id_col).cast("bigint").alias("row_index"), pairs.alias("p")).select("tbl", "row_index", "p.field", "p.text")
-    odd = F.coalesce(F.col("text").rlike(ORDINARY), F.lit(False))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(3).to_pylist()
-            new = [rewriter(t) for t in texts]
-            out = pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array(new, pa.string()), pa.array([a != c for a, c in zip(texts, new, strict=True)], pa.bool_())],
-                names=["tbl", "row_index", "field", "text", "changed"],
-            )
-            yield out.filter(out.column(4)) if changed_only else out
-
-    changed = rows.where(odd).mapInArrow(rewrite, "tbl string, row_index bigint, field string, text string, changed boolean")
-    if changed_only:
-        return changed
-    return changed.unionByName(rows.where(~odd).withColumn("changed", F.lit(False)))
+            odd = np.flatnonzero(np.asarray(pc.match_substring_regex(flat(b.column(3)), rewriter.may_change)))
+            before = b.column(3).take(pa.array(odd)).to_pylist()
+            after = [rewriter(t) for t in before]
+            changed, found = np.zeros(b.num_rows, bool), np.zeros(b.num_rows, bool)
+            changed[odd] = [x != y for x, y in zip(before, after, strict=True)]
+            found[odd] = np.asarray(pc.match_substring_regex(pa.array(after, pa.large_string()), APART)) | changed[odd]
+            texts = b.column(3)
+            if changed.any():
+                place = np.zeros(b.num_rows, np.int64)
+                place[odd] = np.arange(len(odd))
+                texts = pc.if_else(pa.array(changed), pa.array(after, pa.string()).take(pa.array(place)), texts)
+            out = pa.RecordBatch.from_arrays([*b.columns[:3], texts, pa.array(changed), pa.array(found)], names=["tbl", "row_index", "field", "text", "changed", "found"])
+            yield out.filter(out.column(5)) if changed_only else out
+
+    return rows.mapInArrow(rewrite, "tbl string, row_index bigint, field string, text string, changed boolean, found boolean")
 
 
 def _all(spark: SparkSession, sf_dir: str, changed_only: bool) -> DataFrame:
@@ -231,7 +256,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_consistent_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all(spark, sf_dir, False)
+    return _all(spark, sf_dir, False).drop("found")
 
 
 _POSE = "".join(sorted({o for others in LOOKALIKES.values() for o in others}))

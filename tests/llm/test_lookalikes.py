@@ -54,3 +54,24 @@ def df_lit():
     from pyspark.sql import functions as F
 
     return F.lit("clash")
+
+
+def test_the_filter_lets_every_text_pass_that_is_rewritten():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    every = [chr(c) for c in range(0x20, 0x20000) if not 0xD800 <= c < 0xE000]
+    rewriter = Rewriter(*rewrite_rules(dict.fromkeys(every, 1) | {"é": 1}))
+    texts = [f"ab{ch}cd" for ch in every] + ["aéb", "e" + "́̂" * 5]
+    passed = pc.match_substring_regex(pa.array(texts), rewriter.may_change).to_pylist()
+    assert not [t for t, p in zip(texts, passed, strict=True) if rewriter(t) != t and not p]
+    assert rewriter("a‑b") == "a‑b"  # dashes are ordinary, also beside other odd characters
+    assert rewriter("→ a‑b") == "→ a‑b"
+
+
+def test_letters_with_many_accents_and_accents_that_nothing_combines(spark):
+    texts = ["nine e" + "́" * 9 + " accents", "x̂ bar", "plain", "dᴀrk Ａ", "a‑b"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "row_index bigint, t string")
+    got = {r.row_index: r for r in consistent_texts(df, "t", "row_index", ["t"], rewriter_for(df.selectExpr("t as text")), True).collect()}
+    assert set(got) == {0, 1, 3}
+    assert got[0].text == "nine é" + "́" * 8 + " accents" and got[1].text == texts[1] and got[3].text == "dark A"
