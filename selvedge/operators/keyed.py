@@ -30,6 +30,21 @@ def with_group_facts(rows: DataFrame, keys: list[str], facts: dict[str, Column])
     return done.unionByName(rest.join(cold, on).drop(*drop))
 
 
+def look_up(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of rows (a materialised table) with facts on keys, where a key may hold any share of the rows.
+
+    Facts of keys with more than HOT_SHARE of the rows, at most 1/HOT_SHARE of
+    them when facts has one row a key, are broadcast; the others are joined.
+    """
+    total = rows.count()
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max(1, int(total * HOT_SHARE))).select(*keys)
+    hot = [tuple(r) for r in hot.collect()]
+    if not hot:
+        return rows.join(facts, keys)
+    held = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*keys).schema))
+    return rows.join(F.broadcast(facts.join(held, keys)), keys).unionByName(rows.join(held, keys, "left_anti").join(facts, keys))
+
+
 def cross_group_overlap(rows: DataFrame, group: str, key: str) -> DataFrame:
     """(left_group, right_group, shared): distinct keys found in both groups, for every pair of groups."""
     sets = rows.where((F.col(key) != "") & F.col(group).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_set(group)).alias("groups")).where("size(groups) > 1")

@@ -32,11 +32,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where the session has none."""
+    """The folder all executors share: spark.checkpoint.dir, or where the session has none and runs locally a temporary one.
+
+    On a cluster a session without the setting is refused: a temporary folder
+    would be another one on every machine.
+    """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = sc.getCheckpointDir()
+    if not found and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="selvedge-checkpoint-")
         sc.setCheckpointDir(found)
@@ -63,6 +69,11 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def track(path: str) -> None:
+    """Let discard_all() delete a folder that was written without materialize()."""
+    _made.append(path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
