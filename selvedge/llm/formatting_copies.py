@@ -1,11 +1,17 @@
 """Problem 3: records that differ only in whitespace, case, punctuation or field order.
 
 Method: an incremental ledger. Every record gets a 128-bit key of its canonical
-form. A ledger holds one row per (tbl, key): the number of copies seen so far
-and the earliest representative, in hash buckets. A new delivery is aggregated
-by itself (map-side combine, so a hot key costs one row per task) and joined
-full-outer with the matching buckets of the ledger; counts add up and the
-smaller id stays.
+form. A ledger is a table on disk with one row per (tbl, key): the number of
+copies seen so far and the earliest representative, in hash buckets of one file
+set each. A new delivery is aggregated by itself (map-side combine, so a hot key
+costs one row per task); only the buckets that it touches are read, joined
+full-outer with it and written anew; counts add up and the smaller id stays.
+
+A ledger folder holds data/<version>/slot=<bucket> and manifests/<version>.json.
+The manifest of the last version names the folder of every bucket and the
+deliveries that are in. It appears by one rename when all its buckets are
+written, so a delivery that fails leaves the ledger as it was, one that is
+merged twice counts once, and of two writers one fails.
 
 Defined results: a null text or invalid JSON has no key and is never a copy;
 blank texts (nothing but whitespace and punctuation) share the empty key and are
@@ -16,16 +22,17 @@ empty ledger; other columns, whatever their names, are never read.
 from __future__ import annotations
 
 import json
-import re
+import uuid
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from selvedge.session import materialize, table
+from selvedge.session import materialize, shared_dir, table, track
 
 NOT_TEXT = r"[^\p{L}\p{N}\p{M}]+"
 #: Ledger buckets; a ledger of B bytes is best kept in about B / 256 MB of them.
@@ -33,7 +40,9 @@ BUCKETS = 64
 #: A key is hot when it holds more than this share of all rows, so there are at most 1/HOT_SHARE hot keys.
 HOT_SHARE = 0.001
 
-_STRIP = re.compile(r"[\W_]+")
+LEDGER = "bucket int, tbl string, key binary, copies bigint, keep_id bigint"
+
+_STRIP = regex.compile(NOT_TEXT)
 
 
 def canonical_text(c: Column) -> Column:
@@ -96,10 +105,66 @@ def merge_ledgers(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def run_deliveries(deliveries: Iterable[DataFrame]) -> DataFrame:
-    """Feed deliveries of keyed rows one after the other into the ledger."""
+    """The ledger of deliveries of keyed rows, in one plan and without a folder."""
     return reduce(merge_ledgers, map(delivery_ledger, deliveries))
 
 
+class Ledger:
+    """A ledger below path, which all executors share."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.fs = self._file("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _file(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def manifest(self) -> dict:
+        """Version, deliveries and bucket folders of the last version; of an absent ledger version 0."""
+        folder = self._file("manifests")
+        found = [f.getPath().getName() for f in self.fs.listStatus(folder)] if self.fs.exists(folder) else []
+        versions = sorted(int(n[:-5]) for n in found if n.endswith(".json") and n[:-5].isdigit())
+        if not versions:
+            return {"version": 0, "deliveries": [], "buckets": {}}
+        text = self.spark.read.text(f"{self.path}/manifests/{versions[-1]}.json", wholetext=True).first()[0]
+        return json.loads(text)
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        """The rows of the given buckets, or of all; no other file is opened."""
+        known = self.manifest()["buckets"]
+        paths = [f"{self.path}/{folder}" for k, folder in known.items() if buckets is None or int(k) in buckets]
+        if not paths:
+            return self.spark.createDataFrame([], LEDGER)
+        return self.spark.read.schema(LEDGER).parquet(*paths)
+
+    def merge(self, rows: DataFrame, delivery: str) -> list[int]:
+        """Add one delivery of keyed rows; returns the buckets it touched, none when the delivery is in already."""
+        before = self.manifest()
+        if delivery in before["deliveries"]:
+            return []
+        new = materialize(delivery_ledger(rows))
+        touched = sorted(r.bucket for r in new.select("bucket").distinct().collect())  # BUCKETS at most
+        version = before["version"] + 1
+        merged = merge_ledgers(self.read(touched), new)
+        folder = f"data/{version}-{uuid.uuid4().hex[:8]}"
+        # one task writes a bucket, whose size BUCKETS bounds
+        merged.withColumn("slot", F.col("bucket")).repartition("bucket").write.mode("errorifexists").partitionBy("slot").parquet(f"{self.path}/{folder}")
+        after = {"version": version, "deliveries": [*before["deliveries"], delivery], "buckets": before["buckets"] | {str(k): f"{folder}/slot={k}" for k in touched}}
+        self._publish(version, json.dumps(after))
+        return touched
+
+    def _publish(self, version: int, text: str) -> None:
+        part = self._file(f"manifests/{version}.{uuid.uuid4().hex}.part")
+        stream = self.fs.create(part)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        final = self._file(f"manifests/{version}.json")
+        if self.fs.exists(final) or not self.fs.rename(part, final):
+            raise RuntimeError(f"another delivery wrote version {version} of the ledger")
+
+
 def copies_of(rows: DataFrame, ledger: DataFrame, total: int) -> DataFrame:
     """(tbl, keep_id, copy_id): every keyed row that is not the representative of its set.
 
@@ -141,7 +206,12 @@ def _ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int
     rows = keyed_tables(spark, sf_dir)
     facts = rows.groupBy("tbl").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).collect()
     bounds = {r.tbl: (r.lo + r.hi) // 2 for r in facts}
-    return rows, materialize(run_deliveries(deliveries_by_id(rows, bounds))), sum(r.n for r in facts)
+    path = f"{shared_dir(spark).rstrip('/')}/selvedge-ledger-{uuid.uuid4().hex}"
+    track(path)
+    ledger = Ledger(spark, path)
+    for k, delivery in enumerate(deliveries_by_id(rows, bounds)):
+        ledger.merge(delivery, f"part {k}")
+    return rows, ledger.read(), sum(r.n for r in facts)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
