@@ -6,9 +6,13 @@ unrelated prompts is a refusal template, and a response is a refusal when it has
 such an opening and nothing else that answers: every other sentence either
 declines too or is a stock closing, one that recurs across unrelated prompts and
 is found almost only beside declining openings. So "I cannot see the skin, but
-..." followed by an answer is none. Checks of the pair itself label the other
-defects: nothing but stand-ins (empty), the words of the question (copied),
-function words of another language (wrong_language), no end (truncated).
+..." followed by an answer is none. Templates without any known turn are revealed
+by recurrence alone: an answer of at least BARE_WORDS words that is the whole
+answer, word for word, to BARE_PROMPTS different prompts and shares no telling
+word with most of them is a refusal, and so is an answer that opens with its first
+sentence and has nothing beyond stock closings. Checks of the pair itself label the other defects: nothing but stand-ins (empty), the words of the
+question (copied), function words of another language (wrong_language), no end
+(truncated).
 
 One scan of the texts emits a short row per pair; only hashes of sentences and
 the distinct declining openings are shuffled. A pair has one defect, the first
@@ -29,6 +33,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +42,15 @@ from selvedge.llm.tokens import coded, distinct_sorted, flat, rows_of
 from selvedge.llm.tokens import words as split_words
 from selvedge.llm.lookalikes import LOOKALIKES
 from selvedge.operators.components import connected_components
+from selvedge.operators.keyed import look_up
 from selvedge.session import materialize, table
 
 #: A template is a cluster of openings that answers so many different prompts.
 MIN_PROMPTS = 3
+#: So many different prompts, most of them without a telling word of the answer, reveal a template without a known turn, of so many words at least.
+BARE_PROMPTS, BARE_WORDS, UNRELATED_SHARE = 30, 5, 0.7
+#: A word is telling from so many letters on.
+TELLING_LETTERS = 5
 #: Openings are alike from this share of common words on.
 OPENING_LIKENESS = 0.5
 #: A stock closing is found beside declining openings in this share of its rows.
@@ -73,6 +83,8 @@ FUNCTION_WORDS = {
 _SETS = {k: set(v.split()) for k, v in FUNCTION_WORDS.items()}
 EXCLUSIVE = {w: k for k, v in _SETS.items() for w in v if sum(w in o for o in _SETS.values()) == 1}
 _LOOKS = str.maketrans({o: latin for latin, others in LOOKALIKES.items() for o in others})
+_FORMAT = regex.compile(r"\p{Cf}+")
+_POSING = re.compile("[Ͱ-֏ɐ-ʯı]")
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 _CLAUSE = re.compile(r"[,;:]")
@@ -88,15 +100,15 @@ DANGLING = frozenset(
 #: Endings by which a longer word is another form of a whole one.
 INFLECTIONS = "s|e|es|x|d|ed|n|en|er|r|ing|ly|ment|al|t|nt|ent"
 
-SCHEMA = "tbl string, row_index bigint, field string, defect string, prompt bigint, opening string, sentences array<bigint>, answers array<boolean>, tail string"
+SCHEMA = "tbl string, row_index bigint, field string, defect string, prompt bigint, opening string, sentences array<bigint>, answers array<boolean>, tail string, whole bigint, related boolean"
 
 
 def fold(text: str) -> str:
     """The text in plain lower-case characters, for comparison only."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text).replace("’", "'")
-        text = "".join(ch for ch in text if unicodedata.category(ch) != "Cf")
-        if any("Ͱ" <= ch <= "֏" or "ɐ" <= ch <= "ʯ" or ch == "ı" for ch in text):
+        text = _FORMAT.sub("", text)
+        if _POSING.search(text):
             text = text.translate(_LOOKS)
     return text.lower()
 
@@ -143,34 +155,53 @@ def is_truncated(folded: str, words: list[str]) -> bool | None:
     return None if len(words) > 1 and text[-1].isalpha() else False
 
 
-def inspect(question: str | None, answer: str | None) -> tuple[str | None, str | None, list[int], list[bool], str | None]:
-    """(defect of the pair itself, declining clause of the opening, sentence hashes, whether each sentence may answer, last word if it decides)."""
+def _hashed(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def inspect(question: str | None, answer: str | None) -> tuple:
+    """What one pair shows.
+
+    (defect of the pair itself, declining clause of the opening, sentence hashes,
+    whether each sentence may answer, last word if it decides; and of answers that
+    may be a template without a known turn: hash of all words, whether a telling
+    word is in the question).
+    """
     folded = fold(answer or "")
     words = _WORD.findall(folded)
     if not words or "".join(words) in STAND_INS:
-        return "empty", None, [], [], None
+        return "empty", None, [], [], None, None, None
     asked = _WORD.findall(fold(question or ""))
     if is_copy(asked, words):
-        return "copied_question", None, [], [], None
-    sentences = [s for s in map(plain_words, _SENTENCE.split(folded)) if s]
+        return "copied_question", None, [], [], None, None, None
+    pieces = _SENTENCE.split(folded)
+    sentences = [s for s in map(plain_words, pieces) if s]
     declines = [bool(DECLINING.search(s)) for s in sentences]
-    opening = next((clause for s in _SENTENCE.split(folded) for clause in map(plain_words, _CLAUSE.split(s)) if DECLINING.search(clause)), None)
+    opening = None
+    if any(declines):
+        opening = next((clause for s in pieces for clause in map(plain_words, _CLAUSE.split(s)) if DECLINING.search(clause)), None)
     spoken = language(words)
     cut = is_truncated(folded, words)
     defect = "wrong_language" if spoken and (language(asked) or spoken) != spoken else "truncated" if cut else None
-    hashes = [xxhash.xxh3_64_intdigest(s) - (1 << 63) for s in sentences]
-    return defect, opening, hashes, [not d for d in declines], words[-1] if defect is None and cut is None else None
+    hashes = [_hashed(s) for s in sentences]
+    whole = related = None
+    if opening is None and defect is None and len(words) >= BARE_WORDS:
+        whole = _hashed(" ".join(words))
+        related = not {w for w in words if len(w) >= TELLING_LETTERS}.isdisjoint(asked)
+    return defect, opening, hashes, [not d for d in declines], words[-1] if defect is None and cut is None else None, whole, related
 
 
 def _inspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         questions = b.column(3).to_pylist()
         found = [inspect(q, a) for q, a in zip(questions, b.column(4).to_pylist(), strict=True)]
-        defect, opening, sentences, answers, tail = zip(*found, strict=True) if found else ((), (), (), (), ())
-        prompt = [xxhash.xxh3_64_intdigest(q or "") - (1 << 63) for q in questions]
+        columns = list(zip(*found, strict=True)) or [()] * 7
+        prompt = [_hashed(q or "") for q in questions]
+        kinds = [pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.string(), pa.int64(), pa.bool_()]
+        defect, *others = map(pa.array, columns, kinds)
         yield pa.RecordBatch.from_arrays(
-            [*b.columns[:3], pa.array(defect, pa.string()), pa.array(prompt, pa.int64()), pa.array(opening, pa.string()), pa.array(sentences, pa.list_(pa.int64())), pa.array(answers, pa.list_(pa.bool_())), pa.array(tail, pa.string())],
-            names=["tbl", "row_index", "field", "defect", "prompt", "opening", "sentences", "answers", "tail"],
+            [*b.columns[:3], defect, pa.array(prompt, pa.int64()), *others],
+            names=["tbl", "row_index", "field", "defect", "prompt", "opening", "sentences", "answers", "tail", "whole", "related"],
         )
 
 
@@ -242,27 +273,45 @@ def opening_clusters(openings: DataFrame) -> DataFrame:
     return clusters(links.unionAll(more.distinct()))
 
 
+def revealed_templates(seen: DataFrame) -> DataFrame:
+    """(id): first sentences of whole answers to many prompts that most of these have nothing to do with."""
+    asked = seen.where("whole is not null").groupBy("whole", "prompt").agg(F.min(F.element_at("sentences", 1)).alias("id"), F.avg((~F.col("related")).cast("double")).alias("unrelated"))
+    whole = asked.groupBy("whole").agg(F.count(F.lit(1)).alias("prompts"), F.avg("unrelated").alias("unrelated"), F.min("id").alias("id"))
+    return whole.where((F.col("prompts") >= BARE_PROMPTS) & (F.col("unrelated") >= UNRELATED_SHARE)).select("id").distinct()
+
+
+def refused(declining: DataFrame, clusters: DataFrame, revealed: DataFrame, stock: DataFrame, key: list[str]) -> DataFrame:
+    """(key): the rows of declining that open with a template and answer nothing beside it."""
+    # distinct prompts of an opening before the join, so that the rows of a hot template do not meet in it
+    asked = declining.select("id", "prompt").distinct().join(clusters, "id")
+    refusing = asked.groupBy("cluster").agg(F.countDistinct("prompt").alias("prompts")).where(F.col("prompts") >= MIN_PROMPTS)
+    templates = clusters.join(refusing, "cluster").select("id").unionAll(revealed).distinct()
+    answering = materialize(declining.select(*key, F.explode(F.arrays_zip("sentences", "answers")).alias("s")).where("s.answers").select(*key, F.col("s.sentences").alias("sentence")))
+    closed = look_up(answering, stock, ["sentence"]).select(*key, F.lit(1).alias("closed"), F.lit(0).alias("said"))
+    ends = answering.select(*key, F.lit(0).alias("closed"), F.lit(1).alias("said")).unionAll(closed).groupBy(*key).agg(F.sum("closed").alias("closed"), F.sum("said").alias("said"))
+    return look_up(declining.select(*key, "id"), templates, ["id"]).select(*key).join(ends.where("said > closed"), key, "left_anti").distinct()
+
+
 def defective_pairs(pairs: DataFrame) -> DataFrame:
     """pairs (tbl, row_index, field, question, answer) to (tbl, row_index, field, defect) of the defective ones."""
-    seen = materialize(pairs.select("tbl", "row_index", "field", "question", "answer").mapInArrow(_inspected, SCHEMA))
-    declining = seen.where("opening is not null").select("*", F.xxhash64("opening").alias("id"))
-    prompts = declining.groupBy("id").agg(F.first("opening").alias("opening"))
-    clusters = materialize(opening_clusters(prompts))
-    refusing = declining.select("id", "prompt").join(clusters, "id").groupBy("cluster").agg(F.countDistinct("prompt").alias("prompts")).where(F.col("prompts") >= MIN_PROMPTS)
-    templates = clusters.join(refusing, "cluster").select("id")
-    spoken = seen.select("prompt", F.col("opening").isNotNull().alias("beside"), F.explode("sentences").alias("sentence"))
+    key = ["tbl", "row_index", "field"]
+    seen = materialize(pairs.select(*key, "question", "answer").mapInArrow(_inspected, SCHEMA))
+    revealed = materialize(revealed_templates(seen))
+    turned = F.when(F.col("opening").isNotNull(), F.xxhash64("opening")).otherwise(F.col("known"))
+    opened = seen.join(revealed.withColumnRenamed("id", "known"), F.element_at("sentences", 1) == F.col("known"), "left").withColumn("id", turned)
+    own = F.expr("if(opening is null, transform(answers, (a, k) -> a and k > 0), answers)")  # the first sentence of a revealed template answers nothing
+    declining = materialize(opened.where("id is not null").select(*key, "prompt", "opening", "id", "sentences", own.alias("answers")))
+    clusters = materialize(opening_clusters(declining.where("opening is not null").groupBy("id").agg(F.min("opening").alias("opening"))))
+    spoken = opened.select("prompt", F.col("id").isNotNull().alias("beside"), F.explode("sentences").alias("sentence"))
     stock = spoken.groupBy("sentence").agg(F.avg(F.col("beside").cast("double")).alias("share"), F.approx_count_distinct("prompt").alias("prompts"))
     stock = stock.where((F.col("share") >= CLOSING_SHARE) & (F.col("prompts") >= MIN_PROMPTS)).select("sentence")
-    key = ["tbl", "row_index", "field"]
-    answering = declining.select(*key, F.explode(F.arrays_zip("sentences", "answers")).alias("s")).where("s.answers").select(*key, F.col("s.sentences").alias("sentence"))
-    answered = answering.join(stock, "sentence", "left_anti").select(*key).distinct()
-    refusals = declining.join(templates, "id", "left_semi").join(answered, key, "left_anti").select(*key, F.lit(True).alias("refused")).distinct()
+    refusals = refused(declining, clusters, revealed, stock, key).withColumn("refused", F.lit(True))
     kind = F.when(F.col("refused"), "refusal").otherwise(F.col("defect"))
     cut = cut_words(pairs, seen).withColumn("cut", F.lit("truncated"))
-    judging = seen.where("tail is not null").select(*key, "tail", "opening").join(cut, "tail", "left").select(*key, F.col("cut").alias("defect"), "opening")
-    rows = seen.where("tail is null").select(*key, "defect", "opening").unionAll(judging).select(*key, "defect", F.col("opening").isNotNull().alias("may_refuse"))
-    plain = rows.where("not may_refuse and defect is not null").select(*key, "defect")
-    judged = rows.where("may_refuse").join(refusals, key, "left").select(*key, kind.alias("defect")).where("defect is not null")
+    judging = opened.where("tail is not null").select(*key, "tail", "id").join(cut, "tail", "left").select(*key, F.col("cut").alias("defect"), "id")
+    rows = opened.where("tail is null").select(*key, "defect", "id").unionAll(judging)
+    plain = rows.where("id is null and defect is not null").select(*key, "defect")
+    judged = rows.where("id is not null").join(refusals, key, "left").select(*key, kind.alias("defect")).where("defect is not null")
     return plain.unionByName(judged)
 
 

@@ -94,3 +94,14 @@ def test_a_refusal_after_several_lead_ins(spark):
 
 def test_empty_table(spark):
     assert defective_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_template_without_a_known_turn_is_revealed_by_recurrence(spark):
+    topics = ["knee", "elbow", "fever", "cough", "rash", "diet", "sleep", "asthma", "migraine", "wound"]
+    ask = lambda k: f"Why does my {topics[k % 10]} number {k} bother me since the {topics[k // 10 % 10]} began?"
+    rows = [("t", k, "response", ask(k), "That topic is simply off the table for me." + " Other pages cover it well." * (k % 3 == 0)) for k in range(200)]
+    rows += [("t", 1000 + k, "response", ask(k), f"Keep {k} days of rest and drink water for that.") for k in range(100)]  # varied answers
+    rows += [("t", 2000 + k, "response", ask(k), "Yes.") for k in range(100)]  # short answers recur
+    rows += [("t", 3000 + k, "response", f"Does paracetamol lower fever {k}?", "Paracetamol lowers fever in most adults.") for k in range(60)]  # the prompts speak of it
+    got = [(r.row_index, r.defect) for r in defective_pairs(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(got) == [(k, "refusal") for k in range(200)]
