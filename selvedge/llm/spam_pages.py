@@ -3,7 +3,9 @@
 Method: every line is reduced to a shape (kind, bucketed word count, capitals,
 separators, links). Shapes that no sentence can have are the non-sentence
 shapes: link lines, tag lines, separated lists, keyword runs without the
-punctuation of a sentence. Lines are grouped by page and shape, and a page is
+punctuation of a sentence, and lines that say the same words again and again with
+hardly a function word between them, whatever their punctuation. What stands in a
+line after its last sentence is a line of its own. Lines are grouped by page and shape, and a page is
 flagged when its non-sentence shapes hold more than half of its characters and
 few shapes (SHAPES_COVER) make up most of that half.
 
@@ -23,19 +25,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from selvedge.llm.tokens import flat
+from selvedge.llm.tokens import coded, distinct_sorted, flat, rows_of
+from selvedge.llm.tokens import words as split_words
 from selvedge.session import table
 
 #: More than this share of a page's characters must be in non-sentence shapes.
 SHARE = 0.5
 #: So many of a page's non-sentence shapes must cover COVERED of its non-sentence characters.
 SHAPES_COVER, COVERED = 12, 0.8
+#: A line repeats its keywords when so many of its words are in it before.
+REPEATED = 0.3
 
 URL = r"(?:https?:)?//[^\s<>()\[\]\"]+|www\.[^\s<>()\[\]\"]+"
 LINKED = rf"(?i)<a\s[^>]*>[^<]*</a>|!?\[[^\]\n]*\]\([^)\s]*\)|{URL}|[\w.-]+\.[a-z]{{2,}}/[^\s]*"
 TAG = r"(?:^|[\s,;|])#[\p{L}\p{N}_-]+"
 SEPARATOR = r"[>|;,/•·»~]|\s[-–—]\s|\s::?\s"
 STOP = r"[.!?…](?:[\s\"'»”’)\]]|$)"
+#: A line whose last sentence is followed by something without an end.
+TAILED = r"^(.*[.!?…][\"'»”’)\]]*)[ \t]+((?:[^.!?…\n\r]|[.!?…]+[^\s.!?…\"'»”’)\]]){40,})$"
 WORD = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
 CAPITAL = r"(?:^|[^\p{L}\p{N}'’-])\p{Lu}"
 #: Short words that sentences of the four languages need and lists of keywords do without.
@@ -53,6 +60,15 @@ def _length(values) -> np.ndarray:
     return np.asarray(pc.utf8_length(values)).astype(np.int64)
 
 
+def repeated_words(lines: pa.Array) -> np.ndarray:
+    """How many words of each line are in it before."""
+    values, off = split_words(lines)
+    codes, distinct = coded(values)
+    width = max(1, len(distinct))
+    different = np.bincount(distinct_sorted(rows_of(off) * width + codes) // width, minlength=len(lines))
+    return np.diff(off) - different
+
+
 def line_kinds(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(kind code, shape code, characters) of each line."""
     chars = _length(lines)
@@ -73,7 +89,9 @@ def line_kinds(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     listed = (stops == 0) & (seps >= 2) | (per_sentence > 12) & (words >= 6)
     separated = ~links & ~tagged & listed & (seps >= 0.3 * some) & (function < 0.2 * words)
     short = (words > 0) & (words <= 6) & (stops == 0) & (function <= np.where(words <= 4, 0.5, 0.25) * words)
-    run = (words > 6) & (function < 0.08 * words) & (per_sentence > 25)
+    endless = (stops == 0) | (per_sentence > 25)
+    again = repeated_words(bare) >= REPEATED * words
+    run = (words > 6) & ((function < 0.08 * words) & (endless | again) | (function < 0.2 * words) & endless & again)
     keywords = ~links & ~tagged & ~separated & (short | run)
     kind = np.select([links, tagged, separated, keywords], [1, 2, 3, 4], 0)
     bucket = np.minimum(np.ceil(np.log2(words + 1)), 9).astype(np.int64)
@@ -85,7 +103,7 @@ def line_kinds(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def page_lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The non-blank lines of all texts and the row of each."""
-    lists = pc.split_pattern_regex(texts, pattern=r"[\n\r\x{2028}\x{2029}]+")
+    lists = pc.split_pattern_regex(pc.replace_substring_regex(texts, pattern=f"(?m){TAILED}", replacement="\\1\n\\2"), pattern=r"[\n\r\x{2028}\x{2029}]+")
     off = np.asarray(lists.offsets)
     lines = pc.utf8_trim_whitespace(lists.flatten())
     keep = np.asarray(pc.not_equal(lines, ""))
