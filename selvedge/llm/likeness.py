@@ -305,7 +305,8 @@ class _Postings:
     def _near(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         width = int(self.n.max()) + 2 if len(self.n) else 1
         key = self.section * width + self.n
-        longest = np.minimum(self.n * LIKE_DEN // LIKE_NUM, width - 1)
+        # the words before the first shared one are in only one of the sets, which bounds the other's length
+        longest = np.clip((self.n - self.pos) * (LIKE_NUM + LIKE_DEN) // LIKE_NUM - self.n, 0, width - 1)
         own = np.flatnonzero(self.index & self.pool[self.section])
         yield from self._windows(own, own + 1, np.searchsorted(key, self.section[own] * width + longest[own], side="right"))
         sections = np.searchsorted(self.list_of, np.arange(self.list_of[-1] + 2)) if len(self.list_of) else np.zeros(1, np.int64)
