@@ -134,14 +134,20 @@ def has_repeated_phrase(words: Column, widths: tuple[int, ...] = (3, 4, 5, 6)) -
     return let(words, lambda w: reduce(lambda a, b: a | b, [repeats(w, n) for n in widths]))
 
 
+#: Signs of a damaged output with the names they are reported by, and the widths and lengths they are judged at.
+HTML_ENTITY = r"(?i)&#(?:[0-9]+|x[0-9a-f]+);"
+MASK_LEFT = r"<(?:PERSON|LOCATION|DATE_TIME)>"
+REPEATED_WIDTH, TRUNCATED_FROM = 6, 150
+
+
 def malformed_reasons(c: Column) -> Column:
     """Signs of a damaged output, in a fixed order."""
     text = or_empty(c)
     checks = [
-        ("html_entity", text.rlike(r"(?i)&#(?:[0-9]+|x[0-9a-f]+);")),
-        ("placeholder", text.rlike(r"<(?:PERSON|LOCATION|DATE_TIME)>")),
-        ("repeated_phrase", has_repeated_phrase(plain_words(c), (6,))),
-        ("likely_truncated", (F.length(text) >= 150) & text.rlike(r"[\p{L}\p{N}]$")),
+        ("html_entity", text.rlike(HTML_ENTITY)),
+        ("placeholder", text.rlike(MASK_LEFT)),
+        ("repeated_phrase", has_repeated_phrase(plain_words(c), (REPEATED_WIDTH,))),
+        ("likely_truncated", (F.length(text) >= TRUNCATED_FROM) & text.rlike(r"[\p{L}\p{N}]$")),
     ]
     return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in checks]))
 
@@ -149,3 +155,9 @@ def malformed_reasons(c: Column) -> Column:
 def host_url(c: Column, domain: str) -> Column:
     """The first https address below a domain in a log line, without its path; null without one."""
     return F.nullif(F.regexp_extract(or_empty(c), r"https://[a-z0-9-]+\." + domain.replace(".", r"\."), 0), F.lit(""))
+
+
+def multiset_digest(digest: Column) -> Column:
+    """One digest of a set of SHA-256 row digests, whatever their order: an aggregate of four sums and a count, so no task holds the rows."""
+    part = lambda k: F.sum(F.conv(F.substring(digest, 1 + 16 * k, 16), 16, 10).cast("decimal(38,0)"))
+    return sha(F.concat_ws(",", *[part(k).cast("string") for k in range(4)], F.count(digest).cast("string")))

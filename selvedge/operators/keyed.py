@@ -38,10 +38,10 @@ def look_up(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     """
     total = rows.count()
     hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max(1, int(total * HOT_SHARE))).select(*keys)
-    hot = [tuple(r) for r in hot.collect()]
-    if not hot:
+    found = hot.toArrow()
+    if not found.num_rows:
         return rows.join(facts, keys)
-    held = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*keys).schema))
+    held = F.broadcast(rows.sparkSession.createDataFrame(found))
     return rows.join(F.broadcast(facts.join(held, keys)), keys).unionByName(rows.join(held, keys, "left_anti").join(facts, keys))
 
 

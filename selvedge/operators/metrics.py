@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from selvedge.operators.ranking import rank_within
@@ -81,7 +81,8 @@ def length_summary(lengths: DataFrame, column: str, limit: int, percents: list[i
     """
     histogram = lengths.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("k"))
     total = histogram.agg(F.sum("k").alias("n"), F.max("v").alias("maximum"), F.sum(F.when(F.col("v") > limit, F.col("k")).otherwise(0)).alias("over_limit"))
-    upto = histogram.alias("a").join(histogram.alias("b"), F.expr("b.v <= a.v")).groupBy("a.v").agg(F.sum("b.k").alias("upto"))
+    # a running sum over a table with one row a length
+    upto = histogram.select("v", F.sum("k").over(Window.orderBy("v")).alias("upto"))
     both = upto.crossJoin(F.broadcast(total))
     picks = [F.min(F.when(F.col("upto") > F.bround((F.col("n") - 1) * p / 100.0), F.col("v"))).alias(f"p{p}") for p in percents]
     return both.agg(F.max("n").alias("n"), *picks, F.max("maximum").alias("maximum"), F.max("over_limit").alias("over_limit"))

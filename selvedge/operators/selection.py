@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from selvedge.operators.ranking import smallest
+from selvedge.operators.ranking import global_rank, smallest
 from selvedge.session import discard, materialize
 
 
@@ -51,7 +51,8 @@ def select_sources(candidates: DataFrame, quotas: list[tuple[str, int]]) -> Data
         rows = candidates.where(F.col("source") == source).select("ord", "id", "k1", "k2")
         for before in out:
             rows = rows.join(before.select("k1"), "k1", "left_anti").join(before.select("k2"), "k2", "left_anti")
-        got = materialize(smallest(greedy_by_two_keys(rows), ["ord", "id"], quota).select(F.lit(source).alias("source"), "ord", "id", "k1", "k2"))
+        taken = global_rank(greedy_by_two_keys(rows), ["ord", "id"], "place").where(F.col("place") < quota)  # a quota may be any share of a source
+        got = materialize(taken.select(F.lit(source).alias("source"), "ord", "id", "k1", "k2"))
         if got.count() < quota:
             raise ValueError(f"source {source} has {got.count()} of {quota} records")
         out.append(got)

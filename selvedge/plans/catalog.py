@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("corpus", "preferences", "sampling", "evaluation", "artifacts")
+MODULES = ("corpus", "preferences", "sampling", "evaluation", "artifacts", "exchange", "contracts")
 
 
 def queries() -> dict:

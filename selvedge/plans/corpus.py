@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from selvedge.functions.arrays import first_difference, repeated_ngrams
-from selvedge.functions.text import content_hash, email_count, malformed_reasons, norm_fast, or_empty, phone_count, plain_words, sha, strip
+from selvedge.functions.text import HTML_ENTITY, MASK_LEFT, REPEATED_WIDTH, TRUNCATED_FROM, content_hash, email_count, malformed_reasons, multiset_digest, norm_fast, or_empty, phone_count, plain_words, sha, strip
 from selvedge.operators.keyed import cross_group_overlap, spanning_keys
 from selvedge.operators.metrics import latest
-from selvedge.operators.privacy import ENTITIES, findings, mask_spans, masked, privacy_status, span_violations
+from selvedge.operators.privacy import ENTITIES, NAME_EN, NAME_FR, findings, mask_spans, masked, privacy_status, span_violations
 from selvedge.operators.splits import hash_split, isolate_groups
 from selvedge.operators.validation import drift, reason_counts, revision_diff, violations
 from selvedge.session import table
@@ -145,15 +145,10 @@ def rendered_records(spark, sf_dir):
 
 
 def dataset_digest(spark, sf_dir):
-    """One digest per split that depends on the set of its rows and not on their order or files.
-
-    Row digests are sorted and hashed in 4,096 buckets, and the buckets' digests
-    are hashed in turn, so no task holds more than a bucket.
-    """
+    """One digest per split that depends on the set of its rows and not on their order or files."""
     row = sha(F.concat_ws("|", "row_index", "record_id", or_empty("instruction"), or_empty("response")))
     rows = _sft(spark, sf_dir).select("split", row.alias("d"))
-    buckets = rows.groupBy("split", F.substring("d", 1, 3).alias("bucket")).agg(sha(F.array_join(F.sort_array(F.collect_list("d")), "\n")).alias("d"), F.count(F.lit(1)).alias("n"))
-    return buckets.groupBy("split").agg(sha(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), "\n")).alias("digest"), F.sum("n").alias("n_rows"))
+    return rows.groupBy("split").agg(multiset_digest(F.col("d")).alias("digest"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def ngram_repetition(spark, sf_dir):
@@ -227,6 +222,38 @@ QUERIES = {f.__name__: f for f in (corpus_counts, source_profile, duplicate_audi
 NORM = r"regexp_replace(replace(lower(coalesce({}, '')), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_]+', '', 'g')"
 STRIP = r"regexp_replace(coalesce({}, ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 MAIL = r"len(regexp_extract_all({}, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}\b'))"
+#: A mark after every character that is no digit lets a pattern see what stands before and after a number without taking it.
+MARK = "chr(1)"
+PHONE_MARKED = r"(^|\x01)(?:(?:\+\x01)?1(?:[ .-]\x01)?)?(?:(?:\(\x01)?\d{3}(?:\)\x01)?(?:[ .-]\x01)?)\d{3}[ .-]\x01\d{4}($|[^\d])"
+MARKED = r"regexp_replace({}, '([^\d])', '\1' || chr(1), 'g')"
+PHONES = lambda c: rf"len(regexp_extract_all({MARKED.format(c)}, '{PHONE_MARKED}'))"
+
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def masked_sql(c: str) -> str:
+    """masked() in SQL: the last boundary of a name takes the next character and puts it back."""
+    for k, p in ENTITIES.items():
+        if k == "PHONE_NUMBER":
+            c = rf"replace(regexp_replace({MARKED.format(c)}, '{PHONE_MARKED}', '\1<PHONE_NUMBER>\2', 'g'), chr(1), '')"
+        elif k == "PATIENT_NAME":
+            names = "|".join(n.removesuffix(r"\b") for n in (NAME_FR, NAME_EN))
+            c = rf"regexp_replace({c}, '(?i)(?:{_quoted(names)})($|[^\p{{L}}\p{{N}}_])', '<{k}>\1', 'g')"
+        else:
+            c = rf"regexp_replace({c}, '{_quoted(p.replace('(?iu)', '(?i)'))}', '<{k}>', 'g')"
+    return c
+
+
+def left_over(c: str) -> str:
+    """Whether a masked text still matches outside its placeholders."""
+    bare = f"regexp_replace({c}, '<(?:{'|'.join(ENTITIES)})>', ' ', 'g')"
+    return f"{masked_sql(bare)} <> {bare}"
+
+
+#: The digest of a set of row digests d.
+MULTISET = "sha256(concat_ws(',', " + ", ".join(f"sum(('0x' || substr(d, {1 + 16 * k}, 16))::UBIGINT::HUGEINT)::VARCHAR" for k in range(4)) + ", count(d)::VARCHAR))"
 _SFT = "sft AS (SELECT *, coalesce(source.source_dataset, 'unknown') AS dataset FROM sft_records)"
 
 
@@ -276,9 +303,8 @@ SELECT changed, count(*) AS n_records FROM c WHERE changed <> '' GROUP BY change
     "rendered_records": f"""WITH p AS (SELECT row_index, '<|im_start|>system' || chr(10) || '{SYSTEM}<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || coalesce(instruction, '') || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) AS prompt, coalesce(response, '') AS response
 FROM sft_records WHERE task_type = 'medical_qa_sft' AND split <> 'test')
 SELECT row_index, sha256(prompt || response || '<|im_end|>' || chr(10)) AS rendered_sha256, length(prompt || response || '<|im_end|>' || chr(10))::INT AS n_characters, length(prompt)::INT AS completion_start FROM p""",
-    "dataset_digest": """WITH r AS (SELECT split, sha256(concat_ws('|', row_index, record_id, coalesce(instruction, ''), coalesce(response, ''))) AS d FROM sft_records),
-b AS (SELECT split, substr(d, 1, 3) AS bucket, sha256(string_agg(d, chr(10) ORDER BY d)) AS d, count(*) AS n FROM r GROUP BY 1, 2)
-SELECT split, sha256(string_agg(d, chr(10) ORDER BY bucket)) AS digest, sum(n)::BIGINT AS n_rows FROM b GROUP BY split""",
+    "dataset_digest": f"""WITH r AS (SELECT split, sha256(concat_ws('|', row_index, record_id, coalesce(instruction, ''), coalesce(response, ''))) AS d FROM sft_records)
+SELECT split, {MULTISET} AS digest, count(*) AS n_rows FROM r GROUP BY split""",
     "ngram_repetition": rf"""WITH {_SFT}, w AS (SELECT dataset, list_filter(string_split_regex(lower(coalesce(response, '')), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '') AS w FROM sft),
 g AS (SELECT dataset, list_transform(range(1, greatest(len(w) - 2, 1)), lambda i: array_to_string(w[i:i+3], ' ')) AS g FROM w)
 SELECT dataset, sum(len(g))::BIGINT AS grams, sum(len(g) - len(list_distinct(g)))::BIGINT AS repeated FROM g GROUP BY dataset""",
@@ -290,4 +316,25 @@ SELECT id, field, sha256(regexp_replace(t, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A
     "document_duplicates": f"SELECT copies, count(*) AS n_sets FROM (SELECT k, count(*) AS copies FROM (SELECT {_hash('text')} AS k FROM documents) WHERE k <> '' GROUP BY k) GROUP BY copies",
     "protected_anti_join": f"""WITH {_SFT}, s AS (SELECT dataset, split, {_hash('instruction')} AS k FROM sft), p AS (SELECT k FROM s WHERE split <> 'train' UNION SELECT {_hash('prompt')} FROM preference_triples WHERE split <> 'train')
 SELECT dataset, count(*) AS n_rows, count(DISTINCT k) AS distinct_keys FROM s WHERE split = 'train' AND k <> '' AND k NOT IN (SELECT k FROM p) GROUP BY dataset""",
+    "phone_counts": f"SELECT split, sum({PHONES("coalesce(instruction, '')")})::BIGINT AS in_instruction, sum({PHONES("coalesce(response, '')")})::BIGINT AS in_response FROM sft_records GROUP BY split",
+    "malformed_outputs": rf"""WITH w AS (SELECT split, coalesce(response, '') AS t, list_filter(string_split_regex(lower(coalesce(response, '')), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '') AS w FROM sft_records),
+r AS (SELECT split, unnest([CASE WHEN regexp_matches(t, '{HTML_ENTITY}') THEN 'html_entity' END, CASE WHEN regexp_matches(t, '{MASK_LEFT}') THEN 'placeholder' END,
+CASE WHEN len(list_filter(range(1, greatest(len(w) - {2 * REPEATED_WIDTH - 2}, 1)), lambda i: w[i:i + {REPEATED_WIDTH - 1}] = w[i + {REPEATED_WIDTH}:i + {2 * REPEATED_WIDTH - 1}])) > 0 THEN 'repeated_phrase' END,
+CASE WHEN length(t) >= {TRUNCATED_FROM} AND regexp_matches(t, '[\p{{L}}\p{{N}}]$') THEN 'likely_truncated' END]) AS reason FROM w)
+SELECT split, reason, count(*) AS n_rows FROM r WHERE reason IS NOT NULL GROUP BY split, reason""",
+    "redelivery_first_difference": r"""WITH w AS (SELECT record_id, ingested_at, row_index, list_filter(string_split_regex(lower(coalesce(response, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w FROM sft_records),
+p AS (SELECT record_id, arg_min(w, (ingested_at, row_index)) AS a, arg_max(w, (ingested_at, row_index)) AS b FROM w GROUP BY record_id HAVING count(*) > 1),
+d AS (SELECT *, list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])[1] AS place FROM p)
+SELECT record_id, coalesce(place - 1, CASE WHEN len(a) <> len(b) THEN least(len(a), len(b)) END) AS first_difference FROM d""",
+    "masked_records": f"""WITH m AS (SELECT row_index, coalesce(instruction, '') AS i, coalesce(response, '') AS r, {masked_sql("coalesce(instruction, '')")} AS mi, {masked_sql("coalesce(response, '')")} AS mr FROM sft_records)
+SELECT row_index, mi AS instruction, mr AS response, mi <> i AS instruction_changed, mr <> r AS response_changed FROM m WHERE mi <> i OR mr <> r""",
+    "identifier_audit": f"""WITH m AS (SELECT split, {masked_sql("coalesce(instruction, '') || chr(10) || coalesce(response, '')")} AS m FROM sft_records),
+s AS (SELECT split, m, CASE WHEN trim(m) = '' THEN 'empty' WHEN {left_over('m')} THEN 'manual_review_required' ELSE 'passed' END AS status FROM m)
+SELECT split, status, count(*) AS n_rows, {', '.join(f"sum(len(regexp_extract_all(m, '<{k}>')))::BIGINT AS {k.lower()}" for k in ENTITIES)} FROM s GROUP BY split, status""",
+    "content_group_isolation": f"""WITH RECURSIVE {_SFT}, h AS (SELECT row_index AS id, split, record_id, {_hash('instruction')} AS q, dataset, {_hash('response')} AS a FROM sft),
+k AS (SELECT id, 'q:' || q AS k FROM h WHERE q <> '' UNION ALL SELECT id, 'a:' || dataset || ':' || a FROM h WHERE a <> '' UNION ALL SELECT id, 'r:' || record_id FROM h),
+f AS (SELECT k, min(id) AS f FROM k GROUP BY k), e AS (SELECT DISTINCT id AS a, f AS b FROM k JOIN f USING (k) WHERE id <> f), both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(id, c) AS (SELECT id, id FROM h UNION SELECT w.b, r.c FROM r JOIN both_ways w ON r.id = w.a WHERE r.c < w.b), g AS (SELECT id, min(c) AS c FROM r GROUP BY id),
+x AS (SELECT h.split, g.c, CASE h.split WHEN 'test' THEN 2 WHEN 'validation' THEN 1 ELSE 0 END AS rank FROM h JOIN g USING (id))
+SELECT split, rank = top AS kept, count(*) AS n_rows FROM (SELECT *, max(rank) OVER (PARTITION BY c) AS top FROM x) GROUP BY 1, 2""",
 }

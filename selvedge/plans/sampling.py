@@ -9,7 +9,7 @@ from selvedge.operators.privacy import masked
 from selvedge.operators.ranking import batches, global_rank, quota_label, round_robin, smallest, smallest_per_group, stratified
 from selvedge.operators.selection import first_of_key, select_sources
 from selvedge.operators.splits import fill_split_quotas, group_splits
-from selvedge.plans.corpus import _hash, _sft
+from selvedge.plans.corpus import _SFT, masked_sql, _hash, _sft
 from selvedge.session import materialize, table
 
 SEED = "42"
@@ -138,4 +138,11 @@ SELECT row_index, place, CASE WHEN place < 40 THEN 'respiratory' WHEN place < 10
 SELECT batch, count(*) AS n_records, min(digest) AS first_digest, max(digest) AS last_digest FROM p GROUP BY batch""",
     "review_items": "SELECT source.source_locator AS locator, count(*) AS members, string_agg(DISTINCT coalesce(language, 'none'), ',' ORDER BY coalesce(language, 'none')) AS languages, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM sft_records GROUP BY 1",
     "authoring_candidates": f"WITH {_SINGLE} SELECT id, l AS requested_language, 'candidate-' || substr(sha256(id || ':' || l), 1, 24) AS candidate_id FROM f, (VALUES ('fr'), ('en')) AS v(l)",
+    "greedy_quota_selection": f"""WITH RECURSIVE {_SFT}, r AS (SELECT dataset AS source, {_hash('instruction')} AS k1, {_hash(masked_sql("coalesce(instruction, '')"))} AS k2, sha256(dataset || ':' || record_id) AS ord, row_index AS id FROM sft),
+c AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY source, ord, id) AS i, (SELECT count(DISTINCT q.k1) // 5 FROM r q WHERE q.source = r.source AND q.k1 <> '' AND q.k2 <> '') AS quota FROM r WHERE k1 <> '' AND k2 <> ''),
+g(i, source, ord, id, n, one, two, take) AS (SELECT 0::BIGINT, ''::VARCHAR, ''::VARCHAR, 0::BIGINT, 0::BIGINT, []::VARCHAR[], []::VARCHAR[], false
+UNION ALL SELECT i, source, ord, id, CASE WHEN take THEN had + 1 ELSE had END, CASE WHEN take THEN list_append(one, k1) ELSE one END, CASE WHEN take THEN list_append(two, k2) ELSE two END, take
+FROM (SELECT c.i, c.source, c.ord, c.id, c.k1, c.k2, g.one, g.two, CASE WHEN g.source = c.source THEN g.n ELSE 0 END AS had,
+NOT list_contains(g.one, c.k1) AND NOT list_contains(g.two, c.k2) AND CASE WHEN g.source = c.source THEN g.n ELSE 0 END < c.quota AS take FROM g JOIN c ON c.i = g.i + 1))
+SELECT source, ord, id FROM g WHERE take""",
 }

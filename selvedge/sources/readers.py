@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from selvedge.functions.text import content_hash, or_empty, strip
+from selvedge.session import require_empty
 
 QA_PAIR = "QAPairs STRUCT<QAPair: ARRAY<STRUCT<_pid: STRING, Question: STRUCT<_VALUE: STRING, _qtype: STRING>, Answer: STRING>>>, _corrupt_record STRING"
 QUESTION_PAIR = "pair ARRAY<STRUCT<_pid: STRING, _value: STRING, chq: STRING, faq: STRING>>, Question ARRAY<STRUCT<_QID: STRING, QuestionText: STRING, AnswerList: STRUCT<Answer: ARRAY<STRUCT<_ReferenceScore: STRING, AnswerText: STRING>>>>>, _corrupt_record STRING"
@@ -18,20 +22,66 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None, strict
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, place, text): the lines of text files, with their 0-based place in the block that one task reads."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("text"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, int], int] = {}
+        for b in batches:
+            places = []
+            for key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                places.append(seen.get(key, 0))
+                seen[key] = places[-1] + 1
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(places, pa.int64()), b.column(2)], names=["file", "block", "place", "text"])
+
+    return lines.mapInArrow(number, "file string, block bigint, place bigint, text string")
+
+
 def bad_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line) of the lines that are neither blank nor a JSON object; line counts from 1 in files read whole."""
-    lines = spark.read.text(path, wholetext=True).select("_metadata.file_path", F.posexplode(F.split("value", "\n")).alias("k", "text"))
-    blank = strip(F.col("text")) == ""
-    return lines.where(~blank & F.json_object_keys("text").isNull()).select(F.col("file_path").alias("file"), (F.col("k") + 1).alias("line"))
+    """(file, line) of the lines that are neither blank nor a JSON object; line counts from 1.
+
+    Files are read in blocks by many tasks; the lines of the blocks before are
+    added to those of the bad lines only.
+    """
+    lines = numbered_lines(spark, path)
+    sizes = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    bad = lines.where((strip(F.col("text")) != "") & F.json_object_keys("text").isNull())
+    return bad.join(offsets, ["file", "block"]).select("file", (F.col("offset") + F.col("place") + 1).alias("line"))
+
+
+def require_json_lines(spark: SparkSession, path: str) -> None:
+    """Raise ContractViolation, naming file and line, when a line is neither blank nor a JSON object."""
+    require_empty(bad_json_lines(spark, path), f"{path}: lines that are no JSON object")
+
+
+def audit_choice_questions(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows (by, clinical_case, question, correct_answers) to counts per group: rows, with a case, with one and with several correct letters, without any, repeated questions."""
+    letters = F.filter(F.transform(F.split(or_empty("correct_answers"), ","), lambda x: F.trim(x)), lambda x: x != "")
+    number = lambda c: F.sum(c.cast("bigint"))
+    counts = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_rows"), number(strip(or_empty("clinical_case")) != "").alias("with_case"), number(F.size(letters) == 1).alias("single"), number(F.size(letters) > 1).alias("multiple"), number(F.size(letters) == 0).alias("unanswered")
+    )
+    keys = rows.select(*by, content_hash(F.col("question")).alias("k")).where("k <> ''").groupBy(*by, "k").agg(F.count(F.lit(1)).alias("c"))
+    repeated = keys.groupBy(*by).agg(F.sum(F.col("c") - 1).alias("duplicates"))
+    return counts.join(repeated, by, "left").na.fill(0, ["duplicates"])
+
+
+def audit_scored_questions(rows: DataFrame) -> DataFrame:
+    """rows of read_scored_questions() to counts per label and score: rows and blank texts."""
+    blank = (strip(or_empty("text_a")) == "") | (strip(or_empty("text_b")) == "")
+    return rows.groupBy("label", "score").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(blank.cast("bigint")).alias("blank"))
 
 
-def read_qa_documents(spark: SparkSession, path: str, removed: tuple[str, ...] = ()) -> DataFrame:
+def read_qa_documents(spark: SparkSession, path: str, removed: tuple[str, ...] = (), glob: str = "*.xml") -> DataFrame:
     """Question and answer pairs of XML documents below numbered folders: (subset, locator, question_type, question, answer).
 
     Malformed documents and pairs without question or answer are left out; the
     locator is the file with the pair's id, or its 1-based place without one.
     """
-    files = spark.read.text(f"{path.rstrip('/')}/[0-9]*", wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.xml")
+    files = spark.read.text(f"{path.rstrip('/')}/[0-9]*", wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     parsed = files.select(F.col("_metadata.file_path").alias("file"), F.from_xml("value", QA_PAIR, {"rowTag": "Document"}).alias("d"))
     relative = F.regexp_extract("file", r"([^/]+/[^/]+)$", 1)
     pairs = parsed.where("d._corrupt_record is null").select(relative.alias("file"), F.posexplode("d.QAPairs.QAPair").alias("k", "p"))
@@ -40,9 +90,9 @@ def read_qa_documents(spark: SparkSession, path: str, removed: tuple[str, ...] =
     return out.where((F.col("question") != "") & (F.col("answer") != "") & ~F.col("subset").isin(list(removed)))
 
 
-def audit_qa_documents(spark: SparkSession, path: str) -> DataFrame:
+def audit_qa_documents(spark: SparkSession, path: str, glob: str = "*.xml") -> DataFrame:
     """Per subset: files, malformed files, pairs, filled and empty answers, repeated questions."""
-    files = spark.read.text(f"{path.rstrip('/')}/[0-9]*", wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.xml")
+    files = spark.read.text(f"{path.rstrip('/')}/[0-9]*", wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     parsed = files.select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("subset"), F.from_xml("value", QA_PAIR, {"rowTag": "Document"}).alias("d"))
     per_file = parsed.groupBy("subset").agg(F.count(F.lit(1)).alias("files"), F.sum(F.col("d._corrupt_record").isNotNull().cast("bigint")).alias("malformed"))
     pairs = parsed.where("d._corrupt_record is null").select("subset", F.explode("d.QAPairs.QAPair").alias("p"))
@@ -53,9 +103,9 @@ def audit_qa_documents(spark: SparkSession, path: str) -> DataFrame:
     return per_file.join(counts, "subset", "left").join(repeated, "subset", "left").na.fill(0)
 
 
-def read_scored_questions(spark: SparkSession, path: str) -> DataFrame:
+def read_scored_questions(spark: SparkSession, path: str, glob: str = "*.xml") -> DataFrame:
     """Question pairs and scored answers of XML files: (file, record_id, label, score, text_a, text_b), one row a pair or answer."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.xml")
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=glob)
     parsed = files.select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("file"), F.from_xml("value", QUESTION_PAIR).alias("d"))
     pairs = parsed.select("file", F.explode("d.pair").alias("p")).select("file", F.col("p._pid").alias("record_id"), F.col("p._value").alias("label"), F.lit(None).cast("int").alias("score"), F.col("p.chq").alias("text_a"), F.col("p.faq").alias("text_b"))
     questions = parsed.select("file", F.explode("d.Question").alias("q"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selvedge.functions.text import sha
+from selvedge.functions.text import multiset_digest, sha
 from selvedge.operators.ranking import batches
 
 
@@ -16,16 +16,14 @@ def _json_row(df: DataFrame):
 def write_jsonl(df: DataFrame, path: str) -> dict[str, object]:
     """Write rows as JSON with sorted fields to a fresh folder; returns path, rows, bytes and an order-free digest.
 
-    An existing folder raises. The digest hashes sorted row digests in 4,096
-    buckets and then the buckets, so it does not depend on files or their order.
+    An existing folder raises. The digest is that of the set of rows (see
+    multiset_digest), so it does not depend on files or their order.
     """
     rows = df.select(_json_row(df).alias("value"))
     rows.write.mode("errorifexists").text(path)
-    written = df.sparkSession.read.text(path)
-    digests = written.select(sha("value").alias("d"), (F.octet_length("value") + 1).alias("b"))
-    buckets = digests.groupBy(F.substring("d", 1, 3).alias("k")).agg(sha(F.array_join(F.sort_array(F.collect_list("d")), "\n")).alias("d"), F.count(F.lit(1)).alias("n"), F.sum("b").alias("b"))
-    total = buckets.agg(sha(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]), "\n")).alias("sha256"), F.sum("n").alias("n"), F.sum("b").alias("b")).first()
-    return {"path": path, "sha256": total.sha256, "record_count": total.n or 0, "byte_size": total.b or 0}
+    written = df.sparkSession.read.text(path).select(sha("value").alias("d"), (F.octet_length("value") + 1).alias("b"))
+    total = written.agg(multiset_digest(F.col("d")).alias("sha256"), F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).first()
+    return {"path": path, "sha256": total.sha256, "record_count": total.n, "byte_size": total.b or 0}
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:

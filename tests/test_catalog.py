@@ -3,15 +3,13 @@ import pytest
 from selvedge.plans import catalog
 from tests.compare import database, rows, sql_rows
 
-SLOW = {"greedy_quota_selection"}
-
 
 @pytest.fixture(scope="module")
 def con(sf):
     return database(sf)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, sf, con, name):
     columns, got = rows(catalog.queries()[name](spark, sf))
     sql = catalog.oracle_sql().get(name)
