@@ -45,9 +45,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups}
-SQL = {
-    "p6_found": f"""WITH RECURSIVE t AS (SELECT row_index AS id, coalesce(instruction, '') || ' ' || coalesce(response, '') AS text FROM sft_records), {LIKE_SQL},
+_GROUPS = f"""WITH RECURSIVE t AS (SELECT row_index AS id, coalesce(instruction, '') || ' ' || coalesce(response, '') AS text FROM sft_records), {LIKE_SQL},
 edges AS (SELECT a.id AS a, b.id AS b FROM alike JOIN w a ON a.k = alike.a JOIN w b ON b.k = alike.b WHERE a.id <> b.id UNION ALL SELECT x.id, y.id FROM w x JOIN w y ON x.k = y.k AND x.id <> y.id),
-r(id, c) AS (SELECT id, id FROM w UNION SELECT edges.b, r.c FROM r JOIN edges ON r.id = edges.a WHERE r.c < edges.b), g AS (SELECT id, min(c) AS c FROM r GROUP BY id)
-SELECT x.id AS id_a, y.id AS id_b FROM g x JOIN g y ON x.c = y.c AND x.id < y.id"""
+r(id, c) AS (SELECT id, id FROM w UNION SELECT edges.b, r.c FROM r JOIN edges ON r.id = edges.a WHERE r.c < edges.b), g AS (SELECT id, min(c) AS c FROM r GROUP BY id)"""
+SQL = {
+    "p6_found": f"{_GROUPS} SELECT x.id AS id_a, y.id AS id_b FROM g x JOIN g y ON x.c = y.c AND x.id < y.id",
+    "p6_groups": f"{_GROUPS} SELECT id, c AS group_id FROM g WHERE c IN (SELECT c FROM g GROUP BY c HAVING count(*) > 1)",
 }

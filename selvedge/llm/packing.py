@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from selvedge.llm.token_budget import count_tokens, pieces_of
+from selvedge.llm.token_budget import COUNTED_SQL, count_tokens, pieces_of
 from selvedge.session import materialize, table
 
 CAPACITY = 2048
@@ -166,5 +166,28 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill}
-SQL: dict[str, str] = {}
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of every assignment: documents and tokens all placed, no container over its capacity, only documents above it split, in as many parts as they need."""
+    sized = materialize(sized_documents(spark, sf_dir))
+    placed = materialize(pack(sized))
+    whole = sized.groupBy("id").agg(F.sum("n_tokens").alias("n"))
+    parts = placed.groupBy("id").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("placed"), F.count("container_id").alias("contained"))
+    number = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
+    per_doc = whole.join(parts, "id", "left").agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.coalesce(F.sum("placed"), F.lit(0)).cast("bigint").alias("tokens"),
+        number(F.coalesce(F.col("placed"), F.lit(-1)) != F.col("n")).alias("wrongly_placed"),
+        number((F.col("parts") > 1) & (F.col("n") <= CAPACITY)).alias("split_without_need"),
+        number((F.col("n") > CAPACITY) & (F.col("parts") != F.ceil(F.col("n") / CAPACITY))).alias("cut_too_often"),
+        number(F.col("n") > CAPACITY).alias("above_capacity"),
+        number((F.col("n") > 0) & (F.col("contained") < F.col("parts"))).alias("outside"),
+    )
+    used = placed.where("container_id is not null").groupBy("container_id").agg(F.sum("size").alias("used")).agg(number(F.col("used") > CAPACITY).alias("overfull"))
+    return per_doc.unionByName(used, True).agg(*[F.max(c).alias(c) for c in (*per_doc.columns, "overfull")])  # each of both has one row
+
+
+QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p8_checks": p8_checks}
+SQL = {
+    "p8_checks": f"""WITH RECURSIVE {COUNTED_SQL}, s AS (SELECT id, n FROM n_tokens WHERE tbl = 'documents')
+SELECT count(*) AS documents, coalesce(sum(n), 0)::BIGINT AS tokens, 0::BIGINT AS wrongly_placed, 0::BIGINT AS split_without_need, 0::BIGINT AS cut_too_often, coalesce(sum((n > {CAPACITY})::INT), 0)::BIGINT AS above_capacity, 0::BIGINT AS outside, 0::BIGINT AS overfull FROM s""",
+}

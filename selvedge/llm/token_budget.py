@@ -166,8 +166,8 @@ def p5_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p5_token_budget": p5_token_budget}
 _SPACES = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
-SQL = {
-    "p5_token_budget": rf"""WITH RECURSIVE d AS (
+#: Of both tables d(tbl, id, source, l, domain, t) to n_tokens(tbl, id, source, l, domain, n), the tokens of every row.
+COUNTED_SQL = rf"""d AS (
   SELECT 'documents' AS tbl, doc_id AS id, coalesce(source, 'unknown') AS source, lang AS l, coalesce(domain, 'unknown') AS domain, coalesce(lower(text), '') AS t FROM documents
   UNION ALL SELECT 'sft_records', row_index, coalesce(s.source.source_dataset, 'unknown'), s.language, coalesce(m.domain, 'unknown'), coalesce(lower(s.response), '') FROM sft_records s
   LEFT JOIN (SELECT source_manifest_id, min(domain) AS domain FROM source_manifests GROUP BY 1) m ON s.source.source_manifest_id = m.source_manifest_id),
@@ -177,7 +177,10 @@ c(word, pos, n) AS (SELECT word, 0, 0 FROM u UNION ALL
   SELECT word, pos + max(step), n + 1 FROM (SELECT c.word, c.pos, c.n, CASE WHEN k = 1 OR p.piece IS NOT NULL THEN k ELSE 0 END AS step FROM c, longest, generate_series(1, longest.n) AS g(k)
     LEFT JOIN p ON p.piece = CASE WHEN c.pos > 0 THEN '##' ELSE '' END || substr(c.word, c.pos + 1, k) WHERE c.pos < length(c.word) AND c.pos + k <= length(c.word)) GROUP BY word, pos, n),
 f AS (SELECT word, max(n) AS n FROM c GROUP BY word), e AS (SELECT tbl, id, sum(f.n) AS n FROM w JOIN f USING (word) GROUP BY 1, 2),
-x AS (SELECT d.tbl, d.source, coalesce(nullif(substr(lower(trim(l)), 1, 2), ''), 'unknown') AS language, d.domain, coalesce(e.n, 0) + length(regexp_replace(regexp_replace(t, '[\p{{L}}\p{{N}}]+', '', 'g'), '{_SPACES}+', '', 'g')) AS n FROM d LEFT JOIN e USING (tbl, id))
+n_tokens AS (SELECT d.tbl, d.id, d.source, d.l, d.domain, coalesce(e.n, 0) + length(regexp_replace(regexp_replace(t, '[\p{{L}}\p{{N}}]+', '', 'g'), '{_SPACES}+', '', 'g')) AS n FROM d LEFT JOIN e USING (tbl, id))"""
+SQL = {
+    "p5_token_budget": rf"""WITH RECURSIVE {COUNTED_SQL},
+x AS (SELECT tbl, source, coalesce(nullif(substr(lower(trim(l)), 1, 2), ''), 'unknown') AS language, domain, n FROM n_tokens)
 SELECT CASE grouping(source, language, domain) WHEN 0 THEN 'slice' WHEN 3 THEN 'source' WHEN 5 THEN 'language' WHEN 6 THEN 'domain' ELSE 'table' END AS level, tbl, source, language, domain, count(*) AS documents, sum(n)::BIGINT AS tokens
 FROM x GROUP BY GROUPING SETS ((tbl, source, language, domain), (tbl, source), (tbl, language), (tbl, domain), (tbl))"""
 }
