@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -58,9 +59,12 @@ def payload_lines(spark, sf_dir):
     lines = readers.numbered_lines(spark, path)
     bad = readers.bad_json_lines(spark, path)
     good = readers.read_jsonl(spark, path, "record_id string, prompt_id string, _corrupt_record string", strict=False)
-    return lines.agg(F.count(F.lit(1)).alias("n_lines")).join(bad.agg(F.count(F.lit(1)).alias("bad"), F.countDistinct("file", "line").alias("places"))).join(
-        good.where("_corrupt_record is null").agg(F.count("record_id").alias("records"), F.count("prompt_id").alias("prompts"))
-    )  # three tables of one row
+    counts = [
+        lines.agg(F.count(F.lit(1)).alias("n_lines")),
+        bad.agg(F.count(F.lit(1)).alias("bad"), F.countDistinct("file", "line").alias("places")),
+        good.where("_corrupt_record is null").agg(F.count("record_id").alias("records"), F.count("prompt_id").alias("prompts")),
+    ]
+    return reduce(lambda x, y: x.unionByName(y, True), counts).agg(*[F.max(c).alias(c) for x in counts for c in x.columns])  # one row each
 
 
 def _choice_files(spark, sf_dir):
