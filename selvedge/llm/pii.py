@@ -11,7 +11,7 @@ data are scored as a pair. The weights are trained by exact log-likelihood
 What the model knows of the corpus is counted over all its texts: the ordinary
 words (found in more than COMMON of the texts, so at most words per text /
 COMMON of them) and given names (first words of names in unmistakable places
-with MIN_SURNAMES different surnames).
+with MIN_SURNAMES different surnames, of which there are at most 1 / NAME_SHARE).
 
 Finding is a scan without a shuffle. Defined results: null and empty texts hold
 nothing; texts are read whole; positions count characters of the original text;
@@ -41,6 +41,8 @@ KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 COMMON = 0.0005
 COMMON_LEAST = 10
 MIN_SURNAMES = 2
+#: A learned given name is in more than this share of the unmistakable places.
+NAME_SHARE = 0.00001
 #: A word in more than this share of the texts is no given name.
 NO_NAME = 0.005
 #: Passes over the training texts and step size of AdaGrad.
@@ -72,6 +74,7 @@ RUN = re.compile(r"(?<![\w@])(?:\+[^\S\n]?)?\(?\d(?:(?:[^\S\n]|[.\-/]|[^\S\n]?\(
 #: Digits of a number; runs of up to ONE_NUMBER digits, as many as a phone or social security number may have, hold one.
 LEAST_DIGITS, ONE_NUMBER, MOST_DIGITS = 5, 15, 20
 _DIGITS = re.compile(r"\d+")
+_DATE = re.compile(r"(?:(?:19|20)\d\d[-/.]\d\d[-/.]\d\d|\d\d[-/.]\d\d[-/.](?:19|20)\d\d)$")
 LETTERED = re.compile(r"(?<![\w@])[A-Z]{1,3}-?\d[\d/-]{3,}\d[A-Z]{0,2}(?!\w)", re.I)
 _TOWN = r"[^\W\d_][\w'’-]*(?:[^\S\n][^\W\d_][\w'’-]*)?"
 _TAIL = rf"(?:\s*,?\s*\d{{4,5}}[^\S\n]+{_TOWN}|[^\S\n]*[,\n]\s*{_TOWN}(?:[^\S\n]+(?:\d{{4,6}}|[A-Z]{{1,2}}\d\w?[^\S\n]?\d[A-Z]{{2}}))?)?"
@@ -177,14 +180,14 @@ def number_segments(text: str) -> Iterator[Segment]:
         groups = "-".join(str(len(g)) for g in re.findall(r"\d+", value))
         feats = _shared(text, start, end, before)
         feats += [f"n={digits}", f"g={groups}", f"first={value[0] if not value[0].isalpha() else 'A'}", f"letters={value[0].isalpha()}"]
-        feats += [f"seps={''.join(sorted(set(re.findall(r'[./()+-]', value))))}", f"date={bool(re.match(r'(?:19|20)\d\d[-/.]\d\d[-/.]\d\d$', value))}"]
-        known = False
+        feats += [f"seps={''.join(sorted(set(re.findall(r'[./()+-]', value))))}", f"date={bool(_DATE.match(value))}"]
+        known = []
         for name, label in LABELS.items():
             near = next((k for k, w in enumerate(before) if w.rstrip("°") in label), None)
             if near is not None:
                 feats += [f"label={name}", f"label={name}{near}"]
-                known = True
-        feats += [f"label={known}"] + [f"a1={w}" for w in after[:1]] + ([f"after={k}" for k, label in LABELS.items() if after and after[0] in label])
+                known.append(name)
+        feats += [f"label={bool(known)}", f"g,label={groups},{'+'.join(known)}"] + [f"a1={w}" for w in after[:1]] + ([f"after={k}" for k, label in LABELS.items() if after and after[0] in label])
         yield start, end, "PHONE", feats
         yield start, end, "ID_NUMBER", feats
 
@@ -441,7 +444,9 @@ def finder_for(texts: DataFrame) -> Finder:
     learned = materialize(texts.select("text").where("text is not null").mapInArrow(_learn, LEARNED).groupBy("name", "word", "hash").agg(F.sum("n").alias("n")))
     total = learned.where("not name and hash is null").agg(F.sum("n")).first()[0] or 0
     common = learned.where(F.expr("not name and hash is not null") & (F.col("n") > max(COMMON_LEAST, COMMON * total))).select("hash", "n").collect()
-    surnames = learned.where("name").groupBy("word").agg(F.countDistinct("hash").alias("surnames")).where(F.col("surnames") >= MIN_SURNAMES).collect()
+    places = learned.where("name").agg(F.sum("n")).first()[0] or 0
+    surnames = learned.where("name").groupBy("word").agg(F.countDistinct("hash").alias("surnames"), F.sum("n").alias("n"))
+    surnames = surnames.where((F.col("surnames") >= MIN_SURNAMES) & (F.col("n") > NAME_SHARE * places)).collect()
     hashes = frozenset(r[0] for r in common)
     ordinary = {r.hash for r in common if r.n > NO_NAME * total}
     learned_names = {r.word for r, h in zip(surnames, hash64(pa.array([r.word for r in surnames], pa.large_string())).tolist(), strict=True) if len(r.word) > 2 and h not in ordinary and r.word not in TITLES}

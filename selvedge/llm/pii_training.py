@@ -3,14 +3,15 @@
 No labelled corpus exists, so the model learns from texts assembled here:
 carrier sentences with a slot, contact blocks of several slots, and sentences
 with numbers and names that are no personal data. Everything is drawn from a
-seeded generator; TRAINING_TEXTS bounds the sample.
+seeded generator; TRAINING_TEXTS bounds the sample. The sentences are everyday
+ones written for this purpose; none is taken from a table the model is run on.
 """
 
 from __future__ import annotations
 
 import random
 
-TRAINING_TEXTS = 3000
+TRAINING_TEXTS = 6000
 SEED = 20260901
 
 #: Given names common in French and English; the corpus adds its own.
@@ -30,26 +31,41 @@ _STREETS_EN = ["Street", "St.", "Road", "Rd", "Avenue", "Lane", "Terrace", "Driv
 _STREETS_FR = ["rue", "avenue", "boulevard", "place", "quai", "impasse", "allée", "chemin"]
 
 CARRIERS = {
-    "NAME": ["My name is {}.", "I am {}, and I need help.", "The letter was signed by {}.", "I was seen by {} last week.", "I was seen by {} yesterday.", "I met {} today.", "Then {} came in.", "{} thinks otherwise.", "Since then {} has been away.", "J'ai été reçue par {} hier.", "According to {}, all is well.", "Kind regards, {}.", "Patient: {}.", "Je m'appelle {}.", "Selon {}, tout va bien.",
-             "Le courrier est signé {}.", "Cordialement, {}.", "Patient : {}.", "J'ai vu {} hier.", "Ask {} about it.", "{} called again this morning.", "J'ai été reçu par {} mardi."],
-    "PHONE": ["Call me on {}.", "Tel: {}.", "My mobile is {} if needed.", "Phone {} after six.", "Number left with the desk: {}.", "You can reach me at {}.", "Rappelez-moi au {}.", "Mon portable est le {}.", "Téléphone : {}.", "Numéro laissé au secrétariat : {}.",
-              "On peut me joindre au {} après 18 h.", "The patient can be reached at {}."],
-    "ID_NUMBER": ["My social security number is {}.", "Passport {} was shown.", "Insurance member {} on the card.", "File no. {} is attached.", "Patient ID: {}.", "MRN {} on the bracelet.", "Mon numéro de sécurité sociale est le {}.", "Mon NIR est le {}.",
-                  "Dossier patient n° {} au nom de la famille.", "Carte d'identité {} périmée.", "IPP {} noté.", "Passeport {} présenté.", "NHS number {}.", "Numéro d'assuré : {}.", "Patient no. {}."],
-    "ADDRESS": ["I live at {}.", "Deliver it to {} please.", "The patient stays at {}, second floor.", "J'habite au {}.", "L'infirmière passera au {} demain.", "Le patient réside {}.", "Envoyez tout au {}.", "Address: {}."],
-    "EMAIL": ["My e-mail is {}.", "Write to {} please.", "Contact: {}.", "Send it ({}) soon.", "Répondez-moi sur {} merci.", "Mon adresse électronique : {}.", "Envoyez le tout ({}) avant lundi."],
+    "NAME": [
+        "Hello, this is {} writing.", "I'm {} and I would like advice.", "The report carries the name of {}.", "{} looked after my mother.", "On Friday {} examined my knee.", "We spoke with {} at the desk.", "Afterwards {} phoned the ward.", "I am {}, and I need help.",
+        "{} thinks otherwise.", "Since then {} has been away.", "Notes taken by {}.", "As {} explained, rest is enough.", "With thanks, {}.", "Yours sincerely, {}.", "Warm regards, {}.", "Name of the patient: {}.", "Referred patient: {}.", "You may ask for {}.", "My neighbour {} had the same.",
+        "Her full name is {}.", "A form signed by {} came later.", "A man called {} rang.", "She was last seen by {} in May.", "According to {}, all is well.", "I met {} today.", "Then {} came in.", "{} called again this morning.", "Ask {} about it.", "I was seen by {} last week.",
+        "Bonjour, ici {}.", "Je suis {} et je voudrais un avis.", "Selon {}, tout va bien.", "C'est {} qui m'a examinée lundi.", "Compte rendu rédigé par {}.", "Nom du patient : {}.", "Patient adressé : {}.", "Bien à vous, {}.", "Très cordialement, {}.", "Ma voisine {} a eu pareil.",
+        "Demandez {} à l'accueil.", "{} est passée ce matin.", "D'après {}, le repos suffit.", "On m'appelle {}.", "Un certificat signé {} est joint.", "Elle fut reçue par {} en urgence.", "Une dame nommée {} attend.", "J'ai vu {} hier.", "J'ai été reçu par {} mardi.",
+    ],
+    "PHONE": [
+        "Ring {} in the evening.", "Telephone {} for an appointment.", "Our landline is {}.", "Fax {} for the forms.", "You'll get me on {} most days.", "Dial {} and ask for the ward.", "Cell {} or leave a note.", "My new number is {}, please note it.", "Emergency contact number {}.", "Call me on {}.",
+        "Phone {} once the shop shuts.", "You can reach me at {}.", "My sister's mobile is {} for now.", "Tel. {} before noon.", "She may be reached on {} at work.", "The patient answers on {}.", "Our record lists {} for calls.", "The patient asks for a call on {}.", "Patients may call {} until six.", "Appelez le {} après le déjeuner.", "Joignez-moi au {} en journée.", "Téléphone fixe : {}.", "Tél. {} le matin.", "Le numéro de ma fille est le {}.",
+        "Téléphonez au {} pour un rendez-vous.", "Ligne directe {} au bureau.", "Mobile {} de préférence.", "Téléphone : {}.", "On peut me joindre au {} après 18 h.", "Merci de rappeler le {} ce soir.", "Le patient répond au {} le soir.", "Joindre la patiente au {} avant 17 h.", "Le dossier indique le {} pour tout appel.", "Le portable de mon fils est le {}.",
+    ],
+    "ID_NUMBER": [
+        "SSN {} is on the form.", "Her social security no. is {}.", "Her passport no. {} expired.", "Passport {} was shown.", "The insurance policy number is {}.", "Insurance card {} was copied.", "Member number {} was checked.", "My file bears the number {}.", "Hospital record {} belongs to me.", "File no. {} is attached.", "MRN {} on the bracelet.",
+        "NHS number {}.", "Chart number {} was opened.", "ID card {} was copied.", "Patient identifier {} was assigned.", "Patient number {} please.", "Mon numéro de sécurité sociale est le {}.", "IPP {} noté.", "Passeport {} présenté.", "Numéro d'assuré : {}.", "Le dossier porte le numéro {}.", "Dossier n° {} à transmettre.",
+        "Pièce d'identité {} vérifiée.", "Assurée sous le numéro {} depuis mai.", "NIR {} à reporter.", "Mutuelle, adhérent {}.",
+    ],
+    "ADDRESS": [
+        "We moved to {} in June.", "Post it to {}.", "My flat is at {}.", "Home address {} since spring.", "She lives at {} with her son.", "The parcel goes to {}, thank you.", "Deliver it to {} please.", "Our house is {}, ground floor.", "Nous logeons au {} depuis mai.", "Elle demeure {} chez sa fille.", "Adresse du domicile, {}.", "Livrez le lit au {}.", "Mon appartement est au {}.",
+        "Adressez le courrier au {}, merci.", "Envoyez tout au {}.", "Le kiné viendra au {} jeudi.",
+    ],
+    "EMAIL": ["Reach my inbox {} any time.", "Mail me at {}.", "Write to {} please.", "Send it ({}) soon.", "E-mail address {} on the form.", "Copie à {} s'il vous plaît.", "Mes messages arrivent sur {}.", "Répondez-moi sur {} merci.", "Envoyez le tout ({}) avant lundi."],
 }
-BLOCKS = [("({})", " ; "), ("({})", " / "), ("({})", ", "), ("({})", " - "), ("On file: {}.", " ; "), ("Patient details: {}.", " - "), ("Coordonnées : {}.", " / "), ("Au dossier : {}.", ", "), ("For the record, {}.", " / "), ("Pour mémoire, {}.", ", ")]
+BLOCKS = [("({})", " ; "), ("({})", " / "), ("({})", ", "), ("({})", " - "), ("Details for you: {}.", " ; "), ("Her card says {}.", " - "), ("Voici mes informations : {}.", " / "), ("Fiche du jour : {}.", ", "), ("Registered as {}.", " / "), ("En bref, {}.", ", "), ("The record shows {}.", " ; "), ("Patient contact, {}.", " / "), ("Our file holds {}.", ", "), ("Dossier complété : {}.", " - "), ("Patient joint : {}.", " ; "), ("Dossier complet, {}.", ", "), ("Carte du patient, {}.", " / "), ("Patient record, {}.", " - "), ("For the file, {}.", " ; ")]
 #: Sentences with look-alikes of personal data; {d} digits, {S} an invented surname, {T} an invented town, {G} a given name.
 DECOYS = [
-    "Lot {d9} was withdrawn in {y}.", "Le lot {d10} a été retiré en {y}.", "Article {d2}.{d3}.{d4} describes the device.", "L'article {d2}.{d3}.{d4} décrit l'appareil.", "Reference interval {d3}-{d3}, result {d3}.{d2}.", "Valeurs usuelles {d3}-{d3}, résultat {d3},{d2}.",
-    "Blood pressure read {d3}/{d2} on {y}-04-13.", "The {S} score reached {d1}.", "Le score de {S} atteint {d1}.", "{T} General Hospital closed {d3} beds.", "The clinic lies along {S} Road.", "Le centre se trouve rue {S}.", "Follow @{t}health for news.", "Suivez @{t}sante.",
+    "Batch {d9} left the shelves in {y}.", "Lot {d9} expired in {y}.", "Le lot numéro {d10} n'est plus vendu depuis {y}.", "Lot {d10} rappelé en {y}.", "See article {d2}.{d3}.{d4} of the catalogue.", "Article {d2}.{d3}.{d4} is new.", "Voir l'article {d2}.{d3}.{d4} du catalogue.", "Normal range {d3}-{d3}, measured {d3}.{d2}.", "Range {d3}-{d3}, reading {d3}.", "Intervalle {d3}-{d3}, mesure {d3},{d2}.",
+    "Bornes {d3}-{d3}, relevé {d3}.", "Pressure was {d3}/{d2} on {y}-06-21.", "Her {S} score came to {d1}.", "Score de {S} à {d1} ce jour.", "{T} Memorial Hospital opened {d3} rooms.", "L'hôpital de {T} a {d3} lits.", "A pharmacy stands on {S} Road.", "La pharmacie de la rue {S} ouvre tôt.", "Read @{t}clinic on that.", "Voyez @{t}info pour la suite.",
     "The {S} sign was negative.", "La maladie de {S} est rare.", "{S} disease is rare.", "A dose of {d3} mg, then {d2} mg at 18:30.", "In {T} the clinic offers a scan.", "À {T}, le centre propose un bilan.", "He slept {d2} hours in {d1} nights.", "Order {d8} has shipped.", "Référence produit {d10}.",
-    "Batch number {d9} is fine.", "La norme {d5}-{d2} s'applique.", "Le syndrome de {S} est exclu.", "ISBN {d3}-{d1}-{d4}-{d4}-{d1}.", "The temperature was {d2}.{d1} at {d2}:{d2}.", "Walking {d2} minutes helps, see page {d3}.", "Rue {S}, la pharmacie est fermée.", "{T} lies {d2} km away.",
+    "Batch number {d9} is fine.", "La norme {d5}-{d2} s'applique.", "Le syndrome de {S} est exclu.", "ISBN {d3}-{d1}-{d4}-{d4}-{d1}.", "It showed {d2}.{d1} degrees at {d2}:{d2}.", "Walking {d2} minutes helps, see page {d3}.", "Rue {S}, la pharmacie est fermée.", "{T} lies {d2} km away.",
     "A nurse may teach you how to do it.", "The nurse will visit tomorrow.", "Ask your doctor or pharmacist.", "The doctor would know.", "A doctor saw me at noon.", "Our professor spoke in {T}.", "Le docteur est absent.", "Mon docteur pense que oui.", "Madame, merci de patienter.", "Un monsieur attend dehors.",
-    "Nurse visits are free.", "Miss one dose and wait.", "I am a {d2}-year-old nurse from {T}.", "The clinic told me in {T} that it is called rest.", "Both carers around me seem fine.", "The page at clinic.example.com lists it.", "Mail.example.com was down.", "See clinic.example.org at noon.",
-    "A nurse {t} you how.", "The nurse {t} twice.", "My doctor {t} it.", "Mon docteur {t} cela.", "The professor {t} slowly.", "{G} {t} it again.",
+    "Nurse visits are free.", "Miss one dose and wait.", "A {d2}-year-old nurse from {T} wrote this.", "The clinic told me in {T} that it is called rest.", "Both carers around me seem fine.", "The page at clinic.example.com lists it.", "Mail.example.com was down.", "See clinic.example.org at noon.",
+    "A nurse {t} you how.", "The nurse {t} again, then left.", "My doctor {t} it.", "Mon docteur {t} cela.", "The professor {t} slowly.", "{G} {t} it again.",
     "The {G} scale was used.", "Published {y}-{d2}-{d2}, volume {d3}, pages {d3}-{d3}.", "Serial {d4}-{d4}-{d4}.",
+    "Le contrôle du {d2}/{d2}/{y} est normal.", "The visit of {d2}-{d2}-{y} went well.", "Pression relevée {d3}/{d2}, contrôle {d2}/{d2}/{y}.",
 ]
 
 
@@ -106,7 +122,7 @@ class Maker:
 
     def email(self) -> str:
         r = self.r
-        local = r.choice([f"{self.word(1, 2)}.{self.word(1, 2)}", f"{self.word()}_{r.randint(1, 99)}", f"contact.{self.word()}+rdv", f"{self.word()}{r.randint(1, 999)}", f"{self.word(1, 1)}-{self.word()}"])
+        local = r.choice([f"{self.word(1, 2)}.{self.word(1, 2)}", f"{self.word()}_{r.randint(1, 99)}", f"contact.{self.word()}+rdv", f"{self.word()}{r.randint(1, 999)}", f"{self.word(1, 1)}-{self.word()}", f"{self.word(1, 1)[0]}{self.word()}"])
         at, dot = r.choice([("@", "."), ("@", "."), (" @ ", "."), (" [at] ", " [dot] "), (" at ", " dot "), (" arobase ", " point "), ("(at)", ".")])
         return f"{local}{at}{r.choice(['mail', 'post', 'clinic-' + self.word(1, 2), self.word()])}{dot}example{dot}{r.choice(['com', 'org', 'net'])}"
 

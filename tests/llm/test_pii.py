@@ -93,3 +93,31 @@ def test_tables(spark):
     assert len(out[4][0]) == len(long) - len("(212) 555-0199") + len("<PHONE>")
     empty = spark.createDataFrame([], SCHEMA)
     assert find_personal_data(empty, finder_for(empty)).count() == 0
+
+
+def test_training_sentences_are_not_those_of_the_tables(sf):
+    import glob
+    import re
+
+    import duckdb
+
+    from selvedge.llm.pii_training import BLOCKS, CARRIERS, DECOYS
+
+    con = duckdb.connect()
+    parts = [f"select {c} as t from read_parquet('{f}')" for name, cs in (("sft_records", ("instruction", "response")), ("preference_triples", ("prompt",)), ("documents", ("text",))) for f in glob.glob(f"{sf}/{name}.parquet") for c in cs]
+    text = re.sub(r"\s+", " ", "\n".join(r[0] or "" for r in con.execute(" union all ".join(parts)).fetchall()).lower())
+    made = [t for ts in CARRIERS.values() for t in ts] + [b for b, _ in BLOCKS] + DECOYS
+    found = [t for t in made if (ls := [x.strip().lower() for x in re.split(r"\{\w*\}", t) if len(x.strip()) > 6]) and all(x in text for x in ls)]
+    assert found == []
+
+
+def test_time_grows_in_proportion_to_a_text_of_numbers(finder):
+    import time
+
+    def took(n):
+        began = time.time()
+        finder("12 345 678 " * n)
+        return time.time() - began
+
+    took(500)
+    assert took(6000) < 5 * took(2000) + 1
