@@ -24,3 +24,15 @@ def test_rolling_hash_stays_within_rows():
 
 def test_distinct_values_in_order():
     assert distinct_sorted(np.array([3, 1, 3, 2, 1])).tolist() == [1, 2, 3] and distinct_sorted(np.zeros(0, np.int64)).tolist() == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.characters(exclude_categories=("Cs", "Cn", "Co")), max_size=20)), max_size=6), st.integers(0, 3))
+def test_words_are_runs_of_letters_and_digits(texts, skip):
+    import pyarrow.compute as pc
+    import regex
+
+    array = flat(pa.array(texts, pa.string())).slice(min(skip, len(texts)))
+    values, off = words(array)
+    got = [values.to_pylist()[a:b] for a, b in zip(off, off[1:], strict=False)]
+    assert got == [regex.findall(r"[\p{L}\p{N}]+", t) for t in pc.utf8_lower(array).to_pylist()]
