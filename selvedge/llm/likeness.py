@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from selvedge.llm.tokens import coded, distinct_sorted, flat, hash64, rows_of, words
 from selvedge.operators.components import connected_components
-from selvedge.session import materialize
+from selvedge.session import discard, materialize
 
 LIKE_NUM, LIKE_DEN = 65, 100
 #: Words in more than this share of the texts are ordered by their count, behind all others.
@@ -56,6 +56,8 @@ BANDS, BAND_WORDS, CROWD = 8, 3, 32
 LIST_TEXTS, MOST_BLOCKS = 100_000, 64
 #: Distinct words that a task counts before it hands the counts on.
 COUNTED_WORDS = 1_000_000
+#: So many rows of one or two numbers are broadcast, 16 MB at most.
+BROADCAST_ROWS = 1_000_000
 #: Bits of the filter of wanted ids that verification broadcasts, 8 MB at most.
 FILTER_BITS = 1 << 26
 #: Rows and columns of a tile of a posting list; rows with up to FEW partners are expanded to pairs instead.
@@ -64,7 +66,7 @@ TILE_ROWS, TILE_COLUMNS, FEW = 64, 2048, 64
 FLUSH = 1 << 18
 
 MAPS = ["b0", "b1", "b2", "b3"]
-SETS = "id bigint, side int, hash_a bigint, hash_b bigint, n int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, grams array<bigint>, pos array<int>, bands array<bigint>"
+SETS = "id bigint, side int, hash_a bigint, hash_b bigint, n int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, posts array<struct<gram: bigint, pos: int>>, bands array<bigint>"
 _MIX = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
@@ -105,6 +107,7 @@ def frequent_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     counts = materialize(counts)
     n = (counts.where("total").agg(F.sum("n")).first()[0]) or 0
     found = sorted(counts.where(~F.col("total") & (F.col("n") > max(RARE * n, RARE_LEAST))).select("word", "n").collect())  # at most words per text / RARE
+    discard(counts)
     return np.array([r.word for r in found], np.int64), np.array([r.n for r in found], np.int64)
 
 
@@ -114,10 +117,10 @@ def _mixed(u: np.ndarray, k: int) -> np.ndarray:
         return (v ^ (v >> np.uint64(29))) * _MIX[(k + 1) % 3]
 
 
-def _lists(values: np.ndarray, rows: np.ndarray, count: int) -> pa.Array:
+def _lists(values: np.ndarray | pa.Array, rows: np.ndarray, count: int) -> pa.Array:
     """One list per row of values that are in row order."""
     off = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=count))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(off), pa.array(values))
+    return pa.ListArray.from_arrays(pa.array(off), values if isinstance(values, pa.Array) else pa.array(values))
 
 
 def _cells(ids: np.ndarray, gram: np.ndarray, row: np.ndarray, pos: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,9 +188,9 @@ def _signatures(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, texts_w
         yield pa.RecordBatch.from_arrays(
             [
                 b.column(0), b.column(1), pa.array(hash_a), pa.array(hash_b), pa.array(n.astype(np.int32)), *map(pa.array, maps),
-                _lists(gram, gram_row, count), _lists(pos.astype(np.int32), gram_row, count), _lists(leaders, np.repeat(np.arange(count), BANDS), count),
+                _lists(pa.StructArray.from_arrays([pa.array(gram), pa.array(pos.astype(np.int32))], names=["gram", "pos"]), gram_row, count), _lists(leaders, np.repeat(np.arange(count), BANDS), count),
             ],
-            names=["id", "side", "hash_a", "hash_b", "n", *MAPS, "grams", "pos", "bands"],
+            names=["id", "side", "hash_a", "hash_b", "n", *MAPS, "posts", "bands"],
         )
 
 
@@ -230,6 +233,11 @@ class WordSets:
     sets: DataFrame
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast where they are counted as few, so that the wide table they are joined with stays where it is."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def word_sets(texts: DataFrame) -> WordSets:
     """texts (id, side, text) with equal word sets collapsed; the smallest id names a set."""
     frequent, texts_with = frequent_words(texts)
@@ -237,9 +245,11 @@ def word_sets(texts: DataFrame) -> WordSets:
     key = ["hash_a", "hash_b", "n"]
     sets = rows.groupBy(*key).agg(F.min("id").alias("set_id"), F.bit_or("side").alias("sides"))
     members = materialize(rows.select("id", "side", *key).join(sets, key).select("id", "side", "set_id", "sides"))
-    firsts = members.where("id = set_id").select("id", "sides")
-    meta = (F.col("n").cast("bigint") * 4 + F.col("sides")) * (1 << 24)
-    return WordSets(texts, members, rows.join(firsts, "id").select(F.col("id").alias("set"), *MAPS, meta.alias("meta"), "grams", "pos", "bands"))
+    again = _small(members.where("id <> set_id").select("id"))
+    mixed = _small(members.where("id = set_id and sides <> side").select("id", "sides"))
+    firsts = rows.join(again, "id", "left_anti").join(mixed, "id", "left")
+    meta = (F.col("n").cast("bigint") * 4 + F.coalesce("sides", "side")) * (1 << 24)
+    return WordSets(texts, members, firsts.select(F.col("id").alias("set"), *MAPS, meta.alias("meta"), "posts", "bands"))
 
 
 def may_be_alike() -> str:
@@ -380,13 +390,13 @@ def _prefix_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def candidate_pairs(sets: DataFrame, label: str = "set") -> DataFrame:
     """(a, b), a < b, of all sets that share a word of their exact prefixes and pass the filters, unless they have one label; pairs may repeat."""
-    posted = sets.select("set", F.expr(label).alias("label"), *MAPS, "meta", F.explode(F.arrays_zip("grams", "pos")).alias("g"))
-    posted = posted.select(F.col("g.grams").alias("gram"), "set", "label", (F.col("meta") + F.col("g.pos")).alias("meta"), *MAPS)
+    posted = sets.select("set", F.expr(label).alias("label"), *MAPS, "meta", F.explode("posts").alias("g"))
+    posted = posted.select("g.gram", "set", "label", (F.col("meta") + F.col("g.pos")).alias("meta"), *MAPS)
     return posted.repartition("gram").sortWithinPartitions("gram").mapInArrow(_prefix_pairs, "a bigint, b bigint")
 
 
 def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are alike; each is verified once on its full word sets.
+    """The pairs (a, b) whose texts are alike, as a table; each is verified once on its full word sets.
 
     Only texts whose id passes a filter of bounded size are tokenised and shuffled.
     """
@@ -397,7 +407,10 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     right = sets_of.select(F.col("id").alias("b"), F.col("words").alias("wb"))
     shared = F.size(F.array_intersect("wa", "wb"))
     either = F.size("wa") + F.size("wb") - shared
-    return pairs.join(left, "a").join(right, "b").where(shared * LIKE_DEN >= either * LIKE_NUM).select("a", "b")
+    found = materialize(pairs.join(left, "a").join(right, "b").where(shared * LIKE_DEN >= either * LIKE_NUM).select("a", "b"))
+    discard(pairs)
+    discard(sets_of)
+    return found
 
 
 def likeness_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -435,10 +448,10 @@ def likeness_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     stars = materialize(leader_pairs(found.sets))
     sets, label = found.sets, "set"
     if stars.take(1):
-        stars = materialize(verified(texts, stars))
+        stars = verified(texts, stars)
         known = materialize(connected_components(stars).select(F.col("node").alias("set"), "component"))
         sets, label = sets.join(known, "set", "left"), "coalesce(component, set)"
-    links = materialize(verified(texts, candidate_pairs(sets, label)))
+    links = verified(texts, candidate_pairs(sets, label))
     classes = connected_components(stars.unionAll(links))
     return found.members, classes.select(F.col("node").alias("set_id"), F.col("component").alias("class_id"))
 

@@ -127,3 +127,43 @@ def test_pairs_of_unlike_lengths_and_orders(spark):
     rows += [(10 + k, "train", " ".join([*r.sample(common, 6), *r.sample(base, 20), *(f"f{k}x{j}" for j in range(30))])) for k in range(100)]
     got = {(x.train_id, x.held_out_id) for x in cross_split_pairs(spark.createDataFrame(rows, "id bigint, split string, text string")).collect()}
     assert got == {(1, 2), (3, 4)}
+
+
+@pytest.mark.parametrize("list_texts, sides", [(100_000, 3), (15, 3), (15, None)])
+def test_candidates_hold_every_alike_pair_also_when_lists_are_cut(monkeypatch, list_texts, sides):
+    import numpy as np
+    import pyarrow as pa
+
+    from selvedge.llm import likeness as L
+
+    monkeypatch.setattr(L, "LIST_TEXTS", list_texts)
+    r = random.Random(list_texts)
+    few = [f"q{k}" for k in range(60)]
+    texts = []
+    for _ in range(60):
+        words = r.sample(few, r.randint(4, 40))
+        texts.append(words)
+        for _ in range(3):
+            other = list(words)
+            for _ in range(r.randint(0, 1 + len(words) // 5)):
+                r.choice([lambda o=other: o.pop(r.randrange(len(o))) if len(o) > 2 else None, lambda o=other: o.append(r.choice(few))])()
+            r.shuffle(other)
+            texts.append(other)
+    texts = [" ".join(t) for t in texts]
+    side = [sides or r.choice([1, 2, 3]) for _ in texts]
+    column = pa.array(texts, pa.large_string())
+    counts = {}
+    for out in L._document_frequency(iter([pa.RecordBatch.from_arrays([column], names=["text"])])):
+        counts |= {w: n for w, t, n in zip(*(c.to_pylist() for c in out.columns), strict=True) if not t and n > 20}
+    hashes = sorted(counts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(side, pa.int32()), column], names=["id", "side", "text"])
+    rows = [x for out in L._signatures(iter([batch]), np.array(hashes, np.int64), np.array([counts[h] for h in hashes], np.int64)) for x in out.to_pylist()]
+    posted = sorted((p["gram"], x["id"], x["id"], (x["n"] * 4 + x["side"]) * (1 << 24) + p["pos"], *(x[m] for m in L.MAPS)) for x in rows for p in x["posts"])
+    columns = [pa.array(c, pa.int64()) for c in zip(*posted, strict=True)]
+    half = len(posted) // 2
+    table = pa.RecordBatch.from_arrays(columns, names=["gram", "set", "label", "meta", *L.MAPS])
+    found = {(a, b) for out in L._prefix_pairs(iter([table.slice(0, half), table.slice(half)])) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)}
+    sets = [bag(t) for t in texts]
+    may = lambda a, b: bool(side[a] & 1 and side[b] & 2 or side[a] & 2 and side[b] & 1)
+    want = {(a, b) for b in range(len(texts)) for a in range(b) if like(sets[a], sets[b]) and may(a, b)}
+    assert len(want) > 50 and want <= found
