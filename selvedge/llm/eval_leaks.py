@@ -210,7 +210,7 @@ class Windows:
         before = np.minimum.accumulate(total - gain)
         out = np.zeros(len(size), np.int64)
         if len(of):
-            out = np.maximum.reduceat(total - before, np.cumsum(size) - size)
+            out = np.maximum(np.maximum.reduceat(total - before, np.cumsum(size) - size), 0)
         return out
 
     def align(self) -> np.ndarray:

@@ -95,3 +95,45 @@ def test_shapes_hold_every_character(spark):
     shapes = page_shapes(df).collect()
     assert sum(r.chars for r in shapes) == 2 * sum(len(x.strip()) for x in SPAM["mixed"].split("\n"))
     assert spam_pages(df.limit(0)).count() == 0
+
+
+def plain_alignment(item, text):
+    """Smith-Waterman cell by cell: (score, longest common run)."""
+    best = longest = 0
+    score = [[0] * (len(text) + 1) for _ in range(len(item) + 1)]
+    run = [[0] * (len(text) + 1) for _ in range(len(item) + 1)]
+    for i, a in enumerate(item, 1):
+        for j, b in enumerate(text, 1):
+            run[i][j] = run[i - 1][j - 1] + 1 if a == b else 0
+            score[i][j] = max(0, score[i - 1][j - 1] + (2 if a == b else -1), score[i - 1][j] - 1, score[i][j - 1] - 1)
+            best, longest = max(best, score[i][j]), max(longest, run[i][j])
+    return best, longest
+
+
+def test_stacked_alignments_and_their_bound_against_single_cells():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from selvedge.llm.eval_leaks import ItemIndex, Windows
+
+    r = random.Random(3)
+    items = [(k, " ".join(r.choices("abcdefghijkl", k=r.randint(1, 30)))) for k in range(12)]
+    texts = [" ".join(r.choices("abcdefghijklmnopqrs", k=r.randint(1, 60))) for _ in range(20)]
+    index = ItemIndex(items)
+    words, off = word_hashes(pa.array(texts, pa.large_string()))
+    row, item = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(len(items)), indexing="ij"))
+    windows = Windows(index, index.coded(words), row, item, off[row], off[row + 1])
+    scores, bounds = windows.align(), windows.bounds()
+    for n, (t, k) in enumerate(zip(row, item, strict=True)):
+        assert (scores[n, 0], scores[n, 2]) == plain_alignment(items[k][1].split(), texts[t].split())
+        assert scores[n, 0] <= bounds[n]
+
+
+def test_keywords_after_the_last_sentence_of_a_line(spark):
+    prose = "The ointment is spread thinly every evening over the elbow. "
+    spam = "cheap quinmipril online buy quinmipril price cheap quinmipril coupon quinmipril sale cheap quinmipril shipping buy quinmipril deal cheap quinmipril review"
+    again = "Cheap pills. Pills price. Cheap pills online. Pills sale. Buy cheap pills. Pills coupon. Cheap price pills. Buy pills sale."
+    rows = [(1, prose + spam), (2, prose * 4 + "and the rest of this line is cut off in the middle of what it was going to say about"), (3, again), (4, prose * 10 + spam[:60])]
+    assert {r.doc_id for r in spam_pages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == {1, 3}
