@@ -3,8 +3,8 @@
 Method: word n-grams of the items are counted over all documents; the rarest
 n-gram of every RUN-word window of an item becomes a seed, so no run of RUN
 words can miss one. Edited copies may break any of these, so for them every
-n-gram that a document holds is a seed; a copy without SEED_WORDS intact words
-in a row is not found. Documents are probed with the seeds, and around each seed a
+shorter n-gram (EDITED_SEED_WORDS) that a document holds is a seed; a copy
+without so many intact words in a row is not found. Documents are probed with the seeds, and around each seed a
 Smith-Waterman alignment of the item against the document's words gives the
 score of a copied, edited or paraphrased passage and its longest verbatim run.
 
@@ -39,13 +39,16 @@ from selvedge.llm.tokens import coded, distinct_sorted, flat, hash64, rolling_ha
 from selvedge.session import table
 
 RUN = 13
-SEED_WORDS = 5
+#: Words of a seed for verbatim runs, and for edited copies.
+SEED_WORDS, EDITED_SEED_WORDS = 5, 4
 BLOCK_CHARS = 8_000_000
 MATCH, MISMATCH, GAP = 2, -1, 1
 #: A passage counts as an edited copy from this alignment score on: RUN words matched, less a few edits.
 EDITED_SCORE = 20
 #: Cells of the dynamic-programming rows that are worked on at once.
 STACK = 1 << 15
+#: Words of windows whose bounds are worked out at once.
+PART = 1 << 19
 
 ALIGNED = "doc_id bigint, item_id bigint, score int, matched int, longest_run int"
 
@@ -85,11 +88,12 @@ def item_blocks(items: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]
 class ItemIndex:
     """Word hashes and n-grams of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], seed_words: int = SEED_WORDS):
+        self.seed_words = seed_words
         self.ids = np.array([i for i, _ in items], dtype=np.int64)
         self.words, self.off = word_hashes(flat(pa.array([t for _, t in items], pa.string())))
         rows = rows_of(self.off)
-        self.gram, self.gram_item = rolling_hash(self.words, rows, SEED_WORDS)
+        self.gram, self.gram_item = rolling_hash(self.words, rows, seed_words)
         self.distinct = distinct_sorted(self.gram)
         self.vocabulary = distinct_sorted(self.words)
         self.codes = np.searchsorted(self.vocabulary, self.words)
@@ -113,7 +117,7 @@ class ItemIndex:
         out: set[tuple[int, int]] = set()
         df = np.array([counts.get(int(g), 0) for g in self.gram], dtype=np.int64)
         first = np.searchsorted(self.gram_item, np.arange(len(self.ids) + 1))
-        width = RUN - SEED_WORDS + 1
+        width = RUN - self.seed_words + 1
         for k in range(len(self.ids)):
             grams, n = self.gram[first[k] : first[k + 1]], df[first[k] : first[k + 1]]
             if edited:
@@ -127,18 +131,18 @@ class ItemIndex:
         return seeds[:, 0], seeds[:, 1]
 
 
-def _gram_counts(batches: Iterator[pa.RecordBatch], grams: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _gram_counts(batches: Iterator[pa.RecordBatch], grams: np.ndarray, seed_words: int = SEED_WORDS) -> Iterator[pa.RecordBatch]:
     total = np.zeros(len(grams), np.int64)
     for b in batches:
-        h, _ = _document_grams(b.column(0))
+        h, _ = _document_grams(b.column(0), seed_words)
         total += np.bincount(_locate(grams, h)[1], minlength=len(grams)).astype(np.int64)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(grams[at]), pa.array(total[at])], names=["gram", "n"])
 
 
-def _document_grams(column) -> tuple[np.ndarray, np.ndarray]:
+def _document_grams(column, seed_words: int = SEED_WORDS) -> tuple[np.ndarray, np.ndarray]:
     words, off = word_hashes(flat(column))
-    return rolling_hash(words, rows_of(off), SEED_WORDS)
+    return rolling_hash(words, rows_of(off), seed_words)
 
 
 def _slots(values: np.ndarray) -> np.ndarray:
@@ -160,14 +164,16 @@ def _locate(sorted_keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np
 
 def align_stack(item: np.ndarray, text: np.ndarray) -> np.ndarray:
     """(Smith-Waterman score, item words that are in the text, longest verbatim run) of each row of coded items and texts, filled up with -2 and -1."""
-    step = (GAP * np.arange(1, text.shape[1] + 1)).astype(np.int32)
-    above = np.zeros((len(text), text.shape[1] + 1), np.int32)
+    # scores and steps stay below these sizes, so short sequences need but half the bytes
+    kind = np.int16 if GAP * text.shape[1] + MATCH * item.shape[1] < 32_000 else np.int32
+    step = (GAP * np.arange(1, text.shape[1] + 1)).astype(kind)
+    above = np.zeros((len(text), text.shape[1] + 1), kind)
     run = np.zeros_like(above)
     out = np.zeros((len(text), 3), np.int64)
     for w in item.T:
         same = text == w[:, None]
-        run[:, 1:] = np.where(same, run[:, :-1] + 1, 0)
-        row = np.maximum(above[:, :-1] + np.where(same, np.int32(MATCH), np.int32(MISMATCH)), above[:, 1:] - np.int32(GAP))
+        run[:, 1:] = (run[:, :-1] + kind(1)) * same
+        row = np.maximum(above[:, :-1] + np.where(same, kind(MATCH), kind(MISMATCH)), above[:, 1:] - kind(GAP))
         np.maximum(row, 0, out=row)
         row += step
         np.maximum.accumulate(row, axis=1, out=row)
@@ -196,14 +202,19 @@ class Windows:
         return Windows(self.index, self.words, self.row[keep], self.item[keep], self.lo[keep], self.hi[keep])
 
     def bounds(self) -> np.ndarray:
-        """No alignment of a window with its item scores more than this."""
-        size = self.hi - self.lo
+        """No alignment of a window with its item scores more than this; windows are looked at in parts of about PART words."""
+        place = (np.cumsum(self.hi - self.lo) - 1) // PART
+        cuts = np.flatnonzero(np.diff(place)) + 1
+        parts = np.split(np.arange(len(place)), cuts) if len(place) else []
+        return np.concatenate([np.zeros(0, np.int64), *(self._bounds(self.item[k], self.lo[k], self.hi[k] - self.lo[k]) for k in parts)])
+
+    def _bounds(self, item: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
         of = np.repeat(np.arange(len(size)), size)
-        at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.lo, size)
+        at = np.arange(len(of)) + np.repeat(lo - np.cumsum(size) + size, size)
         code = self.words[at]
         gain = np.full(len(of), -min(GAP, -MISMATCH), np.int64)
         known = np.flatnonzero(code >= 0)
-        hit, _ = _locate(self.index.held, self.item[of[known]] * len(self.index.vocabulary) + code[known])
+        hit, _ = _locate(self.index.held, item[of[known]] * len(self.index.vocabulary) + code[known])
         gain[known[hit]] = MATCH
         # every window's sums lie below those of the window before, so one running minimum serves all
         total = np.cumsum(gain) - of * (int(size.max(initial=0)) + 1) * 2 * MATCH
@@ -240,9 +251,9 @@ class Windows:
 def seed_windows(index: ItemIndex, words: np.ndarray, off: np.ndarray, seed: np.ndarray, owner: np.ndarray) -> Windows:
     """Around each seed of an item in a document as many words as the item has to both sides; windows that touch are one."""
     rows = rows_of(off)
-    m = max(0, len(words) - SEED_WORDS + 1)
-    start = np.flatnonzero(rows[:m] == rows[SEED_WORDS - 1 :]) if m else np.zeros(0, np.int64)
-    grams, _ = rolling_hash(words, rows, SEED_WORDS)
+    m = max(0, len(words) - index.seed_words + 1)
+    start = np.flatnonzero(rows[:m] == rows[index.seed_words - 1 :]) if m else np.zeros(0, np.int64)
+    grams, _ = rolling_hash(words, rows, index.seed_words)
     hit, place = _locate(seed, grams)
     owners = np.searchsorted(seed, grams[hit], side="right") - place
     at = np.repeat(start[hit], owners)
@@ -251,11 +262,11 @@ def seed_windows(index: ItemIndex, words: np.ndarray, off: np.ndarray, seed: np.
     at, item = at[order], item[order]
     row, length = rows[at], index.off[item + 1] - index.off[item]
     new = np.ones(len(at), bool)
-    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (at[1:] - length[1:] > at[:-1] + SEED_WORDS + length[1:])
+    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (at[1:] - length[1:] > at[:-1] + index.seed_words + length[1:])
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(at))[: len(begin)] - 1
     lo = np.maximum(at[begin] - length[begin], off[row[begin]])
-    hi = np.minimum(at[end] + SEED_WORDS + length[end], off[row[begin] + 1])
+    hi = np.minimum(at[end] + index.seed_words + length[end], off[row[begin] + 1])
     return Windows(index, index.coded(words), row[begin], item[begin], lo, hi)
 
 
@@ -282,8 +293,8 @@ def leak_alignments(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     least = EDITED_SCORE if edited else RUN * MATCH
     parts = []
     for block in item_blocks([(r.item_id, r.text) for r in listed.toLocalIterator()]):
-        index = ItemIndex(block)
-        counted = texts.select("text").mapInArrow(lambda it, g=index.distinct: _gram_counts(it, g), "gram bigint, n bigint")
+        index = ItemIndex(block, EDITED_SEED_WORDS if edited else SEED_WORDS)
+        counted = texts.select("text").mapInArrow(lambda it, g=index.distinct, n=index.seed_words: _gram_counts(it, g, n), "gram bigint, n bigint")
         counts = {r.gram: r.n for r in counted.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
         seed, owner = index.seeds(counts, edited)
         parts.append(texts.mapInArrow(lambda it, i=index, s=seed, o=owner: _aligned(it, i, s, o, least), ALIGNED))
