@@ -100,12 +100,16 @@ def isolate_groups(records: DataFrame, keys: DataFrame) -> DataFrame:
     """records (record_id, split) and keys (record_id, key) to (record_id, split, component, kept).
 
     Records that share a key, directly or through others, are one component;
-    only those of its highest split are kept. Ids are hashed for the component
-    search; a record without keys is its own component.
+    only those of its highest split are kept. The component search runs on 128-bit
+    digests of the ids and the component is the smallest of them; keys that only
+    one record holds join nothing and are left out of it, and a record without
+    keys is its own component.
     """
-    ids = records.select("record_id", "split", F.xxhash64("record_id").alias("node"))
-    owner = keys.where("key is not null").groupBy("key").agg(F.min(F.xxhash64("record_id")).alias("first"))
-    links = keys.join(owner, "key").select(F.xxhash64("record_id").alias("a"), F.col("first").alias("b")).distinct()
+    node = F.md5(F.col("record_id"))
+    ids = records.select("record_id", "split", node.alias("node"))
+    held = keys.where("key is not null").select("key", node.alias("a")).distinct()
+    owner = held.groupBy("key").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
+    links = held.join(owner, "key").select("a", "b").distinct()
     found = connected_components(links)
     placed = materialize(ids.join(found, "node", "left").select("record_id", "split", F.coalesce("component", "node").alias("component"), split_rank(F.col("split")).alias("rank")))
     return with_group_facts(placed, ["component"], {"highest": F.max("rank")}).select("record_id", "split", "component", (F.col("rank") == F.col("highest")).alias("kept"))

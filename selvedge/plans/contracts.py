@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from selvedge.functions.arrays import any_value, map_difference, only_keys
-from selvedge.functions.text import canonical_json, content_hash, host_url, or_empty, placeholder_count, plain_words, sha, stable_key, strip, truncated
+from selvedge.functions.text import canonical_json, content_hash, emails_with_suffix, has_repeated_phrase, host_url, or_empty, placeholder_count, plain_words, sha, stable_key, strip, truncated
 from selvedge.operators.artifacts import last_with, listed_rows, pending_fields, recomputed
 from selvedge.operators.metrics import generation_summary
 from selvedge.operators.privacy import ENTITIES, SERVING_ENTITIES, anonymized, findings, record_decisions
@@ -20,6 +20,7 @@ LIMIT = 120
 HOST = "example"
 #: Fields of an exported payload, in the order they are asked for.
 ASKED = ["record_id", "instruction", "response", "prompt", "golden_answer", "label_type", "language"]
+SUFFIXES = ["com", "org"]
 ENDS = ["day", "week", "weeks", "days", "jours", "semaines", "jour"]
 
 
@@ -162,6 +163,18 @@ def anonymized_mail(spark, sf_dir):
     return found.select(F.col("id").alias("row_index"), "field", sha(or_empty("text")).alias("text_sha256"), "found", "left", "status")
 
 
+def repeated_phrases(spark, sf_dir):
+    """Answers in which a phrase of three to six words follows itself, per split."""
+    rows = _sft(spark, sf_dir).select("split", has_repeated_phrase(plain_words(F.col("response"))).alias("r"))
+    return rows.groupBy("split").agg(F.sum(F.col("r").cast("bigint")).alias("repeating"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def mail_suffixes(spark, sf_dir):
+    """Addresses of mail below the listed suffixes, per split."""
+    number = lambda c: F.sum(F.size(emails_with_suffix(c, SUFFIXES)).cast("bigint"))
+    return _sft(spark, sf_dir).groupBy("split").agg(number("instruction").alias("in_instruction"), number("response").alias("in_response"))
+
+
 def served_texts(spark, sf_dir):
     """How many texts per field and status hold entities of the serving policy."""
     found = anonymized(_sft(spark, sf_dir), "row_index", ["instruction", "response"], SERVING_ENTITIES)
@@ -172,7 +185,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         truncated_answers, placeholder_counts, document_hosts, payload_maps, pending_questions, canonical_anchors, json_turns, prompt_completions, request_digests, listed_records, last_answered_delivery, recorded_results,
-        generation_groups, record_coverage, reserve_quotas, frozen_reserve, ordered_words, excluded_after_review, mail_decisions, anonymized_mail, served_texts,
+        generation_groups, record_coverage, reserve_quotas, frozen_reserve, ordered_words, excluded_after_review, mail_decisions, anonymized_mail, repeated_phrases, mail_suffixes, served_texts,
     )
 }
 
@@ -223,4 +236,7 @@ CASE WHEN {STRIP.format('t')} = '' THEN 'empty' ELSE 'passed' END AS status FROM
     "served_texts": f"""WITH {_TEXTS}, m AS (SELECT field, coalesce(t, '') AS t, {masked_sql("coalesce(t, '')")} AS m FROM t),
 s AS (SELECT field, CASE WHEN {STRIP.format('t')} = '' THEN 'empty' WHEN {left_over('m')} THEN 'manual_review_required' ELSE 'passed' END AS status, len(regexp_extract_all(m, '<(?:{'|'.join(SERVING_ENTITIES)})>')) AS n FROM m)
 SELECT field, status, count(*) AS n_texts, sum(n)::BIGINT AS found FROM s GROUP BY field, status""",
+    "repeated_phrases": rf"""WITH w AS (SELECT split, {_WORDS.format('response')} AS w FROM sft_records)
+SELECT split, sum(({' OR '.join(f"len(list_filter(range(1, greatest(len(w) - {2 * n - 2}, 1)), lambda i: w[i:i + {n - 1}] = w[i + {n}:i + {2 * n - 1}])) > 0" for n in (3, 4, 5, 6))})::INT)::BIGINT AS repeating, count(*) AS n_rows FROM w GROUP BY split""",
+    "mail_suffixes": f"""SELECT split, {', '.join(f"sum(len(list_filter(regexp_extract_all(coalesce({c}, ''), '{_MAIL_PATTERN}'), lambda m: list_contains(['com', 'org'], lower(string_split(m, '.')[-1])))))::BIGINT AS in_{c}" for c in ('instruction', 'response'))} FROM sft_records GROUP BY split""",
 }

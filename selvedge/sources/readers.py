@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
+import json
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from selvedge.functions.text import content_hash, or_empty, strip
-from selvedge.session import require_empty
+from selvedge.session import require_empty, shared_dir, track
 
 QA_PAIR = "QAPairs STRUCT<QAPair: ARRAY<STRUCT<_pid: STRING, Question: STRUCT<_VALUE: STRING, _qtype: STRING>, Answer: STRING>>>, _corrupt_record STRING"
 QUESTION_PAIR = "pair ARRAY<STRUCT<_pid: STRING, _value: STRING, chq: STRING, faq: STRING>>, Question ARRAY<STRUCT<_QID: STRING, QuestionText: STRING, AnswerList: STRUCT<Answer: ARRAY<STRUCT<_ReferenceScore: STRING, AnswerText: STRING>>>>>, _corrupt_record STRING"
@@ -153,15 +156,66 @@ MESSAGES = "ARRAY<STRUCT<role: STRING, content: STRING>>"
 TRIPLE = f"prompt_id STRING, label_type STRING, prompt STRING, chosen {MESSAGES}, rejected {MESSAGES}, metadata STRUCT<golden_answer: STRING, chosen: STRUCT<model: STRING>, rejected: STRUCT<model: STRING>>"
 
 
+def json_array_lines(spark: SparkSession, path: str, out: str, chunk: int = 1 << 20) -> int:
+    """Write the elements of one JSON array file as lines (place, tab, element) to a fresh file; returns their number.
+
+    An array in one line cannot be split between tasks, so it is read once as a
+    stream that holds a chunk and the element at hand, whatever its size.
+    """
+    target, source = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (out, path))
+    conf = spark._jsc.hadoopConfiguration()
+    decoder, characters = json.JSONDecoder(), codecs.getincrementaldecoder("utf-8-sig")()
+    text, place, ended = "", 0, False
+    reading = source.getFileSystem(conf).open(source)
+    writing = target.getFileSystem(conf).create(target, False)
+    try:
+        lines: list[str] = []
+        opened = False
+        while not ended:
+            data = bytes(reading.readNBytes(chunk))
+            ended = len(data) < chunk
+            text += characters.decode(data, ended)
+            at = 0
+            while True:
+                while at < len(text) and text[at] in " \t\r\n," + "["[opened:]:
+                    opened = opened or text[at] == "["
+                    at += 1
+                if at == len(text) or text[at] == "]":
+                    break
+                if not opened:
+                    raise ValueError(f"{path} holds no JSON array")
+                try:
+                    element, end = decoder.raw_decode(text, at)
+                except ValueError:
+                    if ended:
+                        raise
+                    break
+                if end == len(text) and not ended:  # a number may go on
+                    break
+                lines.append(f"{place}\t{json.dumps(element, ensure_ascii=False)}\n")
+                place, at = place + 1, end
+            text = text[at:]
+            if lines:
+                writing.write(bytearray("".join(lines).encode()))
+                lines = []
+    finally:
+        writing.close()
+        reading.close()
+    return place
+
+
 def read_preferences(spark: SparkSession, folder: str, splits: tuple[str, ...] = ("train", "dev", "test")) -> DataFrame:
     """Preference triples of one JSON array a split, numbered in file order: (split, row_index, ...).
 
-    A single array cannot be split between tasks; convert it once to parquet.
+    Each array is first turned into lines in the shared folder, which all tasks read.
     """
     out = None
+    lines = f"{shared_dir(spark).rstrip('/')}/selvedge-lines-{uuid.uuid4().hex}"
+    track(lines)
     for split in splits:
-        text = spark.read.text(f"{folder.rstrip('/')}/{split}.json", wholetext=True)
-        rows = text.select(F.posexplode(F.from_json("value", f"ARRAY<STRUCT<{TRIPLE}>>")).alias("row_index", "t")).select(F.lit(split).alias("split"), F.col("row_index").cast("bigint").alias("row_index"), "t.*")
+        json_array_lines(spark, f"{folder.rstrip('/')}/{split}.json", f"{lines}/{split}.txt")
+        parts = F.split("value", "\t", 2)
+        rows = spark.read.text(f"{lines}/{split}.txt").select(parts[0].cast("bigint").alias("row_index"), F.from_json(parts[1], f"STRUCT<{TRIPLE}>").alias("t")).select(F.lit(split).alias("split"), "row_index", "t.*")
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +76,19 @@ def test_a_cluster_without_a_shared_folder_is_refused():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+@pytest.mark.parametrize("chunk", [5, 64, 1 << 20])
+def test_json_arrays_are_streamed_into_lines(spark, tmp_path, chunk):
+    rows = [{"a": k, "t": "é[{]}\\\" ,\n" * (k % 4)} for k in range(40)]
+    (tmp_path / "x.json").write_text(json.dumps(rows, ensure_ascii=chunk > 5, indent=None if chunk == 64 else 1), encoding="utf-8")
+    out = tmp_path / f"out{chunk}.txt"
+    assert readers.json_array_lines(spark, str(tmp_path / "x.json"), str(out), chunk) == 40
+    got = [line.split("\t", 1) for line in out.read_text(encoding="utf-8").splitlines()]
+    assert [int(n) for n, _ in got] == list(range(40)) and [json.loads(t) for _, t in got] == rows
+    (tmp_path / "empty.json").write_text("[]")
+    assert readers.json_array_lines(spark, str(tmp_path / "empty.json"), str(tmp_path / f"e{chunk}"), chunk) == 0
+    for k, bad in enumerate(('{"a": 1}', '[{"a": 1}, {"a"')):
+        (tmp_path / "bad.json").write_text(bad)
+        with pytest.raises(ValueError):
+            readers.json_array_lines(spark, str(tmp_path / "bad.json"), str(tmp_path / f"b{chunk}{k}"), chunk)
