@@ -9,8 +9,10 @@ is found almost only beside declining openings. So "I cannot see the skin, but
 ..." followed by an answer is none. Templates without any known turn are revealed
 by recurrence alone: an answer of at least BARE_WORDS words that is the whole
 answer, word for word, to BARE_PROMPTS different prompts and shares no telling
-word with most of them is a refusal, and so is an answer that opens with its first
-sentence and has nothing beyond stock closings. Checks of the pair itself label the other defects: nothing but stand-ins (empty), the words of the
+word with most of them is a refusal where its first sentence hardly opens anything
+else, whatever the size of the table; and so is an answer that opens with this
+sentence and has nothing beyond stock closings. A general sentence that other
+answers open with too, and that stands alone now and then, is none. Checks of the pair itself label the other defects: nothing but stand-ins (empty), the words of the
 question (copied), function words of another language (wrong_language), no end
 (truncated).
 
@@ -49,6 +51,8 @@ from selvedge.session import materialize, table
 MIN_PROMPTS = 3
 #: So many different prompts, most of them without a telling word of the answer, reveal a template without a known turn, of so many words at least.
 BARE_PROMPTS, BARE_WORDS, UNRELATED_SHARE = 30, 5, 0.7
+#: Such answers are at least this share of all that open with their first sentence.
+WHOLE_SHARE = 1 / 3
 #: A word is telling from so many letters on.
 TELLING_LETTERS = 5
 #: Openings are alike from this share of common words on.
@@ -222,7 +226,7 @@ def cut_words(pairs: DataFrame, seen: DataFrame) -> DataFrame:
     """(tail): last words found in no text but as a last word that decides, and that begin a longer word which is not just another form."""
     found = materialize(pairs.select("question", "answer").mapInArrow(_vocabulary, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     tails = seen.where("tail is not null").groupBy("tail").agg(F.count(F.lit(1)).alias("last"))
-    unknown = tails.join(found, F.col("tail") == F.col("word"), "left").where("n is null or n <= last").select("tail")
+    unknown = materialize(tails.join(found, F.col("tail") == F.col("word"), "left").where("n is null or n <= last").select("tail"))  # its own size is known, so it is broadcast if anything, not all beginnings
     begun = found.select("word", F.explode(F.expr("transform(sequence(1, greatest(1, length(word) - 1)), k -> left(word, k))")).alias("tail"))
     return begun.join(unknown, "tail").where(f"length(word) > length(tail) and not substring(word, length(tail) + 1) rlike '^({INFLECTIONS})$'").select("tail").distinct()
 
@@ -274,10 +278,13 @@ def opening_clusters(openings: DataFrame) -> DataFrame:
 
 
 def revealed_templates(seen: DataFrame) -> DataFrame:
-    """(id): first sentences of whole answers to many prompts that most of these have nothing to do with."""
-    asked = seen.where("whole is not null").groupBy("whole", "prompt").agg(F.min(F.element_at("sentences", 1)).alias("id"), F.avg((~F.col("related")).cast("double")).alias("unrelated"))
-    whole = asked.groupBy("whole").agg(F.count(F.lit(1)).alias("prompts"), F.avg("unrelated").alias("unrelated"), F.min("id").alias("id"))
-    return whole.where((F.col("prompts") >= BARE_PROMPTS) & (F.col("unrelated") >= UNRELATED_SHARE)).select("id").distinct()
+    """(id): first sentences of whole answers to many prompts that most of these have nothing to do with, and that are a good part of what opens so."""
+    # the same words may be cut into sentences in several ways, each of which is counted for itself
+    asked = seen.where("whole is not null").groupBy("whole", F.get("sentences", F.lit(0)).alias("id"), "prompt").agg(F.avg((~F.col("related")).cast("double")).alias("unrelated"))
+    whole = asked.groupBy("whole", "id").agg(F.count(F.lit(1)).alias("prompts"), F.avg("unrelated").alias("unrelated"))
+    recurs = (F.col("prompts") >= BARE_PROMPTS) & (F.col("unrelated") >= UNRELATED_SHARE)
+    opening = whole.groupBy("id").agg(F.sum("prompts").alias("all"), F.sum(F.when(recurs, F.col("prompts"))).alias("recurring"))
+    return opening.where(F.col("recurring") >= WHOLE_SHARE * F.col("all")).select("id")
 
 
 def refused(declining: DataFrame, clusters: DataFrame, revealed: DataFrame, stock: DataFrame, key: list[str]) -> DataFrame:
@@ -298,7 +305,7 @@ def defective_pairs(pairs: DataFrame) -> DataFrame:
     seen = materialize(pairs.select(*key, "question", "answer").mapInArrow(_inspected, SCHEMA))
     revealed = materialize(revealed_templates(seen))
     turned = F.when(F.col("opening").isNotNull(), F.xxhash64("opening")).otherwise(F.col("known"))
-    opened = seen.join(revealed.withColumnRenamed("id", "known"), F.element_at("sentences", 1) == F.col("known"), "left").withColumn("id", turned)
+    opened = seen.join(revealed.withColumnRenamed("id", "known"), F.get("sentences", F.lit(0)) == F.col("known"), "left").withColumn("id", turned)  # empty answers have no sentence
     own = F.expr("if(opening is null, transform(answers, (a, k) -> a and k > 0), answers)")  # the first sentence of a revealed template answers nothing
     declining = materialize(opened.where("id is not null").select(*key, "prompt", "opening", "id", "sentences", own.alias("answers")))
     clusters = materialize(opening_clusters(declining.where("opening is not null").groupBy("id").agg(F.min("opening").alias("opening"))))

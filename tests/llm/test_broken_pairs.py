@@ -105,3 +105,23 @@ def test_a_template_without_a_known_turn_is_revealed_by_recurrence(spark):
     rows += [("t", 3000 + k, "response", f"Does paracetamol lower fever {k}?", "Paracetamol lowers fever in most adults.") for k in range(60)]  # the prompts speak of it
     got = [(r.row_index, r.defect) for r in defective_pairs(spark.createDataFrame(rows, SCHEMA)).collect()]
     assert sorted(got) == [(k, "refusal") for k in range(200)]
+
+
+def test_revealed_templates_beside_empty_and_copied_answers(spark):
+    ask = lambda k: f"Why does my knee number {k} bother me since the fever began?"
+    rows = [("t", k, "response", ask(k), "That topic is simply off the table for me.") for k in range(40)]
+    rows += [("t", 100, "response", ask(0), None), ("t", 101, "chosen", ask(0), ""), ("t", 102, "response", None, "..."), ("t", 103, "response", ask(0), ask(0))]
+    got = [(r.row_index, r.defect) for r in defective_pairs(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(got) == [(k, "refusal") for k in range(40)] + [(100, "empty"), (101, "empty"), (102, "empty"), (103, "copied_question")]
+
+
+def test_a_general_sentence_that_also_opens_other_answers_is_no_template(spark):
+    ask = lambda k: f"Why does my knee number {k} bother me since the fever began?"
+    general = "Hydration matters more for shift workers than for others."
+    rows = [("t", k, "response", ask(k), general) for k in range(60)]
+    rows += [("t", 1000 + k, "response", ask(k), f"{general} Take {k} drops of the syrup before you sleep.") for k in range(500)]
+    rows += [("t", 2000 + k, "response", ask(k), "That topic is simply off the table for me." + " Other pages cover it well." * (k % 2)) for k in range(80)]
+    rows += [("t", 3000, "response", ask(0), None), ("t", 3001, "response", ask(0), f"The old label said so in full - {general}")]  # the same words in one sentence
+    rows += [("t", 4000 + k, "response", ask(k), "The old label said so in full. " + (general if k < 40 else f"Take {k} drops of the syrup before you sleep.")) for k in range(300)]
+    got = [(r.row_index, r.defect) for r in defective_pairs(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(got) == [(2000 + k, "refusal") for k in range(80)] + [(3000, "empty")]
